@@ -1,7 +1,7 @@
 """Document quality: random-indexing word vectors, pooled, and a two-layer network.
 
-Words are runs of letters or of punctuation, lower-cased; a word in capitals is the word `<caps>`.  Words are
-hashed to `BUCKETS` rows, which bounds the table whatever the corpus holds.  Random indexing: every row has a
+Words are runs of letters or of punctuation, lower-cased; a word in capitals is the word `<caps>`, and one that
+repeats the word before it (a mark may stand between) is `<again>`.  Words are hashed to `BUCKETS` rows, which bounds the table whatever the corpus holds.  Random indexing: every row has a
 sparse random index vector, and its context vector is the sum of the index vectors of the words up to
 `REACH` places away, over all documents.  Tasks count this exactly in integers and tables are added up in Spark.
 A document is the mean of its words' normalised vectors.  The network (one hidden layer, numpy) learns from at most
@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, texts
 
 BUCKETS, DIM, ENTRIES, REACH = 1 << 14, 64, 2, 2
+#: Rows for marks; `<again>` and `<caps>` have rows 0 and 1.
+MARKS = 1 << 10
 #: Labelled rows that the network learns from at most, the least by a hash of their id.
 SAMPLE = 20_000
 THRESHOLD = 0.3
@@ -39,8 +41,13 @@ class _Buckets(dict):
     """Word to bucket, remembered."""
 
     def __missing__(self, word: str) -> int:
-        form = "<caps>" if len(word) > 1 and word.isupper() else word.lower()
-        found = xxhash.xxh3_64_intdigest(form.encode("utf-8", "surrogatepass")) % BUCKETS
+        hashed = xxhash.xxh3_64_intdigest(word.lower().encode("utf-8", "surrogatepass"))
+        if len(word) > 1 and word.isupper():
+            found = 1
+        elif word[0].isalnum():
+            found = MARKS + hashed % (BUCKETS - MARKS)
+        else:
+            found = 2 + hashed % (MARKS - 2)
         if len(self) < 1_000_000:
             self[word] = found
         return found
@@ -48,7 +55,12 @@ class _Buckets(dict):
 
 def word_ids(text: str, known: dict) -> np.ndarray:
     words = _WORD(text)
-    return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+    ids = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+    again = np.zeros(len(ids), bool)
+    for k in (1, 2):
+        again[k:] |= (ids[k:] == ids[:-k]) & (ids[k:] >= MARKS)
+    ids[again] = 0
+    return ids
 
 
 def index_vectors() -> tuple[np.ndarray, np.ndarray]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, html, packing, quality, simhash, substring, suffix, urlfilter
+from . import decontam, fingerprint, html, packing, quality, simhash, substring, suffix, tokencount, urlfilter
 
 #: Host and path rules of the URL query.
 URL_RULES = [
@@ -37,6 +37,10 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.main_text(_read(spark, sf_dir, "pages"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.token_counts(_read(spark, sf_dir, "documents"), public_tokenizers.path(tokencount.VOCABULARY))
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(_read(spark, sf_dir, "pages"), URL_RULES)
 
@@ -54,6 +58,10 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 

@@ -2,8 +2,8 @@
 
 Words are runs of letters and digits, lower-cased.  The n-grams (`GRAM` words, or the whole item if it is shorter)
 of the test items are looked up in every document and their document frequency is counted over all documents.
-Each item keeps the rarer `KEEP` share of its n-grams as seeds, so an item that the corpus repeats often still has
-seeds.  Where `HITS` different seeds of an item (or all it has) lie close together in a document, the item is aligned
+An item's rare n-grams are its seeds: those in at most `SPREAD` times as many documents as its median n-gram.  So common
+phrases are no seeds, and an item that the corpus repeats often still has some.  Where `HITS` different seeds of an item (or all it has) lie close together in a document, the item is aligned
 with the words around them: a local alignment with match 1, mismatch and gap -1.  A document is contaminated if
 the best alignment reaches `THRESHOLD` of the score of a verbatim copy.
 
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, texts
 
-GRAM, KEEP, HITS, THRESHOLD = 3, 0.5, 2, 0.5
+GRAM, SPREAD, HITS, THRESHOLD = 3, 4, 2, 0.5
 BLOCK = 16 << 20
 _WORDS = re.compile(r"[^\W_]+").findall
 
@@ -146,7 +146,7 @@ def matches(items: Items, rare: dict[int, list[np.ndarray]], needed: np.ndarray,
             yield k, score / len(item), best[1] + start, best[1] + stop
 
 
-def rare_seeds(items: Items, frequency: dict[int, np.ndarray], keep: float, hits: int):
+def rare_seeds(items: Items, frequency: dict[int, np.ndarray], spread: float, hits: int):
     """For every n-gram the items that keep it as a seed, and the number of different seeds each item needs."""
     by_item: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
     for size, (_, holders) in items.by_size.items():
@@ -156,14 +156,15 @@ def rare_seeds(items: Items, frequency: dict[int, np.ndarray], keep: float, hits
     rare = {size: [[] for _ in holders] for size, (_, holders) in items.by_size.items()}
     needed = np.ones(len(items.words), np.int64)
     for k, grams in by_item.items():
-        chosen = sorted(grams)[: max(min(2 * hits, len(grams)), -(-int(len(grams) * keep * 1000) // 1000))]
+        median = sorted(grams)[len(grams) // 2][0]
+        chosen = [g for g in grams if g[0] <= spread * max(1, median)]
         needed[k] = min(hits, len(chosen))
         for _, c, size in chosen:
             rare[size][c].append(k)
     return rare, needed
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, gram: int = GRAM, keep: float = KEEP, hits: int = HITS, threshold: float = THRESHOLD) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, gram: int = GRAM, spread: float = SPREAD, hits: int = HITS, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, item_id, score, start_word, stop_word): every document that holds a copy of a test item, verbatim or edited."""
     bounded_batches(docs.sparkSession)
     docs = texts(docs)
@@ -173,12 +174,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, gram: int = GRAM, keep:
     for b in range(blocks):
         # A block has about BLOCK bytes of text, whatever the benchmark's size.
         rows = sorted(((r["item_id"], r["text"]) for r in tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()), key=str)
-        found = _against(docs, Items(rows, gram), keep, hits, threshold)
+        found = _against(docs, Items(rows, gram), spread, hits, threshold)
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def _against(docs: DataFrame, items: Items, keep: float, hits: int, threshold: float) -> DataFrame:
+def _against(docs: DataFrame, items: Items, spread: float, hits: int, threshold: float) -> DataFrame:
     def count(batches):
         total = {size: np.zeros(len(codes), np.int64) for size, (codes, _) in items.by_size.items()}
         for b in batches:
@@ -193,7 +194,7 @@ def _against(docs: DataFrame, items: Items, keep: float, hits: int, threshold: f
     counts = docs.select("text").mapInArrow(count, "size int, gram int, n long").groupBy("size", "gram").agg(F.sum("n").alias("n"))
     for r in counts.collect():  # one row a distinct n-gram of the block of items
         frequency[r["size"]][r["gram"]] = r["n"]
-    rare, needed = rare_seeds(items, frequency, keep, hits)
+    rare, needed = rare_seeds(items, frequency, spread, hits)
 
     def search(batches):
         for b in batches:

@@ -31,8 +31,10 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import bounded_batches, id_blocks, pack_sorted, texts, unpack_sorted
+from .common import bounded_batches, id_blocks, pack_sorted, unpack_sorted
 
 WINDOW, GRAM = 200, 100
 BLOCK_BYTES, BLOCK_ROWS = 8 << 20, 100_000
@@ -282,18 +284,21 @@ def _repeated(heads, body, runs, window, poly) -> list[np.ndarray]:
     return np.split(hit, np.cumsum(runs)[:-1])
 
 
-def repeated_strings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, block_bytes: int = BLOCK_BYTES, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(doc_id, text, removed array<struct<start, stop>>, n_bytes, n_removed, n_spans, kept_sha256); intervals are byte places.
+def repeated_strings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, block_bytes: int = BLOCK_BYTES, block_rows: int = BLOCK_ROWS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, text, removed array<struct<start, stop>>, n_bytes, n_removed, n_spans, kept_sha256, carried); intervals are byte places.
 
-    `text` is what is left, without characters that lost some of their bytes.
+    `text` is what is left, without characters that lost some of their bytes; `carried` is a struct of the
+    columns in `carry`, as they were.
     """
     if window - gram + 1 > 101:
         raise ValueError("runs of over 101 windows don't fit their bitmaps")
     spark = docs.sparkSession
     bounded_batches(spark)
-    placed, blocks = id_blocks(texts(docs), block_bytes, block_rows)
+    carried = F.struct(F.lit(None).cast("int").alias("_"), *carry).alias("carried")
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), carried)
+    placed, blocks = id_blocks(plain, block_bytes, block_rows)
     buckets = 1 << max(0, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length() if blocks > 1 else 1
-    base = placed.select("blk", "doc_id", "text").repartition(max(blocks, 1), "blk")
+    base = placed.select("blk", "doc_id", "text", "carried").repartition(max(blocks, 1), "blk")
 
     def send(table: pa.Table) -> pa.Table:
         block = Block(table, Scanner(window, gram))
@@ -389,7 +394,8 @@ def repeated_strings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bl
                 out[k].append(v)
         spans = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
         kinds = {"text": pa.string(), "removed": spans, "kept_sha256": pa.string()}
-        return pa.table({k: pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()})
+        table = pa.table({k: pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()})
+        return table.append_column("carried", left.column("carried"))
 
     answer = "blk int, bucket int, states binary, found binary"
     sent = base.groupBy("blk").applyInArrow(send, "blk int, bucket int, grams binary, contexts binary, twice binary")
@@ -397,4 +403,5 @@ def repeated_strings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bl
     offered = base.groupBy("blk").cogroup(told.groupBy("blk")).applyInArrow(offer, "blk int, bucket int, asked binary, heads binary, body binary")
     sorted_ = offered.groupBy("bucket").applyInArrow(sort, answer)
     schema = "doc_id long, text string, removed array<struct<start: long, stop: long>>, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    schema = StructType([*StructType.fromDDL(schema).fields, base.schema["carried"]])
     return base.groupBy("blk").cogroup(told.unionByName(sorted_).groupBy("blk")).applyInArrow(apply, schema)

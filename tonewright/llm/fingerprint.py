@@ -73,14 +73,14 @@ def with_successor(docs: DataFrame, block_bytes: int = BLOCK_BYTES, block_rows:
     """
     placed, _ = id_blocks(texts(docs), block_bytes, block_rows)
     placed = placed.select("blk", "doc_id", "text")
-    rank = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    tops = placed.groupBy("blk").agg(F.max(F.struct(rank.alias("rank"), "text", "doc_id")).alias("top"))
+    tops = placed.groupBy("blk").agg(F.max(F.struct("doc_id", "text")).alias("top"))  # nulls are least
     # One row a block: the next block above that has rows, the lowest above the highest.
     order = Window.orderBy("blk")
     above = tops.select("blk").withColumn("up", F.lead("blk").over(order)).withColumn("low", F.min("blk").over(Window.partitionBy()))
     guests = tops.join(above.select("blk", F.coalesce("up", "low").alias("up")), "blk")
     guests = guests.select(F.col("up").alias("blk"), "top.doc_id", "top.text", F.lit(1).alias("guest"))
-    spec = Window.partitionBy("blk").orderBy("guest", rank.desc(), F.col("text").desc())
+    # Ordered by plain columns, so that every branch below asks for the same exchange and it is made once.
+    spec = Window.partitionBy("blk").orderBy("guest", F.col("doc_id").desc_nulls_last(), F.col("text").desc())
     both = placed.withColumn("guest", F.lit(0)).unionByName(guests)
     return both.withColumn("rid", F.row_number().over(spec)).withColumn("following", F.lead("text").over(spec))
 

@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -28,7 +27,7 @@ from .common import bounded_batches, texts
 
 VOCABULARY = "piece_bpe_32k.model"
 SHIFT = 2.7
-NODES, LONG = 400_000, 64
+NODES, LONG = 800_000, 64
 MARK = "▁"
 
 
@@ -50,7 +49,8 @@ class Vocabulary:
         self.scores = {p: -math.log(r + SHIFT) - log_z for p, r in ranks.items()}
         #: All byte pieces share one more rank, the last.
         self.byte = -math.log(len(ranks) + SHIFT) - log_z - math.log(256)
-        self.longest = max(map(len, self.scores))
+        #: Every ending of a piece: its score if it is a piece itself, else None.  Strings not here end no piece.
+        self.endings: dict[str, float | None] = {p[k:]: None for p in self.scores for k in range(len(p))} | self.scores
 
     def spelt(self, char: str) -> tuple[float, int]:
         n = len(char.encode("utf-8", "surrogatepass"))
@@ -76,56 +76,66 @@ class Trie:
         return path[-1]
 
     def _score(self, token: str, end: int, path: list[int]) -> int:
-        v, best, count, sums = self.vocabulary, -math.inf, 0, []
-        scores, single = v.scores, False
-        for start in range(max(0, end - v.longest), end):
-            s = scores.get(token[start:end])
+        best, count, sums, start = -math.inf, 0, [], end - 1
+        endings, bests, pieces, totals = self.vocabulary.endings, self.best, self.pieces, self.total
+        single = False
+        while start >= 0:
+            s = endings.get(token[start:end], 0)
+            if s == 0:
+                break
             if s is not None:
                 at = path[start]
-                here, n = self.best[at] + s, self.pieces[at] + 1
+                here, n = bests[at] + s, pieces[at] + 1
                 if here > best or (here == best and n < count):
                     best, count = here, n
-                sums.append(self.total[at] + s)
-                single = start == end - 1
+                sums.append(totals[at] + s)
+                single = single or start == end - 1
+            start -= 1
         if not single:  # the last character alone is no piece
-            s, n = v.spelt(token[end - 1])
+            s, n = self.vocabulary.spelt(token[end - 1])
             at = path[end - 1]
-            here, n = self.best[at] + s, self.pieces[at] + n
+            here, n = bests[at] + s, pieces[at] + n
             if here > best or (here == best and n < count):
                 best, count = here, n
-            sums.append(self.total[at] + s)
+            sums.append(totals[at] + s)
         top = max(sums)
         self.best.append(best)
         self.pieces.append(count)
-        self.total.append(top + math.log(sum(math.exp(x - top) for x in sums)))
+        self.total.append(top + math.log(sum([math.exp(x - top) for x in sums])) if len(sums) > 1 else top)
         return len(self.best) - 1
 
 
 class Counter(dict):
-    """Word to (tokens, log probability)."""
+    """Word to place in the lists of token counts and log probabilities."""
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
-        self.vocabulary, self.trie = vocabulary, Trie(vocabulary)
+        self.vocabulary = vocabulary
+        self.fresh()
+
+    def fresh(self) -> None:
+        self.clear()
+        self.trie, self.tokens, self.logs = Trie(self.vocabulary), [], []
 
-    def __missing__(self, word: str) -> tuple[int, float]:
+    def __missing__(self, word: str) -> int:
         trie = self.trie if len(word) <= LONG else Trie(self.vocabulary)
         node = trie.insert(MARK + word)
-        found = trie.pieces[node], trie.total[node]
+        self.tokens.append(trie.pieces[node])
+        self.logs.append(trie.total[node])
         if trie is self.trie:
-            self[word] = found
-        return found
+            self[word] = len(self.tokens) - 1
+        return len(self.tokens) - 1
 
     def count(self, text: str) -> tuple[int, int, float]:
         """(words, tokens, log probability) of a text."""
         words = text.split()
         if not words:
             return 0, 0, 0.0
-        found = np.array(list(map(self.__getitem__, words)))
-        if len(self.trie.best) > NODES:
-            self.clear()
-            self.trie = Trie(self.vocabulary)
-        return len(words), int(found[:, 0].sum()), float(found[:, 1].sum())
+        places = list(map(self.__getitem__, words))
+        found = len(words), sum(map(self.tokens.__getitem__, places)), math.fsum(map(self.logs.__getitem__, places))
+        if len(self.trie.best) > NODES or len(self.tokens) > NODES:
+            self.fresh()
+        return found
 
 
 def token_counts(docs: DataFrame, path: str) -> DataFrame:

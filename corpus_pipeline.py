@@ -44,7 +44,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What is left, as sequences of tokens."""
-    return packing.best_fit_packing(docs, public_tokenizers.path(packing.TOKENIZER))
+    return packing.best_fit_packing(docs, public_tokenizers.path(packing.TOKENIZER), ranks=public_tokenizers.path(packing.RANKS))
 
 
 STAGES = [

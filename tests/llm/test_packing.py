@@ -13,9 +13,12 @@ from tonewright.llm import packing
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 
+PLAIN, ENCODER = Tokenizer.from_file(PATH), packing.Encoder(PATH, public_tokenizers.path(packing.RANKS))
+
+
 def check(frame, length):
     docs = [(r.doc_id, r.text) for r in frame.collect()]
-    got = packing.best_fit_packing(frame, PATH, length).collect()
+    got = packing.best_fit_packing(frame, PATH, length, public_tokenizers.path(packing.RANKS)).collect()
     plain = Tokenizer.from_file(PATH)
     want = Counter()
     for i, t in docs:
@@ -56,6 +59,16 @@ def test_special_strings(spark):
     check(spark.createDataFrame([(1, "a <|endoftext|> b"), (2, "<|endoftext|>")], "doc_id long, text string"), 16)
 
 
+WHITE = [" ", "  ", "\n", "\n\n", " \n", "\n ", "\t", "\u00a0", "\u2003 ", "\x1c", "\x85", "", "a", "Bc", "'s", "12", "é", "漢", "!?", "_", "²", "\U0001f600", "\u0301", "<|endoftext|>", "x" * 70]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(WHITE), max_size=14).map("".join))
+def test_ids_are_the_library_s(text):
+    want = np.array(PLAIN.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert ENCODER.encode(text) == want and ENCODER.encode(text) == want
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 40), max_size=120))
 def test_bins(sizes):

@@ -46,7 +46,7 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.best_fit_packing(_read(spark, sf_dir, "documents"), public_tokenizers.path(packing.TOKENIZER))
+    return packing.best_fit_packing(_read(spark, sf_dir, "documents"), public_tokenizers.path(packing.TOKENIZER), ranks=public_tokenizers.path(packing.RANKS))
 
 
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,12 @@
 """Registered queries and their SQL twins."""
 
+from . import features, markup, mentions, models, outputs, predict, sampling, scans, text  # noqa: F401
+from .registry import ORACLES, QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)

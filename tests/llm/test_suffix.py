@@ -35,10 +35,11 @@ def test_odd(odd):
 def test_documents(spark, small):
     docs = spark.read.parquet(os.path.join(small, "documents.parquet"))
     assert check(docs, 200, 100, block_bytes=40_000)
+    assert check(docs, 200, 100, block_bytes=40_000, hot=1)
 
 
-@pytest.mark.parametrize("piece", [1 << 18, 64])
-def test_random_small_alphabet(spark, monkeypatch, piece):
+@pytest.mark.parametrize(("piece", "hot"), [(1 << 18, 1000), (64, 1000), (1 << 18, 2), (64, 1)])
+def test_random_small_alphabet(spark, monkeypatch, piece, hot):
     """Dense overlapping repeats, periods, and documents longer than a piece."""
     monkeypatch.setattr(suffix, "PIECE", piece)
     rng = random.Random(9)
@@ -48,7 +49,7 @@ def test_random_small_alphabet(spark, monkeypatch, piece):
         text = "".join(rng.choice([rng.choice(common), "".join(rng.choice("abcdéf") for _ in range(rng.randint(1, 30))), "ab" * rng.randint(1, 20)]) for _ in range(rng.randint(0, 9)))
         rows.append((i, text))
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    assert check(frame, 24, 10, block_rows=7)
+    assert check(frame, 24, 10, block_rows=7, hot=hot)
 
 
 def test_empty(none):

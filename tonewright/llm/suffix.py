@@ -16,6 +16,9 @@ A suffix array of the whole corpus is cut into independent small ones by content
    extension of two suffixes in a logarithmic number of steps; merges compare with it.  Neighbours in the
    sorted order with a common extension of a whole window are the repeats, verified byte by byte.  Windows at
    different distances from the gram can't be equal, so each distance of each gram is sorted by itself.
+   A gram with over `HOT` contexts (the edge of a passage that a third of all documents share, say) is not gathered:
+   its suffixes are dealt out by the hash of their whole window, the same prefix hash that the sort compares
+   with at full length, so that equal ones meet and others part; only hashes travel, two of 64 bits each.
 4. The blocks, laid out by the same exchange, get the answers and cut their texts.
 
 Equal contexts are told by the 64-bit hash of the context beside the 64-bit hash of the gram.
@@ -43,6 +46,9 @@ PIECE = 1 << 18
 _BITS = 22
 #: Suffixes sorted at once, but for a single gram with more.
 CHUNK = 400_000
+#: Contexts of one gram that are sorted in one task at most.
+HOT = 1000
+_SORTED, _DEALT, _TOLD = 0, 1, 2  # kinds of answers
 _HEAD = np.dtype([("g", "<u8"), ("r", "<u8"), ("off", "u1"), ("runs", "u1"), ("twice", "u1")])
 _PAIR = np.dtype([("g", "<u8"), ("r", "<u8")])
 _FOUND = np.dtype([("g", "<u8"), ("r", "<u8"), ("bits", "u1", (13,))])
@@ -123,7 +129,8 @@ class Scanner:
         second = self.contexts.prefix(raw)
         context = self.contexts.of(second, first, first + count + w - 1)
         tag = (off * 256 + count).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        return first, count, off, hashes[anchor[first]], _mix(context ^ tag)
+        # Minimizers are small by choice; mixed once more, they spread over the buckets.
+        return first, count, off, _mix(hashes[anchor[first]]), _mix(context ^ tag)
 
 
 class Block:
@@ -168,8 +175,35 @@ def _slices(g: np.ndarray, buckets: int):
     return [(b, edges[b], edges[b + 1]) for b in range(buckets) if edges[b] < edges[b + 1]]
 
 
-def _states(table: pa.Table) -> pa.Table:
-    """0: the gram is nowhere else.  1: one context, again.  2: several contexts.  3, 4: and this block sends the text (4: it occurs again)."""
+class HotWindows:
+    """The windows of a block's hot contexts: distinct hash pairs, ascending, and each window's place among them."""
+
+    def __init__(self, block: Block, state: np.ndarray, window: int):
+        self.contexts = np.flatnonzero(state == 5)
+        run = block.one[self.contexts]
+        self.counts = block.count[run]
+        polys, found = (Poly(41, 1 << 16), Poly(43, 1 << 16)), []
+        for k in range(0, len(run), 4000):
+            raw, starts, at = [], [], 0
+            for a, n in zip(block.first[run[k : k + 4000]].tolist(), self.counts[k : k + 4000].tolist(), strict=True):
+                raw.append(block.bytes[a : a + n + window - 1])
+                starts.append(np.arange(at, at + n))
+                at += n + window - 1
+            raw, starts = np.concatenate(raw), np.concatenate(starts)
+            found.append([_mix(p.of(p.prefix(raw), starts, starts + window)) for p in polys])
+        self.g, self.r = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.uint64),) * 2
+        order = np.lexsort((self.r, self.g))
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = (np.diff(self.g[order]) != 0) | (np.diff(self.r[order]) != 0)
+        self.place = np.empty(len(order), np.int64)
+        self.place[order] = np.cumsum(fresh) - 1
+        self.g, self.r = self.g[order][fresh], self.r[order][fresh]
+        times = 1 + np.repeat(block.twice[self.contexts], self.counts)
+        self.twice = np.bincount(self.place, times, len(self.g)) > 1 if len(self.g) else np.empty(0, bool)
+
+
+def _counted(table: pa.Table):
+    """Pairs of hashes of all blocks, grouped: (sizes by row, order, pair of each, times of pairs, gram of each, times and kinds of grams)."""
     blk = table.column("blk").to_numpy()
     g = [unpack_sorted(x) for x in table.column("grams").to_pylist()]
     sizes = [len(x) for x in g]
@@ -182,15 +216,35 @@ def _states(table: pa.Table) -> pa.Table:
     new_g[1:] = g[1:] != g[:-1]
     new_r[1:] = new_g[1:] | (r[1:] != r[:-1])
     of_g, of_r = np.cumsum(new_g) - 1, np.cumsum(new_r) - 1
-    total_r, total_g = np.bincount(of_r, times), np.bincount(of_g, times)
-    kinds = np.bincount(of_g, new_r)
-    state = np.where(total_g[of_g] < 2, 0, np.where(kinds[of_g] < 2, 1, 2)).astype(np.uint8)
+    return sizes, order, new_r, np.bincount(of_r, times)[of_r], np.bincount(of_g, times)[of_g], np.bincount(of_g, new_r)[of_g]
+
+
+def _answers(table: pa.Table, kind: int, column: str, parts: list[bytes]) -> pa.Table:
+    """A row for each row of `table`, with its answer in `column`."""
+    n = len(parts)
+    other = "found" if column == "states" else "states"
+    return pa.table({
+        "blk": table.column("blk"), "bucket": table.column("bucket"), "kind": pa.array([kind] * n, pa.int32()), column: pa.array(parts, pa.binary()), other: pa.array([None] * n, pa.binary()),
+    }).select(["blk", "bucket", "kind", "states", "found"])
+
+
+def _states(table: pa.Table, hot: int) -> pa.Table:
+    """0: the gram is nowhere else.  1: one context, again.  2: several contexts.  3, 4: and this block sends the text (4: it occurs again).  5: too many contexts."""
+    sizes, order, new_r, total_r, total_g, kinds = _counted(table)
+    state = np.where(total_g < 2, 0, np.where(kinds < 2, 1, np.where(kinds > hot, 5, 2))).astype(np.uint8)
     sends = (state == 2) & new_r
-    state[sends] = np.where(total_r[of_r[sends]] > 1, 4, 3)
+    state[sends] = np.where(total_r[sends] > 1, 4, 3)
     back = np.empty_like(state)
     back[order] = state
-    parts = [x.tobytes() for x in np.split(back, np.cumsum(sizes)[:-1])]
-    return pa.table({"blk": table.column("blk"), "bucket": table.column("bucket"), "states": pa.array(parts, pa.binary()), "found": pa.array([None] * len(parts), pa.binary())})
+    return _answers(table, _TOLD, "states", [x.tobytes() for x in np.split(back, np.cumsum(sizes)[:-1])])
+
+
+def _dealt(table: pa.Table) -> pa.Table:
+    """For hash pairs of hot windows, whether each occurs again."""
+    sizes, order, _, total_r, _, _ = _counted(table)
+    back = np.empty(len(order), np.uint8)
+    back[order] = total_r > 1
+    return _answers(table, _DEALT, "states", [x.tobytes() for x in np.split(back, np.cumsum(sizes)[:-1])])
 
 
 def _extension(poly: Poly, prefix: np.ndarray, x: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
@@ -284,7 +338,7 @@ def _repeated(heads, body, runs, window, poly) -> list[np.ndarray]:
     return np.split(hit, np.cumsum(runs)[:-1])
 
 
-def repeated_strings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, block_bytes: int = BLOCK_BYTES, block_rows: int = BLOCK_ROWS, carry: tuple[str, ...] = ()) -> DataFrame:
+def repeated_strings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, block_bytes: int = BLOCK_BYTES, block_rows: int = BLOCK_ROWS, carry: tuple[str, ...] = (), hot: int = HOT) -> DataFrame:
     """(doc_id, text, removed array<struct<start, stop>>, n_bytes, n_removed, n_spans, kept_sha256, carried); intervals are byte places.
 
     `text` is what is left, without characters that lost some of their bytes; `carried` is a struct of the
@@ -300,30 +354,35 @@ def repeated_strings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bl
     buckets = 1 << max(0, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length() if blocks > 1 else 1
     base = placed.select("blk", "doc_id", "text", "carried").repartition(max(blocks, 1), "blk")
 
-    def send(table: pa.Table) -> pa.Table:
-        block = Block(table, Scanner(window, gram))
-        g, r = block.g[block.one], block.r[block.one]
+    def packed(blk: int, g: np.ndarray, r: np.ndarray, twice: np.ndarray) -> dict:
+        """Columns that _counted() reads."""
         cuts = _slices(g, buckets)
-        return pa.table({
-            "blk": pa.array([table.column("blk")[0].as_py()] * len(cuts), pa.int32()),
+        return {
+            "blk": pa.array([blk] * len(cuts), pa.int32()),
             "bucket": pa.array([b for b, _, _ in cuts], pa.int32()),
             "grams": pa.array([pack_sorted(g[s:t]) for _, s, t in cuts], pa.binary()),
             "contexts": pa.array([r[s:t].astype("<u8").tobytes() for _, s, t in cuts], pa.binary()),
-            "twice": pa.array([np.packbits(block.twice[s:t]).tobytes() for _, s, t in cuts], pa.binary()),
-        })
+            "twice": pa.array([np.packbits(twice[s:t]).tobytes() for _, s, t in cuts], pa.binary()),
+        }
 
-    def read_states(block: Block, right: pa.Table) -> np.ndarray:
-        got = {b: s for b, s in zip(right.column("bucket").to_pylist(), right.column("states").to_pylist(), strict=True) if s is not None}
-        state = np.zeros(len(block.one), np.uint8)
-        for b, s, t in _slices(block.g[block.one], buckets):
+    def send(table: pa.Table) -> pa.Table:
+        block = Block(table, Scanner(window, gram))
+        return pa.table(packed(table.column("blk")[0].as_py(), block.g[block.one], block.r[block.one], block.twice))
+
+    def read(g: np.ndarray, right: pa.Table, kind: int) -> np.ndarray:
+        """The states that answer ascending hashes."""
+        rows = zip(right.column("kind").to_pylist(), right.column("bucket").to_pylist(), right.column("states").to_pylist(), strict=True)
+        got = {b: s for k, b, s in rows if k == kind}
+        state = np.zeros(len(g), np.uint8)
+        for b, s, t in _slices(g, buckets):
             state[s:t] = np.frombuffer(got[b], np.uint8)
         return state
 
     def offer(left: pa.Table, right: pa.Table) -> pa.Table:
         block = Block(left, Scanner(window, gram))
-        state = read_states(block, right)
-        asked = np.flatnonzero(state >= 2)
         g = block.g[block.one]
+        state = read(g, right, _TOLD)
+        asked = np.flatnonzero((state >= 2) & (state < 5))
         out = {"blk": [], "bucket": [], "asked": [], "heads": [], "body": []}
         for b, s, t in _slices(g[asked], buckets):
             some = asked[s:t]
@@ -337,9 +396,16 @@ def repeated_strings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bl
             for k, v in (("blk", left.column("blk")[0].as_py()), ("bucket", b), ("asked", pairs.tobytes()), ("heads", heads.tobytes()), ("body", body)):
                 out[k].append(v)
         kinds = {"blk": pa.int32(), "bucket": pa.int32()}
-        return pa.table({k: pa.array(v, kinds.get(k, pa.binary())) for k, v in out.items()})
+        sorts = pa.table({k: pa.array(v, kinds.get(k, pa.binary())) for k, v in out.items()})
+        sorts = sorts.append_column("kind", pa.array([_SORTED] * len(sorts), pa.int32()))
+        many = HotWindows(block, state, window)
+        deals = pa.table(packed(left.column("blk")[0].as_py(), many.g, many.r, many.twice))
+        deals = deals.append_column("kind", pa.array([_DEALT] * len(deals), pa.int32()))
+        return pa.concat_tables([sorts, deals], promote_options="default").select(["kind", "blk", "bucket", "asked", "heads", "body", "grams", "contexts", "twice"])
 
     def sort(table: pa.Table) -> pa.Table:
+        if table.column("kind")[0].as_py() == _DEALT:
+            return _dealt(table)
         heads = np.concatenate([np.frombuffer(x, _HEAD) for x in table.column("heads").to_pylist()])
         whole = b"".join(table.column("body").to_pylist())
         ends = np.cumsum(heads["runs"].astype(np.int64) + window - 1).tolist()
@@ -356,20 +422,23 @@ def repeated_strings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bl
         for raw in table.column("asked").to_pylist():
             asked = np.frombuffer(raw, _PAIR)
             answers.append(found[np.searchsorted(keys, asked)].tobytes())
-        empty = pa.array([None] * len(answers), pa.binary())
-        return pa.table({"blk": table.column("blk"), "bucket": table.column("bucket"), "states": empty, "found": pa.array(answers, pa.binary())})
+        return _answers(table, _SORTED, "found", answers)
 
     def apply(left: pa.Table, right: pa.Table) -> pa.Table:
         block = Block(left, Scanner(window, gram))
-        state = read_states(block, right) if len(block.one) else np.zeros(0, np.uint8)
+        g = block.g[block.one]
+        state = read(g, right, _TOLD)
         bits = np.zeros((len(block.one), 13), np.uint8)
-        for b, raw in zip(right.column("bucket").to_pylist(), right.column("found").to_pylist(), strict=True):
-            if raw is not None:
-                found = np.frombuffer(raw, _FOUND)
-                g = block.g[block.one]
-                # Asked for in ascending order, so the answers of a bucket stand beside its states of 2 and more.
-                here = np.flatnonzero((state >= 2) & ((g >> np.uint64(64 - (buckets - 1).bit_length())).astype(np.int64) == b)) if buckets > 1 else np.flatnonzero(state >= 2)
-                bits[here] = found["bits"]
+        where = (g >> np.uint64(64 - (buckets - 1).bit_length())).astype(np.int64) if buckets > 1 else np.zeros(len(g), np.int64)
+        for k, b, raw in zip(right.column("kind").to_pylist(), right.column("bucket").to_pylist(), right.column("found").to_pylist(), strict=True):
+            if k == _SORTED:
+                # Asked for in ascending order, so the answers of a bucket stand beside its states of 2 to 4.
+                bits[(state >= 2) & (state < 5) & (where == b)] = np.frombuffer(raw, _FOUND)["bits"]
+        many = HotWindows(block, state, window)
+        again, ends = read(many.g, right, _DEALT)[many.place], np.cumsum(many.counts).tolist()
+        for k, (c, n) in enumerate(zip(many.contexts.tolist(), many.counts.tolist(), strict=True)):
+            part = np.packbits(again[ends[k] - n : ends[k]])
+            bits[c, : len(part)] = part
         edge = np.zeros(len(block.bytes) + 1, np.int32)
         mine = state[block.place] if len(block.place) else np.zeros(0, np.uint8)
         whole = np.flatnonzero(mine == 1)
@@ -397,11 +466,12 @@ def repeated_strings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bl
         table = pa.table({k: pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()})
         return table.append_column("carried", left.column("carried"))
 
-    answer = "blk int, bucket int, states binary, found binary"
+    answer = "blk int, bucket int, kind int, states binary, found binary"
     sent = base.groupBy("blk").applyInArrow(send, "blk int, bucket int, grams binary, contexts binary, twice binary")
-    told = sent.groupBy("bucket").applyInArrow(_states, answer)
-    offered = base.groupBy("blk").cogroup(told.groupBy("blk")).applyInArrow(offer, "blk int, bucket int, asked binary, heads binary, body binary")
-    sorted_ = offered.groupBy("bucket").applyInArrow(sort, answer)
+    told = sent.groupBy("bucket").applyInArrow(lambda table: _states(table, hot), answer)
+    asks = "kind int, blk int, bucket int, asked binary, heads binary, body binary, grams binary, contexts binary, twice binary"
+    offered = base.groupBy("blk").cogroup(told.groupBy("blk")).applyInArrow(offer, asks)
+    sorted_ = offered.groupBy("kind", "bucket").applyInArrow(sort, answer)
     schema = "doc_id long, text string, removed array<struct<start: long, stop: long>>, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     schema = StructType([*StructType.fromDDL(schema).fields, base.schema["carried"]])
     return base.groupBy("blk").cogroup(told.unionByName(sorted_).groupBy("blk")).applyInArrow(apply, schema)

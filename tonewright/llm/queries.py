@@ -66,5 +66,23 @@ def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
+#: The Rabin-Karp operator by plain grouping of window texts.
+OP2_SQL = r"""WITH d AS (SELECT doc_id, row_number() OVER () AS rid, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+starts AS (SELECT doc_id, rid, i, array_to_string(w[i:i + 12], ' ') AS win FROM d, unnest(range(1, len(w) - 11)) r(i)),
+firsts AS (SELECT win, min(doc_id) AS f FROM starts GROUP BY win),
+gone AS (SELECT DISTINCT s.rid, unnest(range(s.i, s.i + 13)) AS pos FROM starts s JOIN firsts USING (win) WHERE f < s.doc_id),
+words AS (SELECT rid, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM d),
+kept AS (SELECT rid, string_agg(word, ' ' ORDER BY pos) AS t FROM words ANTI JOIN gone USING (rid, pos) GROUP BY rid),
+n AS (SELECT rid, count(*) AS n FROM gone GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (rid) LEFT JOIN n USING (rid)"""
+
+#: The range join as a plain one.
+OP6_SQL = r"""WITH u AS (SELECT page_id, row_number() OVER () AS rid, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+rules(n, action, h, p) AS (VALUES @RULES@),
+best AS (SELECT rid, h || p AS rule, action FROM u JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) QUALIFY row_number() OVER (PARTITION BY rid ORDER BY length(h || p) DESC, n) = 1)
+SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM u LEFT JOIN best USING (rid)""".replace("@RULES@", ", ".join(f"({n}, '{a}', '{h}', '{p}')" for n, (a, h, p) in enumerate(URL_RULES)))
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Twins in SQL; the other queries (networks, trees, hashes and alignments that SQL lacks) are tested against brute force."""
+    return {"op2_substring_dedup": OP2_SQL, "op6_url_filters": OP6_SQL}

@@ -177,14 +177,14 @@ def links(distinct: DataFrame, radius: int = 2, shard: int = 8192, sample: int =
     return sent.groupBy("shard").applyInArrow(search, "a long, b long")
 
 
-def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of `edges` (a, b), by alternating large-star and small-star contraction.
 
     Every round's edges are checkpointed; minima are aggregated before they are shuffled.
     """
     last = None
     now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    for _ in range(rounds):
+    while True:
         both = now.union(now.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()

@@ -11,8 +11,10 @@ STOPWORDS = ("the", "of", "and", "to", "in", "is", "that", "it", "for", "was", "
 
 def terms(rows: DataFrame, key: str, text: Column, stop: tuple[str, ...] = STOPWORDS, pairs: bool = True) -> DataFrame:
     """(key, term): distinct lower-case words of two characters or more and, after stop words, their neighbours' pairs."""
-    words = F.filter(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_]{2,}"), F.lit(0)), lambda w: ~w.isin(*stop))
-    t = rows.select(key, words.alias("w"))
+    # Stop words go by one pass of a pattern over the text: a lambda over every word is several times as slow.
+    shown = F.regexp_replace(F.lower("_text"), f"(?<![a-z0-9_])(?:{'|'.join(stop)})(?![a-z0-9_])", " ") if stop else F.lower("_text")
+    words = F.regexp_extract_all(shown, F.lit("[a-z0-9_]{2,}"), F.lit(0))
+    t = rows.select(key, text.alias("_text")).repartition(F.col(key)).select(key, words.alias("w"))
     if not pairs:
         return t.select(key, F.explode(F.array_distinct("w")).alias("term"))
     two = F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))

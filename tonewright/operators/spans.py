@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import SENTENCE, TOKEN, strip_tags
 
 
 def pieces(docs: DataFrame, pattern: str, name: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, pos, off, name): the matches of a pattern that covers the whole text, with their offsets."""
-    out = docs.select(key, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))).alias("pos", name))
+    """(key, pos, off, name): the matches of a pattern that covers the whole text, with their offsets.
+
+    Texts are dealt out by their key before they are cut up: that moves fewer bytes than their pieces would, and
+    all later windows and joins by the key find the pieces in place.
+    """
+    out = docs.select(key, text).repartition(F.col(key)).select(key, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))).alias("pos", name))
     before = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     return out.withColumn("off", F.coalesce(F.sum(F.length(name)).over(before), F.lit(0)).cast("int"))
 
@@ -56,10 +60,7 @@ def bounded(sents: DataFrame, boundary: str = "</?(post|quote)", key: str = "doc
     return sents.withColumn("part", F.sum(F.col("sent").rlike(boundary).cast("int")).over(upto).cast("int"))
 
 
-def target_window(words: DataFrame, targets: DataFrame, n: int = 10, key: str = "doc_id") -> DataFrame:
-    """The n words centred on each target word: (key, off, window)."""
-    ranked = words.withColumn("idx", F.row_number().over(Window.partitionBy(key).orderBy("off")))
-    at = targets.join(ranked.select(key, "off", F.col("idx").alias("at")), [key, "off"]).select(key, F.col("off").alias("target"), "at")
-    near = at.join(ranked, key).where(F.col("idx").between(F.col("at") - n // 2, F.col("at") + (n - 1 - n // 2)))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "tok"))), lambda x: x["tok"]), " ")
-    return near.groupBy(key, F.col("target").alias("off")).agg(joined.alias("window"))
+def target_window(words: DataFrame, target: Column, n: int = 10, key: str = "doc_id") -> DataFrame:
+    """The n words around each word for which `target` holds: (key, off, window)."""
+    near = Window.partitionBy(key).orderBy("off").rowsBetween(-(n // 2), n - 1 - n // 2)
+    return words.withColumn("_hit", target).withColumn("window", F.collect_list("tok").over(near)).where("_hit").select(key, "off", F.array_join("window", " ").alias("window"))

@@ -87,5 +87,4 @@ def context_bounded(t):
 SELECT a.doc_id, a.off, string_agg(b.tok, ' ' ORDER BY b.idx) AS "window" FROM w a JOIN w b ON a.doc_id = b.doc_id AND b.idx BETWEEN a.idx - 5 AND a.idx + 4 WHERE regexp_full_match(a.tok, '[A-Z][a-z]{{3,}}') GROUP BY a.doc_id, a.off""")
 def target_window(t):
     words = spans.tokens(t.documents).where(F.col("tok").rlike("^[A-Za-z]+$")).select("doc_id", "off", "tok")
-    targets = words.where(F.col("tok").rlike("^[A-Z][a-z]{3,}$")).select("doc_id", "off")
-    return spans.target_window(words, targets)
+    return spans.target_window(words, F.col("tok").rlike("^[A-Z][a-z]{3,}$"))

@@ -2,7 +2,7 @@
 
 Each element of a page is content or not.  An element's own evidence (its tag, what its class and id say, how
 much of its text is linked, how long the text is) gives its node potential, and each parent and child share
-an edge potential that depends on the child's kind.  The potentials are smoothed log frequencies in labelled pages.
+an edge potential that depends on the child's kind and on whether the parent is the body.  The potentials are smoothed log frequencies in labelled pages.
 The graph is a tree, so one sum-product pass up and one down give exact marginals; text
 whose element has a marginal of content over one half is kept.
 
@@ -137,6 +137,11 @@ def kind(node: Node) -> str:
     return _KINDS.get(node.tag, "head" if len(node.tag) == 2 and node.tag[0] == "h" and node.tag[1].isdigit() else "div")
 
 
+def edge_kind(node: Node, nodes: list[Node]) -> str:
+    """The child's kind; apart for children of the body, whose own state says nothing about them."""
+    return kind(node) + "^" * (nodes[node.parent].tag in ("body", "html"))
+
+
 def evidence(node: Node) -> tuple[str, str]:
     """Two discrete observations: what markup says, what the text looks like."""
     size = "0" if not node.size else "s" if node.size < 40 else "m" if node.size < 160 else "l"
@@ -157,8 +162,8 @@ class Model:
                     seen[label][k, e] += 1
                     words.add((k, e))
                 if n.parent >= 0:
-                    edges[kind(n), labels[n.parent], label] += 1
-                    kinds.add(kind(n))
+                    edges[edge_kind(n, nodes), labels[n.parent], label] += 1
+                    kinds.add(edge_kind(n, nodes))
         totals = [sum(c for (k, _), c in s.items() if not k) for s in seen]
         # Only kinds of evidence that were seen speak; others are neutral.
         self.node = {w: tuple(math.log((seen[s][w] + smooth) / (totals[s] + smooth * len(words))) for s in (0, 1)) for w in words}
@@ -182,7 +187,7 @@ class Model:
         """P(content) of every node: messages upward in reverse page order, then downward in page order."""
         n = len(nodes)
         own = [self.potential(x) for x in nodes]
-        edge = [self.edge.get(kind(x), self.neutral) for x in nodes]
+        edge = [self.edge.get(edge_kind(x, nodes), self.neutral) for x in nodes]
         low = [list(p) for p in own]  # evidence at and below
         up: list = [None] * n
         for k in range(n - 1, 0, -1):
@@ -208,7 +213,7 @@ def _add(a: float, b: float) -> float:
     return a + math.log1p(math.exp(b - a)) if a > b else b + math.log1p(math.exp(a - b))
 
 
-def labelled_pages(count: int = 400, seed: int = 3) -> list[tuple[list[Node], list[int]]]:
+def labelled_pages(count: int = 600, seed: int = 3) -> list[tuple[list[Node], list[int]]]:
     """Random pages whose elements' labels are known: content text is upper-case while a page is built and read."""
     rng = random.Random(seed)
     word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9)))
@@ -224,10 +229,16 @@ def labelled_pages(count: int = 400, seed: int = 3) -> list[tuple[list[Node], li
 
         def clutter() -> str:
             text, long = words(3, 20), words(12, 60)
+            # Any block may say what it is in its class or id.
+            said = one(["notice", "cookie-banner", "alert", "ad", "ads", "advert", "sponsored", "sidebar", "related-posts", "widget", "comments", "comment-list", "replies", "site-header", "site-footer", "copyright", "share-buttons", "social", "menu", "breadcrumbs", "newsletter", "subscribe", "promo"])
+            tag, attr = one(["p", "p", "div", "section", "aside", "ul"]), one(["class", "class", "id"])
+            held = f"<li>{text}</li><li>{long}</li>" if tag == "ul" else one([long, long, text]) if tag == "p" else one([f"<p>{long}</p>", f"<p>{long}</p><p>{text}</p>", text, f"<h3>{words(1, 3)}</h3><p>{long}</p>"])
+            if rng.random() < 0.4:
+                return f'<{tag} {attr}="{said}">{held}</{tag}>'
             return one([
                 menu(), f'<div class="ad">{text}</div>', f'<div class="advert"><p>{text}</p></div>', f'<div id="ad-slot"><span>{text}</span></div>', f'<aside class="sidebar"><h3>{words(1, 3)}</h3><p>{long}</p>{link()}</aside>', f"<aside><p>{long}</p></aside>",
                 f'<div class="sidebar"><ul><li>{link()}</li><li>{link()}</li></ul><p>{text}</p></div>', f'<div class="cookie-notice"><p>{long}</p><button>{words(1, 2)}</button></div>', f'<div class="notice">{text}</div>', f'<div class="newsletter"><form><label>{text}</label><input><button>{word()}</button></form></div>',
-                f"<form><p>{text}</p><input><button>{word()}</button></form>", f'<form action="/search"><label>{words(1, 3)}</label></form>', f'<section class="comments"><h3>{words(1, 2)}</h3><div class="comment"><p>{long}</p></div><div class="comment"><p>{text}</p></div></section>', f'<div id="comments"><ol><li><p>{long}</p></li><li><p>{words(12, 60)}</p></li></ol></div>',
+                f"<form><p>{text}</p><input><button>{word()}</button></form>", f'<form action="/search"><label>{words(1, 3)}</label></form>', f'<section class="comments"><h3>{words(1, 2)}</h3><div class="comment"><p>{long}</p></div><div class="comment"><p>{text}</p></div></section>', f'<div id="comments"><ol><li><p>{long}</p></li><li><p>{words(12, 60)}</p></li></ol></div>', f'<div class="comments"><article class="comment"><p>{long}</p></article><article class="comment"><p>{text}</p></article></div>',
                 f'<div class="related"><h3>{words(1, 2)}</h3><ul><li>{link()}</li><li>{link()}</li></ul></div>', f'<div class="share">{link()} {link()}</div>', f'<div class="promo"><p>{long}</p></div>', f'<div class="banner"><p>{long}</p></div>', f'<dialog><p>{text}</p></dialog>',
             ])
 
@@ -239,7 +250,7 @@ def labelled_pages(count: int = 400, seed: int = 3) -> list[tuple[list[Node], li
         for _ in range(rng.choice([0, 0, 1, 1, 2])):
             body.insert(rng.randint(0, len(body)), clutter())
         inner = "".join(body)
-        article = one([f"<article>{inner}</article>"] * 4 + [f"<main>{inner}</main>", f"<main><article>{inner}</article></main>", f'<div class="content">{inner}</div>', f'<div id="main"><div class="post-body">{inner}</div></div>', f'<div class="article">{inner}</div>', f"<div>{inner}</div>", f'<section class="story">{inner}</section>'])
+        article = one([f"<article>{inner}</article>"] * 4 + [f"<main>{inner}</main>", f"<main><article>{inner}</article></main>", f'<div class="content">{inner}</div>', f'<div id="main"><div class="post-body">{inner}</div></div>', f'<div class="article">{inner}</div>', f"<div>{inner}</div>", f'<section class="story">{inner}</section>', inner])
         head = one([f"<header>{words(1, 4)}{menu()}</header>", f'<div class="header"><h1>{words(1, 4)}</h1></div>', f'<header class="site-header"><h1>{link()}</h1><p>{words(2, 9)}</p></header>', menu(), menu(), ""])
         foot = one([f"<footer>{words(3, 15)}</footer>", f"<footer><p>{words(3, 15)}</p>{link()}</footer>", f'<div class="footer"><p>{words(3, 15)}</p></div>', f'<div id="footer">{words(3, 15)}</div>', ""])
         page = f"<html><head><title>{words(1, 5)}</title></head><body>{head}{''.join(clutter() for _ in range(rng.randint(0, 3)))}{article}{''.join(clutter() for _ in range(rng.randint(0, 3)))}{foot}</body></html>"

@@ -82,7 +82,19 @@ rules(n, action, h, p) AS (VALUES @RULES@),
 best AS (SELECT rid, h || p AS rule, action FROM u JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) QUALIFY row_number() OVER (PARTITION BY rid ORDER BY length(h || p) DESC, n) = 1)
 SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM u LEFT JOIN best USING (rid)""".replace("@RULES@", ", ".join(f"({n}, '{a}', '{h}', '{p}')" for n, (a, h, p) in enumerate(URL_RULES)))
 
+#: Repeated byte strings by grouping every window's digest, on the texts' hexadecimal digits.
+OP8_SQL = r"""WITH d AS (SELECT doc_id, row_number() OVER () AS rid, hex(encode(coalesce(text, ''))) AS h FROM documents),
+starts AS (SELECT rid, i, md5_number(substr(h, 2 * i + 1, 400)) AS k FROM d, unnest(range(0, length(h) // 2 - 199)) r(i)),
+again AS (SELECT k FROM starts GROUP BY k HAVING count(*) > 1),
+hits AS (SELECT rid, i, (i > lag(i, 1, -1000) OVER (PARTITION BY rid ORDER BY i) + 200)::INT AS fresh FROM starts SEMI JOIN again USING (k)),
+numbered AS (SELECT rid, i, sum(fresh) OVER (PARTITION BY rid ORDER BY i) AS s FROM hits),
+spans AS (SELECT rid, s, min(i) AS a, max(i) + 200 AS b FROM numbered GROUP BY rid, s),
+total AS (SELECT rid, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, max(b) AS tail FROM spans GROUP BY rid),
+gaps AS (SELECT rid, a, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY a), 0) AS from_ FROM spans),
+heads AS (SELECT g.rid, string_agg(substr(h, 2 * from_ + 1, 2 * (a - from_)), '' ORDER BY a) AS kept FROM gaps g JOIN d USING (rid) GROUP BY g.rid)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(tail, 0) + 1))) AS kept_sha256 FROM d LEFT JOIN total USING (rid) LEFT JOIN heads USING (rid)"""
+
 
 def oracle_sql() -> dict[str, str]:
     """Twins in SQL; the other queries (networks, trees, hashes and alignments that SQL lacks) are tested against brute force."""
-    return {"op2_substring_dedup": OP2_SQL, "op6_url_filters": OP6_SQL}
+    return {"op2_substring_dedup": OP2_SQL, "op6_url_filters": OP6_SQL, "op8_suffix_array_dedup": OP8_SQL}

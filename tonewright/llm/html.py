@@ -55,10 +55,10 @@ _KINDS = {"nav": "nav", "menu": "nav", "header": "header", "footer": "footer", "
 class Node:
     """An element: parent's index, tag, hint, characters of own and of linked text."""
 
-    __slots__ = ("parent", "tag", "hint", "size", "linked", "score")
+    __slots__ = ("parent", "tag", "hint", "size", "linked")
 
     def __init__(self, parent: int, tag: str, hint: str):
-        self.parent, self.tag, self.hint, self.size, self.linked, self.score = parent, tag, hint, 0, 0, 0.0
+        self.parent, self.tag, self.hint, self.size, self.linked = parent, tag, hint, 0, 0
 
 
 def parse(page: str) -> tuple[list[Node], list[tuple[int, str, bool]]]:
@@ -126,7 +126,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str, bool]]]:
                     break
             said = " ".join("".join(x) for x in _ATTR.findall(attrs)) if attrs else ""
             hint = next((name for name, words in _HINTS if words.search(said)), "other") if said else "none"
-            if tag == "body" and len(nodes) < 400 and open_[-1][1] == 0:
+            if tag == "body":  # its classes name the site, not a part of the page
                 hint = "none"
             nodes.append(Node(open_[-1][1], tag, hint))
             open_.append((tag, len(nodes) - 1))
@@ -259,14 +259,9 @@ def labelled_pages(count: int = 600, seed: int = 3) -> list[tuple[list[Node], li
         for at, text, _ in pieces:
             if text.strip():
                 shown[at][text.strip().isupper()] += 1
-        below = [any(c[True] for c in [s]) for s in shown]
-        for k in range(len(nodes) - 1, 0, -1):
-            # A wrapper is content where all that it holds with text is: else its clutter would inherit the label.
-            nodes[k].score = 0.0
-            if below[k]:
-                nodes[nodes[k].parent].score += 1
-        labels = [int(below[k]) for k in range(len(nodes))]
+        labels = [int(c[True] > 0) for c in shown]
         for k in range(len(nodes) - 1, 0, -1):
+            # A wrapper of content is content, unless text of its own isn't.
             parent = nodes[k].parent
             if labels[k] and parent and nodes[parent].tag not in ("body", "html") and not shown[parent][False]:
                 labels[parent] = 1

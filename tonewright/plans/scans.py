@@ -13,7 +13,6 @@ POL = "CASE WHEN toxic = 1 THEN 1 WHEN quality = 1 THEN 2 WHEN quality IS NOT NU
 BEL = "CASE WHEN quality = 1 AND toxic = 0 THEN 3 WHEN quality = 1 THEN 2 WHEN toxic = 1 THEN 1 WHEN quality IS NOT NULL OR toxic IS NOT NULL THEN 0 END"
 GEN = "CASE WHEN try_cast(substr(source, 4) AS INT) % 5 = 0 THEN 'nw' ELSE 'df' END"
 GOLD = f"gold AS (SELECT d.doc_id, {GEN} AS genre, {POL} AS y, {BEL} AS b FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"
-RATIO = "round(coalesce({a}::DOUBLE / nullif({b}, 0), 0), 6)"
 
 
 def metrics_sql(source: str, by: str = "") -> str:

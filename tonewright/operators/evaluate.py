@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import running
+
 
 def _ratio(a: Column, b: Column) -> Column:
     return F.round(F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0)), 6)
@@ -29,9 +31,9 @@ def one_against_rest(rows: DataFrame, gold: str, pred: str, classes: dict[str, i
 def roc(rows: DataFrame, gold: str, score: str) -> DataFrame:
     """(score, tpr, fpr) at each threshold, highest first.  Scores are counted before they are ordered."""
     n = rows.groupBy(F.col(score).alias("score")).agg(F.sum(F.col(gold)).alias("p"), F.sum(1 - F.col(gold)).alias("n"))
-    down, every = Window.orderBy(F.col("score").desc()), Window.partitionBy()
-    share = lambda c: _ratio(F.sum(c).over(down), F.sum(c).over(every))
-    return n.select("score", share("p").alias("tpr"), share("n").alias("fpr"))
+    up = running(n, ("score",), {"_p": F.col("p"), "_n": F.col("n")})
+    share = lambda c: _ratio(F.col(f"_{c}_total") - F.col(f"_{c}") + F.col(c), F.col(f"_{c}_total"))
+    return up.select("score", share("p").alias("tpr"), share("n").alias("fpr"))
 
 
 def majority(votes: DataFrame, by: tuple[str, ...], vote: str = "y") -> DataFrame:

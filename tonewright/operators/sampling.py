@@ -5,23 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import ranked
+
+#: Copies of a row that are made at a time.
+RUN = 10_000
+
 
 def ordered_split(files: DataFrame, share: dict[str, float], order: str, by: str = "genre") -> DataFrame:
     """Add `split`: in each group the first floor(n * share) rows train, the rest test."""
-    w = Window.partitionBy(by)
     limit = F.lit(0.0)
     for k, p in share.items():
         limit = F.when(F.col(by) == k, p).otherwise(limit)
-    rank, n = F.row_number().over(w.orderBy(order)), F.count(F.lit(1)).over(w)
-    return files.withColumn("split", F.when(rank <= F.floor(n * limit), "train").otherwise("test"))
+    split = F.when(F.col("rn") <= F.floor(F.col("rn_total") * limit), "train").otherwise("test")
+    return ranked(files, (order,), (by,)).select(*files.columns, split.alias("split"))
+
+
+def tail(rows: DataFrame, order: str, by: str, of: int = 10) -> DataFrame:
+    """Add `valid`: 1 for the last floor(n / of) rows of each group."""
+    held = (F.col("rn") > F.col("rn_total") - F.floor(F.col("rn_total") / of)).cast("int")
+    return ranked(rows, (order,), (by,)).select(*rows.columns, held.alias("valid"))
 
 
 def folds(rows: DataFrame, order: str, k: int, by: str) -> DataFrame:
     """Add `fold`: contiguous blocks of floor(n / k) rows of each group; the remainder is in no fold (null)."""
-    w = Window.partitionBy(by)
-    size = F.floor(F.count(F.lit(1)).over(w) / k)
-    fold = F.floor((F.row_number().over(w.orderBy(order)) - 1) / size)
-    return rows.withColumn("fold", F.when(fold < k, fold).cast("int"))
+    size = F.floor(F.col("rn_total") / k)
+    fold = F.floor((F.col("rn") - 1) / size)
+    return ranked(rows, (order,), (by,)).select(*rows.columns, F.when(fold < k, fold).cast("int").alias("fold"))
 
 
 def upsample_targets(counts: DataFrame, label: str = "y") -> DataFrame:
@@ -34,13 +43,12 @@ def upsample_targets(counts: DataFrame, label: str = "y") -> DataFrame:
 
 def upsample_cyclic(rows: DataFrame, order: str, label: str = "y") -> DataFrame:
     """Every class brought up to the largest by repeating its rows in turn; `copy` numbers the repeats."""
-    n = rows.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    top = n.agg(F.max("n").alias("top"))
-    sizes = n.crossJoin(F.broadcast(top))  # one row
-    ranked = rows.withColumn("rn", F.row_number().over(Window.partitionBy(label).orderBy(order)))
-    out = ranked.join(F.broadcast(sizes), label)  # a row for each class
-    last = F.floor((F.col("top") - F.col("rn")) / F.col("n"))
-    return out.select(*rows.columns, F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("copy"))
+    top = rows.groupBy(label).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("top"))
+    counted = ranked(rows, (order,), (label,)).crossJoin(F.broadcast(top))  # one row
+    last = F.floor((F.col("top") - F.col("rn")) / F.col("rn_total"))
+    # Copies come in runs, so that a class of one row needs no array of all its copies.
+    runs = counted.select(*rows.columns, last.alias("_last"), F.explode(F.sequence(F.lit(0).cast("long"), last, F.lit(RUN).cast("long"))).alias("_from"))
+    return runs.select(*rows.columns, F.explode(F.sequence("_from", F.least("_last", F.col("_from") + RUN - 1))).alias("copy"))
 
 
 def cap(rows: DataFrame, k: int, order: str, by: str) -> DataFrame:

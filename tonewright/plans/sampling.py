@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import sampling
+from ..operators import ranks, sampling
 from .registry import query
 from .scans import GOLD, gold
 
@@ -20,9 +19,7 @@ def ordered_split(t):
 
 @query(f"WITH {GOLD} SELECT doc_id, genre, (row_number() OVER (PARTITION BY genre ORDER BY doc_id) > count(*) OVER (PARTITION BY genre) - count(*) OVER (PARTITION BY genre) // 10)::INT AS valid FROM gold")
 def tail_split(t):
-    w = Window.partitionBy("genre")
-    n = F.count(F.lit(1)).over(w)
-    return gold(t).select("doc_id", "genre", (F.row_number().over(w.orderBy("doc_id")) > n - F.floor(n / 10)).cast("int").alias("valid"))
+    return sampling.tail(gold(t).select("doc_id", "genre"), "doc_id", "genre")
 
 
 @query(f"WITH {GOLD}, r AS (SELECT doc_id, genre, (row_number() OVER (PARTITION BY genre ORDER BY doc_id) - 1) // (count(*) OVER (PARTITION BY genre) // 3) AS f FROM gold) SELECT doc_id, genre, CASE WHEN f < 3 THEN f::INT END AS fold FROM r")
@@ -54,8 +51,8 @@ def upsample_cyclic(t):
 
 @query("SELECT conv_id, turn, role || '_' || (row_number() OVER (PARTITION BY role ORDER BY conv_id, turn) - 1) AS label FROM conversations")
 def ordinal_ids(t):
-    rank = F.row_number().over(Window.partitionBy("role").orderBy("conv_id", "turn")) - 1
-    return t.conversations.select("conv_id", "turn", F.concat_ws("_", "role", rank).alias("label"))
+    rows = ranks.ranked(t.conversations.select("conv_id", "turn", "role"), ("conv_id", "turn"), ("role",))
+    return rows.select("conv_id", "turn", F.concat_ws("_", "role", F.col("rn") - 1).alias("label"))
 
 
 @query()

@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import cut_class
-from ..operators import learners, sampling
+from ..operators import learners, nets, sampling
+from .features import matrix
 from .registry import Tables, query
 from .scans import gold
 
@@ -53,3 +54,36 @@ def ovo_predict(t):
 def doc_vectors(t):
     rows = t.conversations.select(F.concat_ws("-", "conv_id", "turn").alias("sample_id"), F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)).alias("w"))
     return learners.document_vectors(rows, "sample_id", "w").select("sample_id", F.size(vector_to_array("vec")).alias("dim"))
+
+
+def pictures(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """(conv_id, turn, x, y) to learn from and to judge: eight word vectors a turn; y is 1 for the assistant's turns."""
+    rows = matrix(t).groupBy("conv_id", "turn").agg(F.transform(F.array_sort(F.collect_list(F.struct("row", "vec"))), lambda c: c["vec"]).alias("x"))
+    known = rows.join(t.conversations.select("conv_id", "turn", (F.col("role") == "assistant").cast("int").alias("y")), ["conv_id", "turn"])
+    test = sampling.bucket(F.col("conv_id"), 5) == 0
+    return known.where(~test), known.where(test)
+
+
+KEY = ("conv_id", "turn")
+
+
+@query()
+def dense_predict(t):
+    """With dropout and early stopping, which Spark's own network lacks."""
+    return nets.fit_predict(*pictures(t), KEY, (8, 64), nets.dense(8 * 64, 2), epochs=20, patience=3, most=4000)
+
+
+@query()
+def cnn_predict(t):
+    return nets.fit_predict(*pictures(t), KEY, (8, 64, 1), nets.convolutional(8, 64, 2), epochs=2, most=4000)
+
+
+@query()
+def cnn_deep_predict(t):
+    """Two layers of filters and a wider hidden layer."""
+    return nets.fit_predict(*pictures(t), KEY, (8, 64, 1), nets.convolutional(8, 64, 2, (32, 64), 128), epochs=3, batch=32, most=2000)
+
+
+@query()
+def lstm_predict(t):
+    return nets.fit_predict(*pictures(t), KEY, (8, 64), nets.recurrent(64, 2), epochs=1, most=4000)

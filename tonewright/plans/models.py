@@ -81,7 +81,7 @@ def cnn_predict(t):
 @query()
 def cnn_deep_predict(t):
     """Two layers of filters and a wider hidden layer."""
-    return nets.fit_predict(*pictures(t), KEY, (8, 64, 1), nets.convolutional(8, 64, 2, (32, 64), 128), epochs=3, batch=32, most=2000)
+    return nets.fit_predict(*pictures(t), KEY, (8, 64, 1), nets.convolutional(8, 64, 2, (32, 64), 128, 0.25), epochs=3, batch=32, most=2000)
 
 
 @query()

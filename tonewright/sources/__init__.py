@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,11 +80,62 @@ def annotation_file(spark: SparkSession, path: str, tag: str, first: bool = True
     return rows.select("file", "target_id", "a.task", "a.label", "a.sarcasm", F.col("a.source._ere_id").alias("source_id"), _int("a.source._offset").alias("source_off"), _int("a.source._length").alias("source_len"), F.col("a.source._VALUE").alias("source_text"))
 
 
-def embedding_lines(lines: DataFrame) -> DataFrame:
-    """(word, vec) from lines `word v1 v2 ...`; of repeated words any one stays."""
+_RESULT_ARG = "STRUCT<_ere_id STRING, _offset STRING, _length STRING, text STRING>"
+_RESULT_ITEM = f"STRUCT<_ere_id STRING, _offset STRING, _length STRING, text STRING, trigger {_SPAN}, {_SENTIMENT}, {_BELIEF}, arguments STRUCT<arg ARRAY<{_RESULT_ARG}>>>"
+_LAYER = f"STRUCT<entities STRUCT<entity ARRAY<{_RESULT_ITEM}>>, relations STRUCT<relation ARRAY<{_RESULT_ITEM}>>, events STRUCT<event ARRAY<{_RESULT_ITEM}>>>"
+#: XML of whole result files.
+RESULT = f"_id STRING, sentiment_annotations {_LAYER}, belief_annotations {_LAYER}"
+
+
+def result_file(spark: SparkSession, path: str) -> DataFrame:
+    """(file, sentiment_annotations, belief_annotations): result files as written by the sinks."""
+    return _xml(spark, path, "belief_sentiment_doc", RESULT)
+
+
+def result_rows(files: DataFrame, task: str) -> tuple[DataFrame, DataFrame]:
+    """The targets of one task and the arguments of its events, flat: what the sinks take.
+
+    The first label of a target counts; a sentiment has a source only where its polarity isn't none.
+    """
+    at = f"{task}_annotations"
+    listed = {"entity": f"{at}.entities.entity", "relation": f"{at}.relations.relation", "event": f"{at}.events.event"}
+    tagged = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(c).alias("xs")) for k, c in listed.items()))
+    items = files.select("file", F.explode(tagged).alias("t")).select("file", "t.kind", F.explode("t.xs").alias("x"))
+    first = F.col("x.sentiments.sentiment")[0] if task == "sentiment" else F.col("x.beliefs.belief")[0]
+    label = first["_polarity"] if task == "sentiment" else first["_type"]
+    source = F.when(label != "none", first["source"]) if task == "sentiment" else first["source"]
+    whole = items.withColumns({"label": label, "s": source})
+    span = [F.coalesce(f"x._{n}", f"x.trigger._{n}").try_cast("int").alias(c) for c, n in (("off", "offset"), ("len", "length"))]
+    rows = whole.select("file", "kind", F.col("x._ere_id").alias("target_id"), *span, F.coalesce("x.text", "x.trigger._VALUE").alias("text"), "label", F.col("s._ere_id").alias("source_id"), _int("s._offset").alias("source_off"), _int("s._length").alias("source_len"), F.col("s._VALUE").alias("source_text"))
+    args = items.where("kind = 'event'").select("file", F.col("x._ere_id").alias("event_id"), F.explode("x.arguments.arg").alias("a"))
+    return rows, args.select("file", "event_id", F.col("a._ere_id").alias("arg_id"), _int("a._offset").alias("off"), _int("a._length").alias("len"), "a.text")
+
+
+def embedding_lines(lines: DataFrame, order: tuple[str, ...] = ()) -> DataFrame:
+    """(word, vec) from lines `word v1 v2 ...`; of repeated words the last in `order` stays (no order: any one)."""
     parts = F.split(F.col("value"), r"\s+")
-    rows = lines.select(parts[0].alias("word"), F.transform(F.slice(parts, 2, F.size(parts) - 1), lambda x: x.try_cast("float")).alias("vec"))
-    return rows.dropDuplicates(["word"])
+    vec = F.transform(F.slice(parts, 2, F.size(parts) - 1), lambda x: x.try_cast("float"))
+    if not order:
+        return lines.select(parts[0].alias("word"), vec.alias("vec")).dropDuplicates(["word"])
+    rows = lines.select(parts[0].alias("word"), vec.alias("vec"), F.struct(*order).alias("_at"))
+    return rows.groupBy("word").agg(F.max_by("vec", "_at").alias("vec"))
+
+
+def embedding_file(spark: SparkSession, path: str) -> DataFrame:
+    """(word, vec) of embedding text files; of repeated words the last in the file stays."""
+    at = {"_file": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start"), "_line": F.monotonically_increasing_id()}
+    return embedding_lines(spark.read.text(path).withColumns(at), ("_file", "_block", "_line"))
+
+
+def model_vectors(model) -> DataFrame:
+    """(word, vec) of a fitted or loaded Word2Vec model."""
+    return model.getVectors().select("word", vector_to_array("vector", "float32").alias("vec"))
+
+
+def sample_csv(spark: SparkSession, path: str) -> DataFrame:
+    """(text, label): the first and the last column of CSV files without a header."""
+    rows = spark.read.option("multiLine", True).option("escape", '"').csv(path)
+    return rows.select(F.col(rows.columns[0]).alias("text"), F.col(rows.columns[-1]).alias("label"))
 
 
 def review_folders(spark: SparkSession, path: str) -> DataFrame:

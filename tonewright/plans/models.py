@@ -16,8 +16,11 @@ from .scans import gold
 def features(t: Tables) -> DataFrame:
     """(doc_id, y, x, test): eight text statistics of every annotated document."""
     size = F.length("text") + 1
-    share = lambda p: F.size(F.regexp_extract_all("text", F.lit(p), F.lit(0))) / size
-    x = F.array(F.log(size), *(share(p) for p in ("[A-Z]", "[!]", "[|]", "[*$%&#]", " ", r"\n", "[.,]")))
+    # Single characters are counted by taking them out, which is much faster than by patterns.
+    without = lambda c: F.length("text") - F.length(F.replace(F.col("text"), F.lit(c)))
+    share = lambda chars: sum(map(without, chars[1:]), without(chars[0])) / size
+    capitals = F.regexp_count("text", F.lit("[A-Z]")) / size
+    x = F.array(F.log(size), capitals, *map(share, ("!", "|", "*$%&#", " ", "\n", ".,")))
     d = t.documents.select("doc_id", array_to_vector(x).alias("x"))
     rows = gold(t).where("y is not null").join(d, "doc_id").select("doc_id", F.col("y").cast("double").alias("y"), "x")
     return rows.withColumn("test", sampling.bucket(F.col("doc_id"), 5) == 0)

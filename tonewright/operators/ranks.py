@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def _cut_points(rows: DataFrame, order: tuple[str, ...], parts: int, sample: int) -> list:
-    """At most parts - 1 ascending keys, quantiles of a bounded random sample; results don't depend on which."""
-    drawn = rows.select(*order).orderBy(F.rand(7)).limit(sample)
+    """At most parts - 1 ascending keys, quantiles of some `sample` rows drawn at random; results don't depend on which."""
+    drawn = rows.select(*order).sample(min(1.0, sample / max(1, rows.count())), 7)
     keys = [tuple(r) for r in drawn.orderBy(*order).collect()]
     found = [keys[i * len(keys) // parts] for i in range(1, parts)] if keys else []
     return list(dict.fromkeys(found))

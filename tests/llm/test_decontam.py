@@ -66,6 +66,22 @@ def test_edited_copies(spark):
     assert got == want
 
 
+def test_edited_copy_in_many_documents(spark):
+    """One edited copy, every fifth word replaced, with over half of the 3-grams gone: found however many documents hold it.
+
+    In the last case the item's lost 3-grams occur elsewhere, once each.
+    """
+    words = [f"w{k}" for k in range(40)]
+    copy = " ".join("new" if k % 5 == 0 else w for k, w in enumerate(words))
+    tests = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    lost = [" ".join(words[k : k + 3]) for k in range(38) if {k % 5, (k + 1) % 5, (k + 2) % 5} & {0}]
+    for copies, others in ((1, []), (5, []), (1000, []), (1000, lost)):
+        rows = [(d, f"before {d} {copy} after") for d in range(copies)] + [(5000 + d, t) for d, t in enumerate(others)]
+        got = decontam.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), tests).collect()
+        assert sorted(r.doc_id for r in got) == list(range(copies))
+        assert {r.score for r in got} == {0.625}  # 32 words match, 7 between them do not
+
+
 def test_odd(spark, odd, none, monkeypatch):
     tests = spark.createDataFrame([(1, None), (2, ""), (3, "one two three"), (3, "one two three"), (4, "one"), (None, "a null id carries words"), (5, "?!")], "item_id long, text string").selectExpr("*", "7 as doc_id")
     want = {(4, 4), (5, 4), (6, 3), (6, 4), (12, 3), (12, 4), (None, None)}

@@ -1,11 +1,12 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Words are runs of letters and digits, lower-cased.  The n-grams (`GRAM` words, or the whole item if it is shorter)
-of the test items are looked up in every document and their document frequency is counted over all documents.
-An item's rare n-grams are its seeds: those in at most `SPREAD` times as many documents as its median n-gram.  So common
-phrases are no seeds, and an item that the corpus repeats often still has some.  Where `HITS` different seeds of an item (or all it has) lie close together in a document, the item is aligned
-with the words around them: a local alignment with match 1, mismatch and gap -1.  A document is contaminated if
-the best alignment reaches `THRESHOLD` of the score of a verbatim copy.
+of the test items are looked up in every document.  All of an item's n-grams are its seeds, however many documents
+hold them: a cut by document frequency would drop just those that an often repeated copy still has.  Where `HITS`
+different seeds of an item (or all it has) lie close together in a document, and enough of the item's words for the
+threshold occur around them, the item is aligned with the words there: a local alignment with match 1, mismatch and
+gap -1.  A document is contaminated if the best alignment reaches `THRESHOLD` of the score of a verbatim copy.
+Copies so broken up that fewer than `HITS` of their n-grams are left have no seeds and are not found.
 
 Items are read in blocks of at most `BLOCK` bytes of text, each of which is shipped with the tasks; every
 block meets all documents.
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, texts
 
-GRAM, SPREAD, HITS, THRESHOLD = 3, 4, 2, 0.5
+GRAM, HITS, THRESHOLD = 3, 2, 0.5
 BLOCK = 16 << 20
 _WORDS = re.compile(r"[^\W_]+").findall
 
@@ -119,14 +120,14 @@ def _clusters(places: np.ndarray, gap: int):
     return zip(edges[:-1], edges[1:], strict=True)
 
 
-def matches(items: Items, rare: dict[int, list[np.ndarray]], needed: np.ndarray, text: str, threshold: float):
+def matches(items: Items, needed: np.ndarray, text: str, threshold: float):
     """(item, score share, start, stop) of every item that a text holds a copy of."""
     numbers = items.read(text)
     hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
     for size, places, at in items.found(numbers):
-        kept = rare[size]
+        holders = items.by_size[size][1]
         for p, c in zip(places.tolist(), at.tolist(), strict=True):
-            for k in kept[c]:
+            for k in holders[c]:
                 hits[k].append((p, c))
     for k, seen in sorted(hits.items()):
         if len({c for _, c in seen}) < needed[k]:
@@ -138,6 +139,8 @@ def matches(items: Items, rare: dict[int, list[np.ndarray]], needed: np.ndarray,
             if len(set(codes[a:b])) < needed[k]:
                 continue
             low, high = max(0, int(places[a]) - 2 * len(item)), int(places[b - 1]) + 2 * len(item) + items.gram
+            if np.isin(item, numbers[low:high]).sum() < threshold * len(item):  # no alignment has more matches than that
+                continue
             score, end = align(item, numbers[low:high])
             if score >= threshold * len(item) and (best is None or score > best[0]):
                 best = score, low, high
@@ -146,25 +149,16 @@ def matches(items: Items, rare: dict[int, list[np.ndarray]], needed: np.ndarray,
             yield k, score / len(item), best[1] + start, best[1] + stop
 
 
-def rare_seeds(items: Items, frequency: dict[int, np.ndarray], spread: float, hits: int):
-    """For every n-gram the items that keep it as a seed, and the number of different seeds each item needs."""
-    by_item: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
-    for size, (_, holders) in items.by_size.items():
-        for c, found in enumerate(holders):
-            for k in found:
-                by_item[k].append((int(frequency[size][c]), c, size))
-    rare = {size: [[] for _ in holders] for size, (_, holders) in items.by_size.items()}
-    needed = np.ones(len(items.words), np.int64)
-    for k, grams in by_item.items():
-        median = sorted(grams)[len(grams) // 2][0]
-        chosen = [g for g in grams if g[0] <= spread * max(1, median)]
-        needed[k] = min(hits, len(chosen))
-        for _, c, size in chosen:
-            rare[size][c].append(k)
-    return rare, needed
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, gram: int = GRAM, spread: float = SPREAD, hits: int = HITS, threshold: float = THRESHOLD) -> DataFrame:
+def needed_seeds(items: Items, hits: int) -> np.ndarray:
+    """The number of different seeds each item needs: `hits`, or all it has."""
+    held = np.zeros(len(items.words), np.int64)
+    for _, holders in items.by_size.values():
+        for found in holders:
+            held[found] += 1
+    return np.minimum(hits, held)
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, gram: int = GRAM, hits: int = HITS, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, item_id, score, start_word, stop_word): every document that holds a copy of a test item, verbatim or edited."""
     bounded_batches(docs.sparkSession)
     docs = texts(docs)
@@ -174,33 +168,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, gram: int = GRAM, spread
     for b in range(blocks):
         # A block has about BLOCK bytes of text, whatever the benchmark's size.
         rows = sorted(((r["item_id"], r["text"]) for r in tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()), key=str)
-        found = _against(docs, Items(rows, gram), spread, hits, threshold)
+        found = _against(docs, Items(rows, gram), hits, threshold)
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def _against(docs: DataFrame, items: Items, spread: float, hits: int, threshold: float) -> DataFrame:
-    def count(batches):
-        total = {size: np.zeros(len(codes), np.int64) for size, (codes, _) in items.by_size.items()}
-        for b in batches:
-            for text in b.column("text").to_pylist():
-                for size, _, at in items.found(items.read(text)):
-                    total[size][np.unique(at)] += 1
-        rows = [(size, int(c), int(n[c])) for size, n in total.items() for c in np.flatnonzero(n)]
-        columns = list(zip(*rows, strict=True)) or [(), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int64())], ["size", "gram", "n"])
-
-    frequency = {size: np.zeros(len(codes), np.int64) for size, (codes, _) in items.by_size.items()}
-    counts = docs.select("text").mapInArrow(count, "size int, gram int, n long").groupBy("size", "gram").agg(F.sum("n").alias("n"))
-    for r in counts.collect():  # one row a distinct n-gram of the block of items
-        frequency[r["size"]][r["gram"]] = r["n"]
-    rare, needed = rare_seeds(items, frequency, spread, hits)
+def _against(docs: DataFrame, items: Items, hits: int, threshold: float) -> DataFrame:
+    needed = needed_seeds(items, hits)
 
     def search(batches):
         for b in batches:
             rows = []
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                rows += [(doc, items.ids[k], share, start, stop) for k, share, start, stop in matches(items, rare, needed, text, threshold)]
+                rows += [(doc, items.ids[k], share, start, stop) for k, share, start, stop in matches(items, needed, text, threshold)]
             columns = list(zip(*rows, strict=True)) or [()] * 5
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "item_id", "score", "start_word", "stop_word"])

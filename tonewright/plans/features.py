@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -123,6 +124,43 @@ def matrix(t: Tables) -> DataFrame:
     return out.select("conv_id", "turn", "row", F.when(F.col("word") == "<pad>", F.array_repeat(F.lit(0.1), 64)).otherwise(F.col("vec")).alias("vec"))
 
 
+#: Words of a turn that the matrices of networks have, and ids that sequences have.
+WIDTH, LENGTH = 56, 1000
+
+
+def matrix_ids(t: Tables) -> DataFrame:
+    """(conv_id, turn, ids): the first 56 words of a turn: 0 pads, 1 is a word without a vector, others are their rank + 1."""
+    cells = turns(t).select("conv_id", "turn", F.posexplode(padded(F.col("ws"), WIDTH, F.lit("<pad>"))).alias("row", "word"))
+    known = vocabulary(t).join(t.embeddings, F.col("vec_id") == F.col("rank") - 1).select("word", "rank")
+    found = cells.join(known, "word", "left").select("conv_id", "turn", "row", F.when(F.col("word") == "<pad>", 0).otherwise(F.coalesce(F.col("rank") + 1, F.lit(1))).alias("id"))
+    return found.groupBy("conv_id", "turn").agg(F.transform(F.array_sort(F.collect_list(F.struct("row", "id"))), lambda c: c["id"]).alias("ids"))
+
+
+def sequence_ids(t: Tables) -> DataFrame:
+    """(conv_id, turn, ids): the last 1000 known words of a turn as ranks, padded in front with 0."""
+    rows = turns(t).where("ws is not null").select("conv_id", "turn").distinct().join(known_words(t), ["conv_id", "turn"], "left")
+    return rows.select("conv_id", "turn", F.expr(f"coalesce(concat(array_repeat(0, {LENGTH} - size(ids)), ids), array_repeat(0, {LENGTH}))").alias("ids"))
+
+
+def known_words(t: Tables) -> DataFrame:
+    """(conv_id, turn, ids): the ranks of a turn's known words in their order, the last 1000 of them; turns without any have no row."""
+    words = turns(t).select("conv_id", "turn", F.posexplode("ws").alias("pos", "word")).join(vocabulary(t), "word")
+    all_ids = words.groupBy("conv_id", "turn").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "rank"))), lambda x: x["rank"]).alias("ids"))
+    return all_ids.select("conv_id", "turn", F.expr(f"slice(ids, greatest(size(ids) - {LENGTH - 1}, 1), {LENGTH})").alias("ids"))
+
+
+def vector_table(t: Tables, first: tuple[float, ...], miss: float) -> np.ndarray:
+    """One row an id: the `first` constant ones, then those of ranks from 1 (`miss` where a word has no vector): 20,000 at most."""
+    ranked = vocabulary(t).join(t.embeddings, F.col("vec_id") == F.col("rank") - 1, "left").select("rank", F.col("embedding").cast("array<double>").alias("vec")).collect()
+    table = np.full((len(first) + len(ranked), 64), miss)
+    for k, v in enumerate(first):
+        table[k] = v
+    for r in ranked:
+        if r["vec"] is not None:
+            table[len(first) + r["rank"] - 1] = r["vec"]
+    return table
+
+
 @query(f"WITH {MATRIX} SELECT conv_id, turn, row::INT AS row, round(vec[1], 6) AS a, round(vec[64], 6) AS z FROM matrix")
 def embedding_matrix(t):
     return matrix(t).select("conv_id", "turn", "row", F.round(F.col("vec")[0], 6).alias("a"), F.round(F.col("vec")[63], 6).alias("z"))

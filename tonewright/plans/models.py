@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cut_class
 from ..operators import learners, nets, sampling
-from .features import matrix
+from .features import LENGTH, WIDTH, matrix_ids, sequence_ids, vector_table
 from .registry import Tables, query
 from .scans import gold
 
@@ -59,34 +59,43 @@ def doc_vectors(t):
     return learners.document_vectors(rows, "sample_id", "w").select("sample_id", F.size(vector_to_array("vec")).alias("dim"))
 
 
-def pictures(t: Tables) -> tuple[DataFrame, DataFrame]:
-    """(conv_id, turn, x, y) to learn from and to judge: eight word vectors a turn; y is 1 for the assistant's turns."""
-    rows = matrix(t).groupBy("conv_id", "turn").agg(F.transform(F.array_sort(F.collect_list(F.struct("row", "vec"))), lambda c: c["vec"]).alias("x"))
-    known = rows.join(t.conversations.select("conv_id", "turn", (F.col("role") == "assistant").cast("int").alias("y")), ["conv_id", "turn"])
+def pictures(t: Tables, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(conv_id, turn, x, y) to learn from and to judge: x holds a turn's ids as its only row; y is 1 for the assistant's turns."""
+    rows = ids.select(*KEY, F.array("ids").alias("x"))
+    known = rows.join(t.conversations.select(*KEY, (F.col("role") == "assistant").cast("int").alias("y")), list(KEY))
     test = sampling.bucket(F.col("conv_id"), 5) == 0
     return known.where(~test), known.where(test)
 
 
+def words_first(t: Tables, shape: tuple[int, ...], network: nets.Network) -> nets.Network:
+    """`network` behind the vectors of the matrices' ids."""
+    return nets.Network([nets.Lookup(vector_table(t, (0.1, 0.01), 0.01), shape), *network.layers])
+
+
 KEY = ("conv_id", "turn")
 
 
 @query()
 def dense_predict(t):
     """With dropout and early stopping, which Spark's own network lacks."""
-    return nets.fit_predict(*pictures(t), KEY, (8, 64), nets.dense(8 * 64, 2), epochs=20, patience=3, most=4000)
+    net = words_first(t, (WIDTH, 64), nets.dense(WIDTH * 64, 2))
+    return nets.fit_predict(*pictures(t, matrix_ids(t)), KEY, (WIDTH,), net, epochs=20, patience=3, most=4000)
 
 
 @query()
 def cnn_predict(t):
-    return nets.fit_predict(*pictures(t), KEY, (8, 64, 1), nets.convolutional(8, 64, 2), epochs=2, most=4000)
+    net = words_first(t, (WIDTH, 64, 1), nets.convolutional(WIDTH, 64, 2))
+    return nets.fit_predict(*pictures(t, matrix_ids(t)), KEY, (WIDTH,), net, epochs=2, most=4000, at_once=32)
 
 
 @query()
 def cnn_deep_predict(t):
     """Two layers of filters and a wider hidden layer."""
-    return nets.fit_predict(*pictures(t), KEY, (8, 64, 1), nets.convolutional(8, 64, 2, (32, 64), 128, 0.25), epochs=3, batch=32, most=2000)
+    net = words_first(t, (WIDTH, 64, 1), nets.convolutional(WIDTH, 64, 2, (32, 64), 128, 0.25))
+    return nets.fit_predict(*pictures(t, matrix_ids(t)), KEY, (WIDTH,), net, epochs=3, batch=32, most=2000, at_once=32)
 
 
 @query()
 def lstm_predict(t):
-    return nets.fit_predict(*pictures(t), KEY, (8, 64), nets.recurrent(64, 2), epochs=1, most=4000)
+    net = nets.Network([nets.Lookup(vector_table(t, (0.0,), 0.0), (LENGTH, 64)), *nets.recurrent(64, 2).layers])
+    return nets.fit_predict(*pictures(t, sequence_ids(t)), KEY, (LENGTH,), net, epochs=1, most=4000, at_once=32)

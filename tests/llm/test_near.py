@@ -1,0 +1,58 @@
+import random
+
+from tonewright.llm import near
+
+
+def brute_sets(texts):
+    out = []
+    for t in texts:
+        w = (t or "").lower().split()
+        out.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set()))
+    return out
+
+
+def brute_kept(rows):
+    """The first row of each component, by trying all pairs."""
+    sets, left, kept = brute_sets([t for _, t in rows]), set(range(len(rows))), []
+    while left:
+        todo, group = [left.pop()], []
+        while todo:
+            x = todo.pop()
+            group.append(x)
+            met = {y for y in left if sets[x] == sets[y] or 5 * len(sets[x] & sets[y]) >= 4 * len(sets[x] | sets[y])}
+            left -= met
+            todo += met
+        kept.append(min((rows[x][0] is None, rows[x][0] or 0, rows[x][1] or "") for x in group)[1:])
+    return sorted(kept)
+
+
+def made():
+    """Copies with 0 to 8 words changed of 200, chains of copies, texts of one passage and their own words, exact copies."""
+    rng, words = random.Random(3), [f"w{k}" for k in range(5000)]
+    texts, passage = [], rng.choices(words, k=60)
+    for _ in range(40):
+        base = rng.choices(words, k=rng.randint(3, 300))
+        for _ in range(rng.randint(0, 6)):
+            copy = list(base)
+            for _ in range(rng.randint(0, 8)):
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            texts.append(" ".join(copy))
+            base = copy if rng.random() < 0.5 else base
+        texts.append(" ".join(passage + rng.choices(words, k=rng.randint(5, 60))))
+    return [(i, t) for i, t in enumerate(texts + texts[:10])]
+
+
+def test_against_all_pairs(spark, monkeypatch):
+    rows = made()
+    monkeypatch.setattr(near, "PART_BYTES", 20_000)
+    got = near.distinct_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    want = brute_kept(rows)
+    assert sorted((r.doc_id, r.text) for r in got) == want and len(want) < 0.8 * len(rows)
+
+
+def test_odd(odd, none):
+    rows = [(r.doc_id, r.text) for r in odd.collect()]
+    got = near.distinct_documents(odd)
+    assert got.columns == odd.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in got.collect()) == brute_kept(rows)
+    assert near.distinct_documents(none).collect() == []

@@ -31,3 +31,12 @@ def test_odd_rows(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame([(1, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert cp.run(spark, str(tmp_path)).count() > 0
+
+
+def test_near_duplicates_share_five_word_shingles(spark):
+    """A near copy at 0.8 goes, texts that differ more stay."""
+    words = [f"w{k}" for k in range(200)]
+    changed = lambda *at: " ".join("new" if k in at else w for k, w in enumerate(words))
+    rows = [(1, changed()), (2, changed(50, 100)), (3, changed(20, 40, 60, 80, 100, 120, 140)), (4, changed()), (5, changed(150, 199))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in cp.simhash_near_dedup(spark, docs, "").collect()) == [1, 3]

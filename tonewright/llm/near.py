@@ -1,0 +1,204 @@
+"""Near-duplicates by exact set similarity: all pairs of texts that share `SHARE` or more of their five-word shingles.
+
+A text's set holds the XXH64 (seed 42) of its distinct five-word shingles (the whole text, if it is shorter); words are those of
+`simhash`.  Likeness is the Jaccard share of two sets.  Equal sets are one node from the start.  In the order of
+their hashes, two sets that are alike enough share one of each one's first n - ceil(0.8 n) + 1 hashes, so every
+such pair meets under a shared hash.  There, pairs that lengths or 32 bin counts (a lower bound of what two sets don't
+share) rule out go, and then those that meet too seldom: of two sets, the one whose first hashes end first can
+lack only so many of them in the other.  The rest are verified on the whole sets.  First each is tried with the least of its hash's
+sets, which joins large groups by few pairs; then all pairs that are not yet in one component are tried.  None are dropped.
+
+Defined results: null and wordless texts have the empty set and are alike; of each component one row stays, that of the least
+doc_id (null ids last), then of the least other columns; an empty table gives an empty result.
+Sets are told apart by 64 bits.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
+
+from .common import bounded_batches, cut
+from .simhash import SEED, components
+
+SHINGLE = 5
+BINS = 32
+#: Bytes of text whose hashes meet in one group: some 150,000 rows.
+PART_BYTES = 4 << 20
+SIDE = 1024
+
+
+def shingles(text: str | None) -> np.ndarray:
+    """The ascending distinct hashes of a text."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
+    if len(words) <= SHINGLE:
+        return np.array([digest(joined, SEED)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts = np.concatenate(([0], ends[:-1]))[: len(words) - SHINGLE + 1].tolist()
+    return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts, (ends[SHINGLE - 1 :] - 1).tolist(), strict=True)], np.uint64))
+
+
+def name_of(found: np.ndarray) -> int:
+    x = xxhash.xxh64_intdigest(found.tobytes(), SEED)
+    return x - (1 << 64) if x >> 63 else x
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets share 0.8 of their union."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 5 * both >= 4 * (len(a) + len(b) - both)
+
+
+def possible(n: np.ndarray, bins: np.ndarray, n2: np.ndarray, bins2: np.ndarray) -> np.ndarray:
+    """Which pairs lengths and bins don't rule out."""
+    apart = np.abs(bins.astype(np.int16) - bins2.astype(np.int16)).sum(-1, dtype=np.int64)
+    return (5 * np.minimum(n, n2) >= 4 * np.maximum(n, n2)) & (n + n2 >= 9 * apart)
+
+
+def least_meetings(n: np.ndarray, n2: np.ndarray, last: np.ndarray, last2: np.ndarray) -> np.ndarray:
+    """How many of their first hashes two sets share at least if they are alike; `last` is the last of a set's first hashes."""
+    both = -(-4 * (n + n2) // 9)
+    first = np.where(last <= last2, n, n2)
+    return np.maximum(1, both + (-4 * first // 5) + 1)
+
+
+def named(docs: DataFrame) -> DataFrame:
+    """`docs` with `_set`, the name of each text's set."""
+
+    def run(batches):
+        for b in batches:
+            names = [name_of(shingles(t)) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.int64())], [*b.schema.names, "_set"])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_set", LongType())]))
+
+
+def _unpack(cells: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(cells.to_pylist()), np.uint8).reshape(-1, BINS)
+
+
+def _runs(h: np.ndarray):
+    edges = np.flatnonzero(np.diff(h)) + 1
+    return zip([0, *edges.tolist()], [*edges.tolist(), len(h)], strict=True)
+
+
+def shared_hashes(docs: DataFrame, parts: int) -> DataFrame:
+    """(part, h, id, n, last, bins, lead, least): each set under those of its first hashes that another set also has; lead is the least set there that may be like it, or null, and least their meetings."""
+
+    def send(batches):
+        seen: set[int] = set()
+        for b in batches:
+            rows = []
+            for text in b.column("text").to_pylist():
+                found = shingles(text)
+                name = name_of(found)
+                if len(found) and name not in seen:
+                    seen.add(name)
+                    rows.append((found, name))
+            for at in range(0, len(rows), 200):
+                firsts, names, sizes, bins = [], [], [], []
+                for found, name in rows[at : at + 200]:
+                    n = len(found)
+                    firsts.append(found[: n + (-4 * n // 5) + 1])
+                    names.append(name)
+                    sizes.append(n)
+                    bins.append(np.minimum(np.bincount((found >> np.uint64(59)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes())
+                h, count = np.concatenate(firsts), [len(f) for f in firsts]
+                each = np.repeat(np.arange(len(firsts)), count)
+                columns = [(h % np.uint64(parts)).astype(np.int32), h.view(np.int64), np.array(names, np.int64)[each], np.array(sizes, np.int32)[each], np.array([f[-1] for f in firsts], np.uint64).view(np.int64)[each]]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(bins, pa.binary()).take(pa.array(each))], ["part", "h", "id", "n", "last", "bins"])
+
+    def meet(table: pa.Table) -> pa.Table:
+        h, ids = table.column("h").to_numpy(), table.column("id").to_numpy()
+        order = np.lexsort((ids, h))
+        fresh = np.ones(len(order), bool)  # a set that several tasks sent counts once
+        fresh[1:] = (np.diff(h[order]) != 0) | (np.diff(ids[order]) != 0)
+        order = order[fresh]
+        _, back, count = np.unique(h[order], return_inverse=True, return_counts=True)
+        kept = table.take(pa.array(order[count[back] > 1]))
+        h, ids, n = kept.column("h").to_numpy(), kept.column("id").to_numpy(), kept.column("n").to_numpy().astype(np.int64)
+        first = np.searchsorted(h, h)
+        bins = _unpack(kept.column("bins"))
+        ok = possible(n, bins, n[first], bins[first]) & (first != np.arange(len(h)))
+        last = kept.column("last").to_numpy().view(np.uint64)
+        kept = kept.append_column("lead", pa.array(ids[first], pa.int64(), mask=~ok))
+        return kept.append_column("least", pa.array(least_meetings(n, n[first], last, last[first]), pa.int64()))
+
+    sent = docs.select("text").mapInArrow(send, "part int, h long, id long, n int, last long, bins binary")
+    return sent.groupBy("part").applyInArrow(meet, "part int, h long, id long, n int, last long, bins binary, lead long, least long")
+
+
+def other_pairs(placed: DataFrame) -> DataFrame:
+    """(a, b): pairs under shared hashes that are in different components (`root`) and may be alike."""
+
+    def pairs(table: pa.Table) -> pa.Table:
+        h, ids, roots, n, last = (table.column(c).to_numpy() for c in ("h", "id", "root", "n", "last"))
+        order = np.lexsort((ids, h))
+        h, ids, roots, n, last = h[order], ids[order], roots[order], n[order].astype(np.int64), last[order].view(np.uint64)
+        bins, out = _unpack(table.column("bins"))[order], [np.empty((0, 3), np.int64)]
+        for a, b in _runs(h) if len(h) else ():
+            if (roots[a:b] == roots[a]).all():
+                continue
+            for i in range(a, b):
+                for low in range(i + 1, b, SIDE):
+                    at = np.arange(low, min(b, low + SIDE))
+                    at = at[(roots[at] != roots[i]) & (5 * np.minimum(n[at], n[i]) >= 4 * np.maximum(n[at], n[i]))]
+                    at = at[possible(n[i], bins[i], n[at], bins[at])] if len(at) else at
+                    if len(at):
+                        out.append(np.stack([np.full(len(at), ids[i]), ids[at], least_meetings(n[i], n[at], last[i], last[at])], 1))
+        found, times = np.unique(np.concatenate(out), axis=0, return_counts=True)
+        return pa.table({"a": found[:, 0], "b": found[:, 1], "least": found[:, 2], "times": times})
+
+    met = placed.select("part", "h", "id", "root", "n", "last", "bins").groupBy("part").applyInArrow(pairs, "a long, b long, least long, times long")
+    return met.groupBy("a", "b", "least").agg(F.sum("times").alias("times")).where("times >= least").select("a", "b")
+
+
+def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Those (a, b) whose sets are alike; only sets in pairs are built and sent."""
+    pairs = cut(pairs)
+    ids = pairs.select(F.col("a").alias("_set")).union(pairs.select("b")).distinct()
+
+    def whole(batches):
+        for b in batches:
+            cells = [shingles(t).tobytes() for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("_set"), pa.array(cells, pa.binary())], ["id", "hashes"])
+
+    texts = named(docs.select("text")).join(ids, "_set", "left_semi").groupBy("_set").agg(F.min("text").alias("text"))
+    sets = cut(texts.mapInArrow(whole, "id long, hashes binary"))
+
+    def judge(batches):
+        for b in batches:
+            ok = [alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True)]
+            kept = b.filter(pa.array(ok, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([kept.column("a"), kept.column("b")], ["a", "b"])
+
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(judge, "a long, b long")
+
+
+def roots_of(docs: DataFrame) -> DataFrame:
+    """(node, root) of every set that is like another one."""
+    bounded_batches(docs.sparkSession)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shared = cut(shared_hashes(docs, max(1, -(-size // PART_BYTES))))
+    led = shared.where("lead is not null").groupBy(F.col("lead").alias("a"), F.col("id").alias("b")).agg(F.count(F.lit(1)).alias("times"), F.min("least").alias("least"))
+    near = cut(verified(led.where("times >= least").select("a", "b"), docs))
+    placed = shared.join(components(near), F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id"))
+    more = cut(verified(other_pairs(placed), docs))
+    return components(near.union(more))
+
+
+def distinct_documents(docs: DataFrame) -> DataFrame:
+    """One row of each component of near-duplicates."""
+    others = [c for c in docs.columns if c != "doc_id"]
+    roots = roots_of(docs).select(F.col("node").alias("_set"), F.col("root").alias("_root"))
+    rows = named(docs).join(roots, "_set", "left")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("_late"), "doc_id", *(f"`{c}`" for c in others))).alias("_row")
+    return rows.groupBy(F.coalesce("_root", "_set").alias("_group")).agg(least).select(*(F.col(f"_row.`{c}`").alias(c) for c in docs.columns))

@@ -40,3 +40,16 @@ def test_near_duplicates_share_five_word_shingles(spark):
     rows = [(1, changed()), (2, changed(50, 100)), (3, changed(20, 40, 60, 80, 100, 120, 140)), (4, changed()), (5, changed(150, 199))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r.doc_id for r in cp.simhash_near_dedup(spark, docs, "").collect()) == [1, 3]
+
+
+def test_rows_are_judged_one_by_one(spark, tmp_path):
+    """Exact copies leave one row, null ids included; only the contaminated ones of rows with equal or null ids go."""
+    item = "every word of this item is in the text"
+    rows = [(3, "a b c"), (3, "a b c"), (None, "d e f"), (None, "d e f"), (None, "a b c"), (None, f"now {item} so"), (7, item), (7, "clean words here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    key = lambda r: (str(r[0]), r[1])
+    left = cp.simhash_near_dedup(spark, docs, str(tmp_path))
+    assert sorted(map(tuple, left.collect()), key=key) == sorted([(3, "a b c"), (None, "d e f"), (None, f"now {item} so"), (7, item), (7, "clean words here")], key=key)
+    left = cp.benchmark_decontamination(spark, left, str(tmp_path))
+    assert sorted(map(tuple, left.collect()), key=key) == sorted([(3, "a b c"), (None, "d e f"), (7, "clean words here")], key=key)

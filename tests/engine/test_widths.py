@@ -44,3 +44,11 @@ def test_networks_are_as_wide(tables, monkeypatch, name, shape):
     (width, net), = seen
     x = net.layers[0].forward(np.zeros((2, *width)), None)
     assert x.shape == (2, *shape) and net.probabilities(np.zeros((2, *width))).shape == (2, 2)
+
+
+@pytest.mark.parametrize("name", ["dense_predict", "cnn_predict", "cnn_deep_predict", "lstm_predict"])
+def test_networks_learn_from_as_many_rows_as_stated(tables, monkeypatch, name):
+    seen = []
+    monkeypatch.setattr(nets, "fit_predict", lambda *rest, most=20_000, **named: seen.append(most))
+    getattr(models, name)(tables)
+    assert seen == [20_000]

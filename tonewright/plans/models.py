@@ -79,23 +79,23 @@ KEY = ("conv_id", "turn")
 def dense_predict(t):
     """With dropout and early stopping, which Spark's own network lacks."""
     net = words_first(t, (WIDTH, 64), nets.dense(WIDTH * 64, 2))
-    return nets.fit_predict(*pictures(t, matrix_ids(t)), KEY, (WIDTH,), net, epochs=20, patience=3, most=4000)
+    return nets.fit_predict(*pictures(t, matrix_ids(t)), KEY, (WIDTH,), net, epochs=20, patience=3)
 
 
 @query()
 def cnn_predict(t):
     net = words_first(t, (WIDTH, 64, 1), nets.convolutional(WIDTH, 64, 2))
-    return nets.fit_predict(*pictures(t, matrix_ids(t)), KEY, (WIDTH,), net, epochs=2, most=4000, at_once=32)
+    return nets.fit_predict(*pictures(t, matrix_ids(t)), KEY, (WIDTH,), net, epochs=2, at_once=32)
 
 
 @query()
 def cnn_deep_predict(t):
     """Two layers of filters and a wider hidden layer."""
     net = words_first(t, (WIDTH, 64, 1), nets.convolutional(WIDTH, 64, 2, (32, 64), 128, 0.25))
-    return nets.fit_predict(*pictures(t, matrix_ids(t)), KEY, (WIDTH,), net, epochs=3, batch=32, most=2000, at_once=32)
+    return nets.fit_predict(*pictures(t, matrix_ids(t)), KEY, (WIDTH,), net, epochs=3, batch=32, at_once=32)
 
 
 @query()
 def lstm_predict(t):
     net = nets.Network([nets.Lookup(vector_table(t, (0.0,), 0.0), (LENGTH, 64)), *nets.recurrent(64, 2).layers])
-    return nets.fit_predict(*pictures(t, sequence_ids(t)), KEY, (LENGTH,), net, epochs=1, most=4000, at_once=32)
+    return nets.fit_predict(*pictures(t, sequence_ids(t)), KEY, (LENGTH,), net, epochs=1, at_once=32)

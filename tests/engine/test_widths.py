@@ -52,3 +52,10 @@ def test_networks_learn_from_as_many_rows_as_stated(tables, monkeypatch, name):
     monkeypatch.setattr(nets, "fit_predict", lambda *rest, most=20_000, **named: seen.append(most))
     getattr(models, name)(tables)
     assert seen == [20_000]
+
+
+def test_word_index_sequences_keep_the_last_1000_known_words(tables):
+    rank = {r["word"]: r["rank"] for r in features.vocabulary(tables).collect()}
+    words = tables.conversations.where("conv_id = 2").first()["text"].split()
+    got = {(r.conv_id, r.turn): r for r in features.word_index_sequences(tables).collect()}
+    assert got[2, 0].words == 1000 and got[2, 0].ids == " ".join(str(rank[w]) for w in words[-1000:])

@@ -65,3 +65,8 @@ def test_order_of_paragraphs_and_insertion(spark):
     word = lambda s: [int(s[8 * k : 8 * k + 8], 16) for k in range(fp.STRONG)]
     added = word(spark.range(1).select(fp.strong_lanes(F.lit("b c"))).first()[0])
     assert [(x + y) % 2**32 for x, y in zip(word(got[2]), added, strict=True)] == word(got[3])
+
+
+def test_lanes_beyond_16_bits(spark):
+    """One line 40,000 times: likeness comes from the whole sums."""
+    check(spark.createDataFrame([(1, "a b\n" * 40_000 + "c d\n" * 30_000), (2, "a b\nc d e f\n" * 30)], "doc_id long, text string"))

@@ -104,8 +104,8 @@ def fingerprints(docs: DataFrame, block_bytes: int = BLOCK_BYTES, block_rows: in
     sign = F.when(F.col("h") < 0, 0).otherwise(1 - 2 * F.shiftright("h", 20).bitwiseAND(1)).cast("long")
     elements = elements.select("blk", "rid", "which", lane.alias("lane"), sign.alias("v"))
     sums = elements.groupBy("blk", "rid", "which", "lane").agg(F.sum("v").alias("v"))
-    centred = F.pmod(F.col("v") + _M16 // 2, F.lit(_M16)) - _M16 // 2
-    lanes = sums.groupBy("blk", "rid", "which").agg(F.array_sort(F.collect_list(F.struct("lane", centred.cast("int").alias("v")))).alias("s"))
+    # Likeness is that of the whole sums; they are reduced in the printed fingerprint only.
+    lanes = sums.groupBy("blk", "rid", "which").agg(F.array_sort(F.collect_list(F.struct("lane", "v"))).alias("s"))
     lanes = lanes.select("blk", "rid", "which", F.transform("s", lambda x: x["v"]).alias("s"))
     lanes = lanes.groupBy("blk", "rid").agg(F.max(F.when(F.col("which") == 0, F.col("s"))).alias("a"), F.max(F.when(F.col("which") == 1, F.col("s"))).alias("b"))
     lanes = lanes.withColumn("c", F.lead("a").over(Window.partitionBy("blk").orderBy("rid")))
@@ -113,7 +113,7 @@ def fingerprints(docs: DataFrame, block_bytes: int = BLOCK_BYTES, block_rows: in
     plain = known.where("guest = 0").select(
         "blk", "rid", "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), strong_lanes(F.col("text")).alias("strong"), strong_lanes(F.col("edited")).alias("edited_strong")
     )
-    text_of = lambda s: F.array_join(F.transform(s, lambda v: _hex(F.pmod(v.cast("long"), F.lit(_M16)), 4)), "")
+    text_of = lambda s: F.array_join(F.transform(s, lambda v: _hex(F.pmod(v, F.lit(_M16)), 4)), "")
     out = plain.join(lanes, ["blk", "rid"])
     return out.select(
         "doc_id", "n_chars", "edited_sha256",

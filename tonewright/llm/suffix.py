@@ -8,23 +8,27 @@ A suffix array of the whole corpus is cut into independent small ones by content
 1. Anchors.  The minimizer of a window is the leftmost of its `GRAM`-byte grams with the least polynomial hash.
    Equal windows have equal minimizers at equal places, so windows need comparing only with windows around
    an equal gram.  Consecutive windows of one anchor form a run; its context is the text they cover.
-2. Documents lie in blocks of neighbouring doc_ids.  A block sends each bucket of the gram space its distinct
-   (gram, context hash) pairs, packed, and the bucket answers with a state for each: the gram is nowhere else;
-   or all its contexts are one context that occurs again; or it has several contexts, and who sends the text.
+2. Rows lie in blocks drawn by their place in the input, so that no id and no copied text fills one.  A block sends each
+   bucket of the gram space its distinct (gram, context hash) pairs, packed, and the bucket answers with a state for
+   each: the gram is nowhere else; or all its contexts are one context that occurs again; or it has several contexts,
+   and who sends the text.  Blocks and buckets grow with the square root of the input beyond 400 GB (`row_blocks`).
 3. Suffix sort.  Distinct contexts of grams with several are sorted: the suffixes that start at each
    window's place, up to the window's length.  Prefix polynomial hashes and a binary search give the common
    extension of two suffixes in a logarithmic number of steps; merges compare with it.  Neighbours in the
    sorted order with a common extension of a whole window are the repeats, verified byte by byte.  Windows at
    different distances from the gram can't be equal, so each distance of each gram is sorted by itself.
-   A gram with over `HOT` contexts (the edge of a passage that a third of all documents share, say) is not gathered:
-   its suffixes are dealt out by the hash of their whole window, the same prefix hash that the sort compares
-   with at full length, so that equal ones meet and others part; only hashes travel, two of 64 bits each.
+   A gram with over `HOT` contexts (the edge of a passage that a third of all documents share, say) would be an
+   unbounded sort, so its suffixes are first dealt out by the prefix hash of their whole window, the one that the sort compares
+   with at full length: equal ones meet and others part, and what meets is sorted by hash.  The answer is the same
+   for every bound; no context and no window is left out.
 4. The blocks, laid out by the same exchange, get the answers and cut their texts.
 
-Equal contexts are told by the 64-bit hash of the context beside the 64-bit hash of the gram.
+Collisions: where texts meet (the sort), equal hashes are checked byte by byte.  Where only hashes travel (a context
+that occurs again as a whole, the dealt windows) two independent polynomial hashes of 64 bits each have to agree.
 
-Defined results: null texts are empty; texts shorter than a window are kept; repeated rows are
-repeats of each other; null doc_ids are kept; empty tables give empty results; other columns are not read.
+Defined results: null texts are empty; texts shorter than a window are kept; a text of any length is read whole, scanned
+in pieces of 256 KB; repeated rows are repeats of each other; null doc_ids are kept; empty tables give empty
+results; other columns are not read.
 """
 
 from __future__ import annotations
@@ -37,16 +41,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import bounded_batches, id_blocks, pack_sorted, unpack_sorted
+from .common import BLOCK_BYTES, bounded_batches, pack_sorted, row_blocks, unpack_sorted
 
 WINDOW, GRAM = 200, 100
-BLOCK_BYTES, BLOCK_ROWS = 8 << 20, 100_000
+BLOCK_ROWS = 100_000
 #: Bytes scanned at once.
 PIECE = 1 << 18
 _BITS = 22
 #: Suffixes sorted at once, but for a single gram with more.
 CHUNK = 400_000
-#: Contexts of one gram that are sorted in one task at most.
+#: Contexts of one gram that are sorted in one task at most: a bound of memory, not of what is compared.
 HOT = 1000
 _SORTED, _DEALT, _TOLD = 0, 1, 2  # kinds of answers
 _HEAD = np.dtype([("g", "<u8"), ("r", "<u8"), ("off", "u1"), ("runs", "u1"), ("twice", "u1")])
@@ -346,13 +350,12 @@ def repeated_strings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bl
     """
     if window - gram + 1 > 101:
         raise ValueError("runs of over 101 windows don't fit their bitmaps")
-    spark = docs.sparkSession
-    bounded_batches(spark)
+    bounded_batches(docs.sparkSession)
     carried = F.struct(F.lit(None).cast("int").alias("_"), *carry).alias("carried")
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), carried)
-    placed, blocks = id_blocks(plain, block_bytes, block_rows)
-    buckets = 1 << max(0, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length() if blocks > 1 else 1
-    base = placed.select("blk", "doc_id", "text", "carried").repartition(max(blocks, 1), "blk")
+    placed, blocks, _ = row_blocks(plain, block_bytes, block_rows)
+    buckets = 1 << (blocks - 1).bit_length()
+    base = placed.select("blk", "doc_id", "text", "carried")
 
     def packed(blk: int, g: np.ndarray, r: np.ndarray, twice: np.ndarray) -> dict:
         """Columns that _counted() reads."""

@@ -3,13 +3,16 @@
 Words are runs of letters or of punctuation, lower-cased; a word in capitals is the word `<caps>`, and one that
 repeats the word before it (a mark may stand between) is `<again>`.  Words are hashed to `BUCKETS` rows, which bounds the table whatever the corpus holds.  Random indexing: every row has a
 sparse random index vector, and its context vector is the sum of the index vectors of the words up to
-`REACH` places away, over all documents.  Tasks count this exactly in integers and tables are added up in Spark.
+`REACH` places away, over all documents.  Tasks count this exactly in integers; their tables are added up in a tree,
+`FAN` at a time, so that no task gathers more however many there are.
 A document is the mean of its words' normalised vectors.  The network (one hidden layer, numpy) learns from at most
-`sample` labelled rows and its temperature is set on rows that it did not learn from.
+`sample` labelled rows, drawn by a hash of their id, and its temperature is set on rows that it did not learn from.
 
-Defined results: null and empty texts have the zero vector and are scored; null labels are not
-learned from; with fewer than two classes to learn from every score is the mean label (0.5 without
-labels); repeated rows are scored alike; other columns are not read; empty tables give empty results.
+Defined results: null and empty texts have the zero vector and are scored; a text of any length is read whole, in the
+memory that its words take; null labels are not learned from; of rows with one id the least text is learned from, once for each of
+its labels; with fewer than two classes to learn from every score is the mean label (0.5 without labels);
+repeated rows are scored alike; empty tables give empty results.  Other columns are not read, and stay: `score` puts its
+two in place of columns of the names that it is given, `accepted` leaves all columns as they are.
 """
 
 from __future__ import annotations
@@ -23,8 +26,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from .common import bounded_batches, texts
+from .common import bounded_batches, cut, texts
 
 BUCKETS, DIM, ENTRIES, REACH = 1 << 14, 64, 2, 2
 #: Rows for marks; `<again>` and `<caps>` have rows 0 and 1.
@@ -35,6 +39,8 @@ THRESHOLD = 0.3
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 30, 128, 3e-3, 1e-4
 _WORD = re.compile(r"[^\W_]+|[^\w\s]+|_+").findall
 _GROUP = 256
+#: Tables that are added up in one task at most.
+FAN = 32
 
 
 class _Buckets(dict):
@@ -106,11 +112,17 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
 
     def add(table: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(zlib.decompress(x), np.int64) for x in table.column("sums").to_pylist())
-        return pa.table({"rows": table.column("rows")[:1], "sums": pa.array([zlib.compress(total.tobytes())], pa.binary())})
-
-    sums = docs.select("text").mapInArrow(count, "rows int, sums binary").groupBy("rows").applyInArrow(add, "rows int, sums binary")
+        return pa.table({"rows": table.column("rows")[:1], "at": table.column("at")[:1], "sums": pa.array([zlib.compress(total.tobytes())], pa.binary())})
+
+    # Each task's part of the table is one row; `at` numbers the rows of one part, and every level has a FAN-th of them.
+    sums = docs.select("text").mapInArrow(count, "rows int, sums binary").withColumn("at", F.spark_partition_id())
+    tables = cut(sums)
+    left = (tables.agg(F.max("at")).first()[0] or 0) + 1
+    while left > 1:
+        left = -(-left // FAN)
+        tables = tables.withColumn("at", F.floor(F.col("at") / FAN).cast("int")).groupBy("rows", "at").applyInArrow(add, "rows int, at int, sums binary")
     out = np.zeros((BUCKETS, DIM), np.float64)
-    for r in sums.collect():
+    for r in tables.collect():
         out[r["rows"] : r["rows"] + _GROUP] = np.frombuffer(zlib.decompress(r["sums"]), np.int64).reshape(_GROUP, DIM)
     return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
@@ -190,8 +202,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
     """Word vectors of `docs` and the network learned from `labels` (doc_id, quality)."""
     docs = texts(docs)
     vectors = word_vectors(docs)
-    usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where(learns(F.col("doc_id")) & F.col("quality").isNotNull())
-    chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
+    mark = [F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")]
+    usable = labels.select(*mark).where(learns(F.col("doc_id")) & F.col("quality").isNotNull()).distinct().withColumn("h", F.xxhash64("doc_id", "quality"))
+    # A bound on the hash leaves little more than `sample` rows in all, so that tasks don't each send as many.
+    share = min(1.0, 1.2 * sample / max(1, usable.count()))
+    few = usable if share == 1 else usable.where(F.col("h") < int(share * 2**64) - 2**63)
+    chosen = few.orderBy("h", "doc_id", "quality").limit(sample).select("doc_id", "quality")
 
     def pool(batches):
         known = _Buckets()
@@ -199,32 +215,37 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
             x = pooled(b.column("text").to_pylist(), vectors, known)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "quality", "x"])
 
-    # `chosen` has at most `sample` rows of two numbers, so it may be broadcast.
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text").mapInArrow(pool, "doc_id long, quality int, x binary").limit(4 * sample).collect()
+    # `chosen` has at most `sample` rows of two numbers, so it may be broadcast; one text for each of them is left.
+    known = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    rows = known.mapInArrow(pool, "doc_id long, quality int, x binary").collect()
     rows = sorted(rows, key=lambda r: (r["doc_id"], r["quality"], r["x"]))
     x = np.array([np.frombuffer(r["x"], np.float32) for r in rows], np.float32).reshape(len(rows), DIM)
     return vectors, train(x, np.array([r["quality"] for r in rows]))
 
 
-def score(docs: DataFrame, vectors: np.ndarray, net: Network, threshold: float = THRESHOLD) -> DataFrame:
-    """`docs` with score and predicted; other columns stay."""
+def score(docs: DataFrame, vectors: np.ndarray, net: Network, threshold: float = THRESHOLD, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """`docs` with two more columns, the score and whether it reaches the threshold, in place of columns of these names."""
     bounded_batches(docs.sparkSession)
-    names = [c for c in docs.columns if c not in ("score", "predicted")]
+    docs = docs.select(*(f"`{c}`" for c in docs.columns if c.lower() not in {n.lower() for n in names}))
 
     def run(batches):
         known = _Buckets()
         for b in batches:
             found = net.scores(pooled([t or "" for t in b.column("text").to_pylist()], vectors, known))
-            columns = [b.column(c) for c in names] + [pa.array(found), pa.array((found >= threshold).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, [*names, "score", "predicted"])
-
-    from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
+            columns = [*b.columns, pa.array(found), pa.array((found >= threshold).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, [*b.schema.names, *names])
 
-    fields = [docs.schema[c] for c in names] + [StructField("score", DoubleType()), StructField("predicted", IntegerType())]
-    return docs.select(*names).mapInArrow(run, StructType(fields))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(names[0], DoubleType()), StructField(names[1], IntegerType())]))
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every document."""
     found = score(texts(docs), *fit(docs, labels))
     return found.select("doc_id", F.coalesce(~learns(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of `docs` whose score reaches the threshold, with their own columns."""
+    free = lambda name: name if name not in {c.lower() for c in docs.columns} else free(f"_{name}")
+    names = free("score"), free("predicted")
+    return score(docs, *fit(docs, labels), threshold, names).where(F.col(f"`{names[1]}`") == 1).select(*(f"`{c}`" for c in docs.columns))

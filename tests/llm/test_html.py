@@ -4,6 +4,7 @@ import math
 import os
 import random
 import re
+import time
 
 import pytest
 
@@ -77,6 +78,26 @@ def test_broken_markup():
     text("<div>" * 5000 + PROSE + "</p>" * 50)
 
 
+def test_formulas_pictures_and_frames():
+    """Formulas and labels of pictures are read where they are content; frames of adverts and menus of choices are not."""
+    page = f"""<article><p>{PROSE} The rule is <math><mi>x</mi><mo>=</mo><msup><mi>y</mi><mn>2</mn></msup></math> for all.</p>
+    <figure><svg><title>t</title><text>North of the river</text></svg><figcaption>A map of all the town</figcaption></figure><object><p>{PROSE}</p></object></article>
+    <form><select><option>One</option><option>Two</option></select></form><div class="ad"><iframe src="x">Buy now</iframe></div>"""
+    assert text(page) == f"{PROSE} The rule is x=y2 for all. North of the river A map of all the town {PROSE}"
+
+
+@pytest.mark.parametrize("page", ["<b>" * 100_000 + "</i>" * 100_000, "<i><div>" + "<b>" * 100_000 + "</i>" * 100_000, "<ul><li><div>" + "<h1>" * 50_000 + "<li>" * 50_000, "<div>" * 50_000 + "</p></li>" * 50_000])
+def test_reading_is_linear(page):
+    began = time.process_time()
+    html.parse(page)
+    assert time.process_time() - began < 5  # a scan of the open elements for each tag would take many minutes
+
+
+def test_a_long_page():
+    page = "<article>" + f"<p>{PROSE}</p>" * 100_000 + "</article>"
+    assert len(page) > 10_000_000 and text(page) == " ".join([PROSE] * 100_000)
+
+
 def test_odd_rows(spark):
     rows = [(1, "u", None), (2, None, ""), (None, "u", "<p>x"), (2, None, "")]
     frame = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as text", "2 as n_chars")

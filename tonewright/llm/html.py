@@ -9,9 +9,13 @@ whose element has a marginal of content over one half is kept.
 The labelled pages come from labelled_pages(): random pages of many layouts, in which every element's label is
 known because the page is built from labelled parts.
 
+Only scripts, styles, comments, titles, templates and the raw text of `noscript` and `textarea` are left out unread; whether formulas,
+pictures' labels, frames and menus of choices are content is for the model to say.
+
 Defined results: null html is empty and gives empty text; markup may be cut off or badly nested: unclosed
-elements end with their parents, stray ends are ignored, a tag that never ends is dropped; repeated rows are
-treated alike; a page without content gives the empty string; other columns are not read.
+elements end with their parents, stray ends are ignored, a tag that never ends is dropped; reading takes time in proportion to
+the page, whatever its nesting, and a page of any length is read whole, in the memory that its elements take; repeated rows are
+treated alike; a page without content gives the empty string; empty tables give empty results; other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,8 +33,9 @@ from pyspark.sql import functions as F
 from .common import bounded_batches
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title svg math iframe object select".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rp rt s samp small span strike strong sub sup time tt u var".split())
+RAW = frozenset("script style noscript template textarea title".split())
+MATH = "math semantics annotation menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover"
+INLINE = frozenset(f"a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rp rt s samp small span strike strong sub sup time tspan tt u var {MATH}".split())
 #: An opening tag ends these open elements.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPES = frozenset("ul ol dl table div section article main aside body".split())
@@ -49,7 +54,7 @@ _HINTS = [
     ("share", re.compile(r"share|social|follow|byline-tools|print|search|login", re.I)),
     ("body", re.compile(r"article|content|post|entry|story|main|body|text|prose", re.I)),
 ]
-_KINDS = {"nav": "nav", "menu": "nav", "header": "header", "footer": "footer", "aside": "aside", "form": "form", "button": "form", "fieldset": "form", "input": "form", "dialog": "form", "article": "article", "main": "main", "section": "section", "p": "p", "blockquote": "p", "pre": "p", "ul": "list", "ol": "list", "dl": "list", "li": "item", "dt": "item", "dd": "item", "table": "table", "tbody": "table", "thead": "table", "tr": "table", "td": "cell", "th": "cell", "body": "body", "html": "body", "head": "meta", "figure": "figure", "figcaption": "figure", "address": "footer"}
+_KINDS = {"nav": "nav", "menu": "nav", "header": "header", "footer": "footer", "aside": "aside", "form": "form", "button": "form", "fieldset": "form", "input": "form", "dialog": "form", "article": "article", "main": "main", "section": "section", "p": "p", "blockquote": "p", "pre": "p", "ul": "list", "ol": "list", "dl": "list", "li": "item", "dt": "item", "dd": "item", "table": "table", "tbody": "table", "thead": "table", "tr": "table", "td": "cell", "th": "cell", "body": "body", "html": "body", "head": "meta", "figure": "figure", "figcaption": "figure", "svg": "figure", "object": "figure", "iframe": "frame", "select": "form", "option": "form", "optgroup": "form", "address": "footer"}
 
 
 class Node:
@@ -61,6 +66,72 @@ class Node:
         self.parent, self.tag, self.hint, self.size, self.linked = parent, tag, hint, 0, 0
 
 
+class _Open:
+    """The elements that are open: blocks, and the inline elements that each block holds.
+
+    Blocks are counted by tag, in all and since the last scope, so that an end without a beginning costs nothing and every other
+    step closes what it passes.
+    """
+
+    def __init__(self):
+        self.blocks: list[tuple[str, int]] = [("html", 0)]  # tag, node
+        self.inline: list[list[str]] = [[]]  # of each block, innermost last
+        self.held: list[Counter] = [Counter()]  # the same, counted
+        self.of_tag: Counter = Counter()
+        self.since: list[Counter] = [Counter()]  # of each scope, itself left out
+        self.links = 0
+
+    def open(self, tag: str, node: int) -> None:
+        self.blocks.append((tag, node))
+        self.inline.append([])
+        self.held.append(Counter())
+        self.of_tag[tag] += 1
+        if tag in _SCOPES:
+            self.since.append(Counter())
+        else:
+            self.since[-1][tag] += 1
+
+    def pop(self) -> str:
+        """Close the innermost block with all that is open in it."""
+        tag, _ = self.blocks.pop()
+        self.inline.pop()
+        self.links -= self.held.pop()["a"]
+        self.of_tag[tag] -= 1
+        if tag in _SCOPES:
+            self.since.pop()
+        else:
+            self.since[-1][tag] -= 1
+        return tag
+
+    def open_inline(self, tag: str) -> None:
+        self.inline[-1].append(tag)
+        self.held[-1][tag] += 1
+        self.links += tag == "a"
+
+    def close_inline(self, tag: str) -> None:
+        """Only an element of the innermost block can end; those inside it end with it."""
+        while self.held[-1][tag]:
+            inner = self.inline[-1].pop()
+            self.held[-1][inner] -= 1
+            self.links -= inner == "a"
+            if inner == tag:
+                break
+
+    def close(self, tag: str) -> bool:
+        """End a block: whether there was one."""
+        if not self.of_tag[tag]:
+            return False
+        while self.pop() != tag:
+            pass
+        return True
+
+    def make_way(self, tag: str) -> None:
+        """A new block ends an open paragraph and what its tag ends, as far as the last scope."""
+        for ended in ("p", *_ENDS.get(tag, ())):
+            while self.since[-1][ended]:
+                self.pop()
+
+
 def parse(page: str) -> tuple[list[Node], list[tuple[int, str, bool]]]:
     """Block elements in page order, each after its parent, and pieces of text (element, raw text, begins a block).
 
@@ -68,17 +139,17 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str, bool]]]:
     """
     nodes = [Node(-1, "html", "none")]
     pieces: list[tuple[int, str, bool]] = []
-    open_: list[tuple[str, int]] = [("html", 0)]  # tag, node (an inline element has its block's)
-    links, at, fresh, size = 0, 0, True, len(page)
+    now = _Open()
+    at, fresh, size = 0, True, len(page)
     while at < size:
         m = _TOKEN.search(page, at)
         stop = m.start() if m else size
         if stop > at:
-            here = open_[-1][1]
+            here = now.blocks[-1][1]
             text = page[at:stop]
             if not text.isspace():
                 nodes[here].size += len(text)
-                if links:
+                if now.links:
                     nodes[here].linked += len(text)
             pieces.append((here, text, fresh))
             fresh = False
@@ -90,46 +161,33 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str, bool]]]:
             continue
         tag = tag.lower()
         if slash:
-            for k in range(len(open_) - 1, 0, -1):
-                if open_[k][0] == tag:
-                    links -= sum(t == "a" for t, _ in open_[k:])
-                    fresh = fresh or any(t not in INLINE for t, _ in open_[k:])
-                    del open_[k:]
-                    break
-                if tag in INLINE and open_[k][0] not in INLINE:
-                    break
+            if tag in INLINE:
+                now.close_inline(tag)
+            elif now.close(tag):
+                fresh = True
         elif tag == "br":
-            pieces.append((open_[-1][1], " ", False))
+            pieces.append((now.blocks[-1][1], " ", False))
         elif tag in RAW:
             if not attrs.endswith("/"):
                 end = re.compile(rf"</{re.escape(tag)}\s*>|\Z", re.I).search(page, at)
                 at = end.end()
-            fresh = fresh or tag not in ("svg", "math")
+            fresh = True
         elif tag in VOID:
             fresh = fresh or tag == "hr"
         elif attrs.endswith("/") and tag in INLINE:
             pass
         elif tag in INLINE:
-            open_.append((tag, open_[-1][1]))
-            links += tag == "a"
+            now.open_inline(tag)
         else:
             fresh = True
-            ends = _ENDS.get(tag)
-            for k in range(len(open_) - 1, 0, -1):
-                inner = open_[k][0]
-                if inner == "p" or (ends and inner in ends):
-                    links -= sum(t == "a" for t, _ in open_[k:])
-                    del open_[k:]
-                    if not ends:
-                        break
-                elif inner in _SCOPES and not (tag == "tr" and inner == "td"):
-                    break
+            now.make_way(tag)
             said = " ".join("".join(x) for x in _ATTR.findall(attrs)) if attrs else ""
             hint = next((name for name, words in _HINTS if words.search(said)), "other") if said else "none"
             if tag == "body":  # its classes name the site, not a part of the page
                 hint = "none"
-            nodes.append(Node(open_[-1][1], tag, hint))
-            open_.append((tag, len(nodes) - 1))
+            nodes.append(Node(now.blocks[-1][1], tag, hint))
+            if not (attrs.endswith("/") and tag in ("svg", "object", "iframe")):
+                now.open(tag, len(nodes) - 1)
     return nodes, pieces
 
 
@@ -240,11 +298,12 @@ def labelled_pages(count: int = 600, seed: int = 3) -> list[tuple[list[Node], li
                 f'<div class="sidebar"><ul><li>{link()}</li><li>{link()}</li></ul><p>{text}</p></div>', f'<div class="cookie-notice"><p>{long}</p><button>{words(1, 2)}</button></div>', f'<div class="notice">{text}</div>', f'<div class="newsletter"><form><label>{text}</label><input><button>{word()}</button></form></div>',
                 f"<form><p>{text}</p><input><button>{word()}</button></form>", f'<form action="/search"><label>{words(1, 3)}</label></form>', f'<section class="comments"><h3>{words(1, 2)}</h3><div class="comment"><p>{long}</p></div><div class="comment"><p>{text}</p></div></section>', f'<div id="comments"><ol><li><p>{long}</p></li><li><p>{words(12, 60)}</p></li></ol></div>', f'<div class="comments"><article class="comment"><p>{long}</p></article><article class="comment"><p>{text}</p></article></div>',
                 f'<div class="related"><h3>{words(1, 2)}</h3><ul><li>{link()}</li><li>{link()}</li></ul></div>', f'<div class="share">{link()} {link()}</div>', f'<div class="promo"><p>{long}</p></div>', f'<div class="banner"><p>{long}</p></div>', f'<dialog><p>{text}</p></dialog>',
+                f'<iframe src="/{word()}">{text}</iframe>', f'<div class="ad"><iframe>{words(1, 4)}</iframe></div>', f"<form><label>{words(1, 3)}</label><select><option>{word()}</option><option>{words(1, 3)}</option></select></form>", f"<select><option>{words(1, 2)}</option><option>{word()}</option></select>",
             ])
 
         def block() -> str:
             w = words(4, 90).upper()
-            return one([f"<p>{w}</p>"] * 8 + [f"<p>{w[: len(w) // 2]}<a href='/x'>{words(1, 3).upper()}</a>{w[len(w) // 2 :]}</p>", f"<h2>{words(2, 6).upper()}</h2>", f"<ul><li>{words(5, 20).upper()}</li><li>{words(5, 20).upper()}</li></ul>", f"<blockquote><p>{w}</p></blockquote>", f"<blockquote>{w}</blockquote>", f"<pre>{w}</pre>", f"<table><tr><td>{words(1, 4).upper()}</td><td>{words(1, 9).upper()}</td></tr></table>", f"<div>{w}</div>", f"<figure><figcaption>{words(3, 9).upper()}</figcaption></figure>", f"<section><h3>{words(1, 5).upper()}</h3><p>{w}</p></section>"])
+            return one([f"<p>{w}</p>"] * 8 + [f"<p>{w[: len(w) // 2]}<a href='/x'>{words(1, 3).upper()}</a>{w[len(w) // 2 :]}</p>", f"<h2>{words(2, 6).upper()}</h2>", *[f"<{(tag := one(['ul', 'ul', 'ol']))}>" + "".join(f"<li>{words(2, 20).upper()}</li>" for _ in range(rng.randint(2, 6))) + f"</{tag}>"] * 3, f"<blockquote><p>{w}</p></blockquote>", f"<blockquote>{w}</blockquote>", f"<pre>{w}</pre>", f"<table><tr><td>{words(1, 4).upper()}</td><td>{words(1, 9).upper()}</td></tr></table>", f"<div>{w}</div>", f"<figure><figcaption>{words(3, 9).upper()}</figcaption></figure>", f"<section><h3>{words(1, 5).upper()}</h3><p>{w}</p></section>", f"<p>{w} <math><mi>{word().upper()}</mi><mo>=</mo><mn>{word().upper()}</mn></math></p>", f"<figure><svg><text>{words(1, 3).upper()}</text></svg><figcaption>{words(3, 9).upper()}</figcaption></figure>", f"<object><p>{w}</p></object>"])
 
         body = [f"<h1>{words(3, 9).upper()}</h1>"] * rng.randint(0, 1) + [block() for _ in range(rng.randint(1, 14))]
         for _ in range(rng.choice([0, 0, 1, 1, 2])):

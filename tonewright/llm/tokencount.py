@@ -9,8 +9,9 @@ probability, its number of pieces (the fewest among equally probable ones), and
 probability of all segmentations.  A pre-token's terminal node has its counts; a document's are sums over its words.
 Characters that no piece covers are spelt in byte pieces.
 
-Every task keeps its own trie, so nothing is shuffled.  A trie of over `NODES` nodes is started
-afresh after the text at hand; words of over `LONG` characters get a trie of their own that is dropped at once.
+Every task keeps its own trie, so nothing is shuffled.  A trie of over `NODES` nodes is started afresh, inside a text too
+(every `RUN` words); words of over `LONG` characters, which hardly share prefixes, are scored by a forward pass of their own that
+keeps only the last scores that a piece can reach back to.  So neither a text nor a word of any length takes more memory than its words.
 
 Defined results: null and empty texts have no words, no tokens and log probability 0; repeated rows are
 counted alike; other columns are not read; empty tables give empty results.
@@ -27,7 +28,7 @@ from .common import bounded_batches, texts
 
 VOCABULARY = "piece_bpe_32k.model"
 SHIFT = 2.7
-NODES, LONG = 800_000, 64
+NODES, LONG, RUN = 800_000, 64, 100_000
 MARK = "▁"
 
 
@@ -50,6 +51,7 @@ class Vocabulary:
         #: All byte pieces share one more rank, the last.
         self.byte = -math.log(len(ranks) + SHIFT) - log_z - math.log(256)
         #: Every ending of a piece: its score if it is a piece itself, else None.  Strings not here end no piece.
+        self.longest = max(map(len, self.scores))
         self.endings: dict[str, float | None] = {p[k:]: None for p in self.scores for k in range(len(p))} | self.scores
 
     def spelt(self, char: str) -> tuple[float, int]:
@@ -57,6 +59,25 @@ class Vocabulary:
         return n * self.byte, n
 
 
+class _Last(list):
+    """A table of the last places alone: place k stands at k modulo its length."""
+
+    def __getitem__(self, at: int):
+        return list.__getitem__(self, at % len(self))
+
+    def __setitem__(self, at: int, value) -> None:
+        list.__setitem__(self, at % len(self), value)
+
+
+def alone(vocabulary: Vocabulary, token: str) -> tuple[int, float]:
+    """(pieces, log of the summed probability) of one token, in tables of as many places as a piece is long."""
+    trie, size = Trie(vocabulary), vocabulary.longest + 1
+    trie.best, trie.pieces, trie.total = (_Last([x] * size) for x in (0.0, 0, 0.0))
+    for end in range(1, len(token) + 1):
+        trie.best[end], trie.pieces[end], trie.total[end] = trie.scores(token, end, range(end))
+    return trie.pieces[len(token)], trie.total[len(token)]
+
+
 class Trie:
     """Prefixes of pre-tokens with their forward scores."""
 
@@ -71,11 +92,14 @@ class Trie:
         for k, char in enumerate(token):
             node = child.get((path[-1], char))
             if node is None:
-                node = child[path[-1], char] = self._score(token, k + 1, path)
+                node = child[path[-1], char] = len(self.best)
+                for table, x in zip((self.best, self.pieces, self.total), self.scores(token, k + 1, path), strict=True):
+                    table.append(x)
             path.append(node)
         return path[-1]
 
-    def _score(self, token: str, end: int, path: list[int]) -> int:
+    def scores(self, token: str, end: int, path) -> tuple[float, int, float]:
+        """Of token[:end]: the best log probability, its pieces, the log of all; path[k] is where those of token[:k] stand."""
         best, count, sums, start = -math.inf, 0, [], end - 1
         endings, bests, pieces, totals = self.vocabulary.endings, self.best, self.pieces, self.total
         single = False
@@ -99,10 +123,7 @@ class Trie:
                 best, count = here, n
             sums.append(totals[at] + s)
         top = max(sums)
-        self.best.append(best)
-        self.pieces.append(count)
-        self.total.append(top + math.log(sum([math.exp(x - top) for x in sums])) if len(sums) > 1 else top)
-        return len(self.best) - 1
+        return best, count, top + math.log(sum([math.exp(x - top) for x in sums])) if len(sums) > 1 else top
 
 
 class Counter(dict):
@@ -118,24 +139,28 @@ class Counter(dict):
         self.trie, self.tokens, self.logs = Trie(self.vocabulary), [], []
 
     def __missing__(self, word: str) -> int:
-        trie = self.trie if len(word) <= LONG else Trie(self.vocabulary)
-        node = trie.insert(MARK + word)
-        self.tokens.append(trie.pieces[node])
-        self.logs.append(trie.total[node])
-        if trie is self.trie:
+        if len(word) <= LONG:
+            node = self.trie.insert(MARK + word)
+            self.tokens.append(self.trie.pieces[node])
+            self.logs.append(self.trie.total[node])
             self[word] = len(self.tokens) - 1
+        else:
+            tokens, log = alone(self.vocabulary, MARK + word)
+            self.tokens.append(tokens)
+            self.logs.append(log)
         return len(self.tokens) - 1
 
     def count(self, text: str) -> tuple[int, int, float]:
         """(words, tokens, log probability) of a text."""
         words = text.split()
-        if not words:
-            return 0, 0, 0.0
-        places = list(map(self.__getitem__, words))
-        found = len(words), sum(map(self.tokens.__getitem__, places)), math.fsum(map(self.logs.__getitem__, places))
-        if len(self.trie.best) > NODES or len(self.tokens) > NODES:
-            self.fresh()
-        return found
+        tokens, logs = 0, []
+        for at in range(0, len(words), RUN):
+            places = list(map(self.__getitem__, words[at : at + RUN]))
+            tokens += sum(map(self.tokens.__getitem__, places))
+            logs.append(math.fsum(map(self.logs.__getitem__, places)))
+            if len(self.trie.best) > NODES or len(self.tokens) > NODES:
+                self.fresh()
+        return len(words), tokens, math.fsum(logs)
 
 
 def token_counts(docs: DataFrame, path: str) -> DataFrame:

@@ -1,4 +1,6 @@
 import os
+import random
+import time
 
 from tonewright.llm import urlfilter
 from tonewright.llm.queries import URL_RULES
@@ -37,6 +39,28 @@ def test_odd_urls(spark):
     assert urlfilter.judge(frame.where("false"), URL_RULES).collect() == []
 
 
+def test_many_paths_of_one_host():
+    """20,000 nested and repeated path rules on one host and a few on others, against trying them all."""
+    rng = random.Random(3)
+    part = lambda: rng.choice(["a", "b", "é", "ab", "\U0001f600"])
+    rules = [(rng.choice(["allow", "block"]), rng.choice(["example.com"] * 20 + ["com", "www.example.com"]), "/" + "/".join(part() for _ in range(rng.randint(0, 9)))) for _ in range(20_000)]
+    urls = sorted((urlfilter.reversed_host(h), p) for h, p in ((rng.choice(["example.com", "www.example.com", "a.com", "x.org"]), "/" + "/".join(part() for _ in range(rng.randint(0, 12)))) for _ in range(300)))
+    sweep = urlfilter.Sweep(urlfilter._ordered(rules))
+    for key, path in urls:
+        fit = [(-len(h + p), i) for i, (_, h, p) in enumerate(rules) if key.startswith(urlfilter.reversed_host(h)) and path.startswith(p)]
+        assert sweep.fit(key, path) == (min(fit)[1] if fit else -1)
+    host = urlfilter.Sweep(urlfilter._ordered(rules))
+    began = time.process_time()
+    for _ in range(10_000):
+        host.fit("com.example.www.", "/a/b/ab/a/b")
+    assert time.process_time() - began < 1
+
+
+def test_a_long_url(spark):
+    frame = spark.createDataFrame([(1, "http://example.com/en/7" + "x" * 10_000_000), (2, "http://" + "a." * 50_000 + "com/en/")], "page_id long, url string")
+    check(frame, URL_RULES, urlfilter.judge(frame, URL_RULES))
+
+
 def test_blocks_of_rules(spark, monkeypatch):
     frame = spark.createDataFrame([(i, u) for i, u in enumerate(URLS * 2)], "page_id long, url string")
     monkeypatch.setattr(urlfilter, "MAX_RULES", 2)

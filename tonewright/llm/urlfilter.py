@@ -4,18 +4,21 @@ A host reversed label by label ("www.example.com" -> "com.example.www.") makes a
 subdomains one prefix, and a prefix is an interval of keys: [p, p + the greatest character).  Two
 intervals are nested or disjoint, so one pass over sorted keys keeps the open rules on a stack.  URLs are
 range-partitioned on (key, path, page_id), so one host, or one URL, spreads over many tasks; each task
-opens the rules that cover its first key and then sweeps.
+opens the rules that cover its first key and then sweeps.  A host's own rules stand together on the stack; their paths
+are intervals too, so the one sought is the last that begins at or before the URL's path, or one of those that it is nested in.
 
 Rules are (action, host, path) in a Python list, shipped with the tasks; `MAX_RULES` bounds them, and a
 longer list is applied in blocks of that many, the longest rule over all blocks winning.
 
-Defined results: a null url or one without `://` has empty host and path and fits no rule; among fitting
+Defined results: urls of any length are read whole; a null url or one without `://` has empty host and path and fits no rule; among fitting
 rules the longest (host and path characters) wins, ties go to the first listed; no rule: allow.
 Empty tables give empty results; repeated rows are judged alike; other columns are not read.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,35 +43,68 @@ def reversed_host(host: str) -> str:
     return "".join(f"{x}." for x in reversed(host.split("."))) if host else ""
 
 
+class Paths:
+    """The path rules of one host: prefixes ascending, each with its rule's index and the place of the prefix it is nested in."""
+
+    def __init__(self, key: str, size: int):
+        self.key, self.size = key, size  # the reversed host and its characters
+        self.paths: list[str] = []
+        self.index: list[int] = []
+        self.outer: list[int] = []
+
+    def add(self, path: str, index: int) -> None:
+        """Paths come ascending; of equal ones the first counts."""
+        if self.paths and self.paths[-1] == path:
+            return
+        at = len(self.paths) - 1
+        while at >= 0 and not path.startswith(self.paths[at]):
+            at = self.outer[at]
+        self.paths.append(path)
+        self.index.append(index)
+        self.outer.append(at)
+
+    def fit(self, path: str) -> int:
+        """The place of the longest prefix of `path`, or -1."""
+        at = bisect_right(self.paths, path) - 1
+        while at >= 0 and not path.startswith(self.paths[at]):
+            at = self.outer[at]
+        return at
+
+
 class Sweep:
-    """Rules (index, key prefix, path prefix, length) ascending by key prefix, met by keys in ascending order.
+    """Hosts with their rules ascending by key prefix, met by keys in ascending order.
 
-    The stack holds the rules whose interval contains the current key, outermost first; each rule is pushed
-    and popped once.
+    The stack holds the hosts whose interval contains the current key, outermost first; each is pushed and popped once.
     """
 
-    def __init__(self, rules: list[tuple[int, str, str, int]]):
-        self.rules, self.at, self.stack = rules, 0, []
+    def __init__(self, hosts: list[Paths]):
+        self.hosts, self.at, self.stack = hosts, 0, []
 
     def fit(self, key: str, path: str) -> int:
-        """The index of the longest rule that fits, or -1."""
-        while self.stack and not key.startswith(self.stack[-1][1]):
+        """The index of the longest rule that fits, the first listed of ties, or -1."""
+        while self.stack and not key.startswith(self.stack[-1].key):
             self.stack.pop()
         raw = key.encode()
-        while self.at < len(self.rules) and self.rules[self.at][1].encode() <= raw:
-            if key.startswith(self.rules[self.at][1]):
-                self.stack.append(self.rules[self.at])
+        while self.at < len(self.hosts) and self.hosts[self.at].key.encode() <= raw:
+            if key.startswith(self.hosts[self.at].key):
+                self.stack.append(self.hosts[self.at])
             self.at += 1
-        best, size = -1, -1
-        for index, _, prefix, length in self.stack:
-            if length > size and path.startswith(prefix):
-                best, size = index, length
-        return best
-
-
-def _ordered(rules: list[tuple[str, str, str]]) -> list:
-    keyed = [(i, reversed_host(h.lower()), p, len(h) + len(p)) for i, (_, h, p) in enumerate(rules)]
-    return sorted(keyed, key=lambda r: (r[1].encode(), r[0]))
+        best = (0, -1)
+        for host in self.stack:
+            if (at := host.fit(path)) >= 0:
+                size = host.size + len(host.paths[at])
+                if best[1] < 0 or size > best[0] or (size == best[0] and host.index[at] < best[1]):
+                    best = size, host.index[at]
+        return best[1]
+
+
+def _ordered(rules: list[tuple[str, str, str]]) -> list[Paths]:
+    hosts: list[Paths] = []
+    for key, path, index, size in sorted(((reversed_host(h.lower()), p, i, len(h)) for i, (_, h, p) in enumerate(rules)), key=lambda r: (r[0].encode(), r[1], r[2])):
+        if not hosts or hosts[-1].key != key:
+            hosts.append(Paths(key, size))
+        hosts[-1].add(path, index)
+    return hosts
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]], key: str = "page_id", url: str = "url") -> DataFrame:

@@ -3,31 +3,50 @@
 Fingerprints: whole texts, A-Z lower-cased, words `[^\\x20\\x09-\\x0D]+`, 3-word shingles with repeats,
 XXH64 (seed 42) of each; a bit is 1 if it is set in over half of the hashes.
 
-Links: all pairs of fingerprints at Hamming distance `radius` or less.  A vantage-point tree, fitted on a
-bounded sample of the distinct fingerprints, routes every fingerprint to shards.  At each vantage point
-the ball |x - v| <= mu goes inside and the rest outside; by the triangle inequality a linked pair that the
-sphere separates has its outer end within mu + radius, so only that thin shell is sent to both sides.  Each
-shard then builds its own tree the same way, down to small leaves that are compared whole.  A shard
+Links: all pairs of fingerprints at Hamming distance `radius` or less.  A vantage-point tree routes every fingerprint to
+shards.  At each vantage point the ball |x - v| <= mu goes inside and the rest outside; by the triangle inequality a
+linked pair that the sphere separates has its outer end within mu + radius, so only that thin shell is sent to both
+sides.  Trees are fitted in tasks on a bounded sample of one shard each, and shards that are still large get
+a tree of their own in the next round, so that shards stay small and their number grows with the input.  Each shard then
+builds its own tree the same way, down to small leaves that are compared whole.  A shard
 returns one link from each linked fingerprint to the least of its group there, never the pairs; groups
 that span shards are joined by alternating star contractions.
 
-Defined results: null or wordless texts have fingerprint zero and are linked like any other; a null
-doc_id takes part but is never a component's id unless the component has no other; repeated rows and
-exact copies share a fingerprint; an empty table gives an empty result; other columns are not read.
+Near copies by share of words (`alike_groups`, the pipeline's stage): texts that have `SHARE` or more of their distinct
+five-word shingles in common.  Such pairs differ in up to a fifth of a fingerprint's bits, and at that radius no sphere
+divides unrelated texts, so the shards come from the shingles: two such texts have the same least shingle under a
+random order with a probability of their likeness, and `ORDERS` orders are tried (one pair in 15,000 at 0.8 has none in
+common).  In a shard, `WIDE`-bit fingerprints are searched with a vantage-point tree at `REACH` bits (one pair in 5,000
+is farther); these links are candidates.  Every group that they make is then compared on the whole shingle sets, and only
+links of that comparison count.
+
+Defined results: null or wordless texts have fingerprint zero and are linked like any other; a text of any length is read
+whole, in the memory that its words take; a null doc_id takes part but is never a component's id unless the component has no
+other; repeated rows and exact copies share a fingerprint; an empty table gives an empty result; other columns are
+not read, and `distinct_documents` returns them as they were.
 """
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut, texts
+from .common import bounded_batches, cut, texts, triangles
+from .substring import _Hashes, mixed, rolled, word_hashes
 
 SEED = 42
 SHINGLE = 3
+#: Near copies: words of a shingle, least likeness in tenths, bits of a fingerprint and its radius, orders of shingles.
+WORDS, TENTHS, WIDE, REACH, ORDERS = 5, 8, 256, 58, 6
+#: Rows of a shard that one task compares whole at most, and bytes of texts that one task verifies.
+CROWD, VERIFY = 2048, 16 << 20
+#: Rows that one task groups by shingle.
+ROWS = 200_000
 
 
 def fingerprint(text: str | None, size: int = SHINGLE) -> int:
@@ -66,10 +85,16 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return texts(docs).mapInArrow(run, "doc_id long, fp long")
 
 
+def distances(values: np.ndarray, point) -> np.ndarray:
+    """Hamming distances of fingerprints (one number each, or a row of them) to one."""
+    apart = np.bitwise_count(values ^ point)
+    return (apart.sum(1) if apart.ndim > 1 else apart).astype(np.int64)
+
+
 def _choose(dist: np.ndarray, radius: int) -> int:
     """The sphere's radius: among those that leave a third of the points on each side, the one with the thinnest shell."""
     low, high = np.quantile(dist, [0.35, 0.65])
-    sizes = np.bincount(dist, minlength=67 + radius)
+    sizes = np.bincount(dist, minlength=int(high) + 3 + radius)
     return min(range(int(low), max(int(low) + 1, int(high))), key=lambda mu: (int(sizes[mu + 1 : mu + 1 + radius].sum()), mu))
 
 
@@ -83,7 +108,7 @@ def _split(values: np.ndarray, radius: int):
     best = None
     for k in range(3):
         vantage = values[(len(values) * (2 * k + 1)) // 6]
-        dist = np.bitwise_count(values ^ vantage).astype(np.int64)
+        dist = distances(values, vantage)
         mu = _choose(dist, radius)
         inner, outer = _sides(dist, mu, radius)
         cost = len(inner) ** 2 + len(outer) ** 2
@@ -93,7 +118,7 @@ def _split(values: np.ndarray, radius: int):
 
 
 def fit_tree(sample: np.ndarray, total: int, radius: int, shard: int) -> list:
-    """Nodes [vantage, mu, inside, outside]; leaves are None in place of a child's index, numbered by walk order."""
+    """Nodes [vantage, mu, inside, outside]; leaves are None in place of a child's index."""
     nodes: list = []
     sample = np.unique(sample)
     scale = total / max(1, len(sample))
@@ -105,7 +130,7 @@ def fit_tree(sample: np.ndarray, total: int, radius: int, shard: int) -> list:
         vantage, mu = found
         at = len(nodes)
         nodes.append([int(vantage), int(mu), None, None])
-        inner, outer = _sides(np.bitwise_count(values ^ vantage).astype(np.int64), mu, radius)
+        inner, outer = _sides(distances(values, vantage), mu, radius)
         nodes[at][2], nodes[at][3] = grow(values[inner]), grow(values[outer])
         return at
 
@@ -114,16 +139,12 @@ def fit_tree(sample: np.ndarray, total: int, radius: int, shard: int) -> list:
 
 
 def route(nodes: list, values: np.ndarray, radius: int):
-    """Yields (shard, values there): 2 * node + side, or 0 for a tree without nodes."""
-    if not nodes:
-        yield 0, values
-        return
-    todo = [(0, values)]
+    """Yields (leaf, values there): 2 * node + side."""
+    todo = [(0, values)] if nodes else []
     while todo:
         at, here = todo.pop()
         vantage, mu, *children = nodes[at]
-        dist = np.bitwise_count(here ^ np.uint64(vantage)).astype(np.int64)
-        for side, (child, index) in enumerate(zip(children, _sides(dist, mu, radius), strict=True)):
+        for side, (child, index) in enumerate(zip(children, _sides(distances(here, np.uint64(vantage)), mu, radius), strict=True)):
             if len(index):
                 if child is None:
                     yield 2 * at + side, here[index]
@@ -132,11 +153,12 @@ def route(nodes: list, values: np.ndarray, radius: int):
 
 
 def local_groups(values: np.ndarray, radius: int, leaf: int = 384) -> np.ndarray:
-    """For distinct sorted values, the index of the least value of each one's group of links."""
+    """For distinct fingerprints, the least index of each one's group of links."""
     label = np.arange(len(values))
 
     def join(rows: np.ndarray, columns: np.ndarray) -> None:
-        near = np.bitwise_count(values[rows][:, None] ^ values[columns][None, :]) <= radius
+        apart = np.bitwise_count(values[rows][:, None] ^ values[columns][None, :])
+        near = (apart.sum(2) if apart.ndim > 2 else apart) <= radius
         for r in np.flatnonzero(near.sum(1) > 1):
             met = label[columns[near[r]]]
             least = met.min()
@@ -148,7 +170,7 @@ def local_groups(values: np.ndarray, radius: int, leaf: int = 384) -> np.ndarray
         index = todo.pop()
         found = _split(values[index], radius) if len(index) > leaf else None
         if found:
-            dist = np.bitwise_count(values[index] ^ found[0]).astype(np.int64)
+            dist = distances(values[index], found[0])
             todo += [index[side] for side in _sides(dist, found[1], radius)]
         else:
             for at in range(0, len(index), 256):
@@ -156,16 +178,47 @@ def local_groups(values: np.ndarray, radius: int, leaf: int = 384) -> np.ndarray
     return label
 
 
-def links(distinct: DataFrame, radius: int = 2, shard: int = 8192, sample: int = 8192) -> DataFrame:
-    """(a, b): from distinct `fp`, edges whose components are those of all pairs at distance `radius` or less."""
+def shards(distinct: DataFrame, radius: int, shard: int, sample: int, chunk: int = 1 << 20) -> DataFrame:
+    """(shard, fp): every fingerprint in each shard that a tree routes it to; a shard holds some `shard` of them, or lies in a small ball.
+
+    In each round every shard of over twice `shard` rows is divided by a tree fitted in one task on some `sample` of its
+    rows, and its rows are routed `chunk` at a time.  One that no sphere divides is left whole.
+    """
     total = distinct.count()
-    picked = distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(sample).collect()
-    nodes = fit_tree(np.array([r["fp"] for r in picked], np.int64).view(np.uint64), total, radius, shard)
+    rows = distinct.select(F.lit(0).cast("long").alias("shard"), "fp", F.lit(False).alias("whole"))
+    large, limit = distinct.sparkSession.createDataFrame([(0, total)], "of long, n long").where(f"n > {shard}"), shard
+
+    def fit(table: pa.Table) -> pa.Table:
+        values = table.column("fp").to_numpy().view(np.uint64)
+        nodes = fit_tree(values, table.column("n")[0].as_py(), radius, limit)
+        return pa.table({"tree_of": table.column("shard")[:1], "n": table.column("n")[:1], "tree": pa.array([pickle.dumps(nodes)], pa.binary())})
+
+    def send(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not len(left):
+            return pa.table({"shard": pa.array([], pa.int64()), "leaf": pa.array([], pa.int32()), "fp": pa.array([], pa.int64())})
+        nodes, at = pickle.loads(right.column("tree")[0].as_py()), left.column("shard")[0].as_py()
+        parts = list(route(nodes, left.column("fp").to_numpy().view(np.uint64), radius)) if nodes else [(-1, left.column("fp").to_numpy().view(np.uint64))]
+        leaf = np.repeat(np.array([k for k, _ in parts], np.int32), [len(x) for _, x in parts])
+        return pa.table({"shard": pa.array(np.full(len(leaf), at)), "leaf": pa.array(leaf), "fp": pa.array(np.concatenate([x for _, x in parts]).view(np.int64))})
+
+    while not large.isEmpty():
+        known = rows.join(large, F.col("shard") == F.col("of"), "left")
+        wide = known.where("n is not null").drop("whole", "of")
+        picked = wide.where(F.pmod(F.xxhash64("fp", F.lit(3)), F.lit(1 << 30)) < F.lit(1.0 * sample * (1 << 30)) / F.col("n"))
+        trees = cut(picked.groupBy("shard").applyInArrow(fit, "tree_of long, n long, tree binary"))
+        chunks = F.ceil(F.col("n") / chunk).cast("int")
+        left = wide.withColumn("chunk", F.pmod(F.xxhash64("fp", F.lit(9)), chunks).cast("int")).drop("n")
+        right = trees.withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1)))
+        sent = left.groupBy("shard", "chunk").cogroup(right.groupBy("tree_of", "chunk")).applyInArrow(send, "shard long, leaf int, fp long")
+        now = sent.select(F.when(F.col("leaf") < 0, F.col("shard")).otherwise(F.xxhash64("shard", "leaf")).alias("shard"), "fp", (F.col("leaf") < 0).alias("whole"))
+        rows = cut(known.where("n is null").select("shard", "fp", "whole").unionByName(now))
+        sizes = rows.where("not whole").groupBy(F.col("shard").alias("of")).agg(F.count(F.lit(1)).alias("n"))
+        large = sizes.where(f"n > {2 * shard}")
+    return rows.select("shard", "fp")
 
-    def send(batches):
-        for batch in batches:
-            for k, here in route(nodes, batch.column("fp").to_numpy().view(np.uint64), radius):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(here), k, np.int32)), pa.array(here.view(np.int64))], ["shard", "fp"])
+
+def links(distinct: DataFrame, radius: int = 2, shard: int = 8192, sample: int = 8192) -> DataFrame:
+    """(a, b): from distinct `fp`, edges whose components are those of all pairs at distance `radius` or less."""
 
     def search(table: pa.Table) -> pa.Table:
         values = np.unique(table.column("fp").to_numpy().view(np.uint64))
@@ -173,8 +226,8 @@ def links(distinct: DataFrame, radius: int = 2, shard: int = 8192, sample: int =
         tied = np.flatnonzero(label != np.arange(len(values)))
         return pa.table({"a": values[tied].view(np.int64), "b": values[label[tied]].view(np.int64)})
 
-    sent = distinct.select("fp").mapInArrow(send, "shard int, fp long")
-    return sent.groupBy("shard").applyInArrow(search, "a long, b long")
+    sent = triangles(shards(distinct, radius, shard, sample), ("shard",), F.count(F.lit(1)), 4 * shard, F.col("fp"))
+    return sent.groupBy("part_of").applyInArrow(search, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -210,3 +263,170 @@ def near_duplicates(docs: DataFrame, radius: int = 2) -> DataFrame:
     named = known.join(least, "root").select("fp", "component_id")
     out = prints.join(named, "fp")
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def normal(text: Column) -> Column:
+    """The words of a text, A-Z lower-cased, joined by one space."""
+    lower = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.trim(F.regexp_replace(lower, "[\\x20\\x09-\\x0D]+", " "))
+
+
+def name_of(words: Column) -> Column:
+    """What tells texts apart: 128 bits of their words."""
+    return F.unhex(F.md5(words))
+
+
+def shingles(words: str, known: dict) -> np.ndarray:
+    """The ascending distinct hashes of a text's five-word shingles (of all its words, if they are fewer)."""
+    each = word_hashes(words.encode("utf-8", "surrogatepass").split(), known)
+    return np.unique(rolled(each, min(WORDS, len(each)), 0x9E3779B97F4A7C15)) if len(each) else np.empty(0, np.uint64)
+
+
+def wide_print(found: np.ndarray) -> bytes:
+    """The SimHash of a set of hashes, `WIDE` bits."""
+    ones, h = np.zeros(WIDE, np.int64), found
+    for at in range(0, len(found), 16_384):
+        part, columns = h[at : at + 16_384], []
+        for _ in range(WIDE // 64):
+            part = mixed(part + np.uint64(0x9E3779B97F4A7C15))
+            columns.append(part)
+        ones += np.unpackbits(np.stack(columns, 1).view(np.uint8).reshape(len(part), -1), axis=1).sum(0, dtype=np.int64)
+    return np.packbits(ones * 2 > len(found)).tobytes()
+
+
+_ORDER = np.random.default_rng(64).integers(0, 1 << 63, ORDERS, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def crowds(docs: DataFrame) -> DataFrame:
+    """(h, name, print): each distinct text with words under its least shingle in each order; a text may come once a task."""
+
+    def run(batches):
+        known, seen = _Hashes(), set()
+        for b in batches:
+            names, least, prints = [], [], []
+            for name, words in zip(b.column("name").to_pylist(), b.column("words").to_pylist(), strict=True):
+                if words and name not in seen:
+                    if len(seen) < 1_000_000:
+                        seen.add(name)
+                    found = shingles(words, known)
+                    names.append(name)
+                    prints.append(wide_print(found))
+                    least += [int(mixed(found * k).min()) ^ j for j, k in enumerate(_ORDER)]
+            each = pa.array(np.repeat(np.arange(len(names)), ORDERS))
+            h = np.array(least, np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(names, pa.binary()).take(each), pa.array(prints, pa.binary()).take(each)], ["h", "name", "print"])
+
+    words = normal(F.col("text"))
+    return docs.select(words.alias("words")).select(name_of(F.col("words")).alias("name"), "words").mapInArrow(run, "h long, name binary, print binary")
+
+
+def _numbers(cells: pa.ChunkedArray, kind: str, wide: int) -> np.ndarray:
+    return np.frombuffer(b"".join(cells.to_pylist()), kind).reshape(-1, wide)
+
+
+def _runs(of: np.ndarray):
+    """(start, stop) of runs of two and more equal values."""
+    edges = np.concatenate(([0], np.flatnonzero(np.diff(of)) + 1, [len(of)]))
+    wide = np.flatnonzero(np.diff(edges) > 1)
+    return zip(edges[wide].tolist(), edges[wide + 1].tolist(), strict=True)
+
+
+def candidates(docs: DataFrame) -> DataFrame:
+    """(a, b): names of texts, links between those that share a least shingle and whose fingerprints are within `REACH`."""
+    rows = cut(crowds(docs))
+    parts = max(1, -(-rows.count() // ROWS))
+
+    def search(table: pa.Table) -> pa.Table:
+        of = table.column("part_of").to_numpy()
+        names, prints = _numbers(table.column("name"), ">u8", 2), _numbers(table.column("print"), "<u8", WIDE // 64)
+        order = np.lexsort((names[:, 1], names[:, 0], of))
+        fresh = np.ones(len(order), bool)  # a text that several tasks sent counts once
+        fresh[1:] = (np.diff(of[order]) != 0) | (names[order[1:]] != names[order[:-1]]).any(1)
+        order = order[fresh]
+        of, names, prints = of[order], names[order], prints[order]
+        ends: list[tuple[np.ndarray, np.ndarray]] = []
+        for a, b in _runs(of):
+            label = local_groups(prints[a:b], REACH)
+            tied = np.flatnonzero(label != np.arange(b - a))
+            ends.append((tied + a, label[tied] + a))
+        said = lambda k: pa.array([x.tobytes() for x in names[np.concatenate([np.empty(0, np.int64), *(e[k] for e in ends)])]], pa.binary())
+        return pa.table({"a": said(0), "b": said(1)})
+
+    met = triangles(rows, ("h",), F.count(F.lit(1)), CROWD, F.col("name")).drop("h")
+    placed = met.withColumn("part", F.pmod("part_of", F.lit(parts)).cast("int"))
+    return placed.groupBy("part").applyInArrow(search, "a binary, b binary").distinct()
+
+
+def alike(sets: list[np.ndarray]) -> np.ndarray:
+    """The least index of each set's group of links, by all pairs' shares: counts of what few hold, and products of what many do."""
+    n = len(sets)
+    sizes = np.array([len(x) for x in sets], np.int64)
+    owner = np.repeat(np.arange(n), sizes)
+    _, cell, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.argsort(cell, kind="stable")  # by element, owners ascending
+    owner, starts = owner[order], np.cumsum(times) - times
+    both = np.zeros((n, n), np.float32)
+    many = np.flatnonzero(times > max(8, n // 16))
+    for at in range(0, len(many), 1024):
+        some = many[at : at + 1024]
+        held = np.zeros((n, len(some)), np.float32)
+        for k, e in enumerate(some.tolist()):
+            held[owner[starts[e] : starts[e] + times[e]], k] = 1
+        both += held @ held.T
+    for t in np.unique(times[(times > 1) & (times <= max(8, n // 16))]).tolist():
+        elements = np.flatnonzero(times == t)
+        left, right = np.triu_indices(t, 1)
+        for at in range(0, len(elements), max(1, 1_000_000 // len(left))):
+            held = owner[starts[elements[at : at + max(1, 1_000_000 // len(left))], None] + np.arange(t)]
+            found, count = np.unique(held[:, left].ravel() * n + held[:, right].ravel(), return_counts=True)
+            both.ravel()[found] += count
+    both = np.maximum(both, both.T)
+    label = np.arange(n)
+    for r in range(n):
+        near = both[r] * 10 >= TENTHS * (sizes[r] + sizes - both[r])
+        near[r] = True
+        met = label[near]
+        least = met.min()
+        if met.max() != least:
+            label[np.isin(label, np.unique(met))] = least
+    return label
+
+
+def verified(members: DataFrame) -> DataFrame:
+    """(a, b) from (root, name, words): in each root's group, links between texts that share enough, by their whole sets."""
+    members = cut(members)
+    total = members.agg(F.sum(F.octet_length("words"))).first()[0] or 0
+    weight = F.greatest(F.count(F.lit(1)).cast("double"), F.sum(F.octet_length("words")) * (CROWD / VERIFY))
+
+    def judge(table: pa.Table) -> pa.Table:
+        of, names, known = table.column("part_of").to_numpy(), table.column("name").to_pylist(), _Hashes()
+        words, order, ends = table.column("words"), np.argsort(of, kind="stable"), []
+        for a, b in _runs(of[order]):
+            mine = order[a:b]
+            label = alike([shingles(words[int(k)].as_py(), known) for k in mine])
+            tied = np.flatnonzero(label != np.arange(b - a))
+            ends += zip(mine[tied].tolist(), mine[label[tied]].tolist(), strict=True)
+        return pa.table({"a": pa.array([names[x] for x, _ in ends], pa.binary()), "b": pa.array([names[y] for _, y in ends], pa.binary())})
+
+    parts = max(1, -(-total // VERIFY))
+    placed = triangles(members, ("root",), weight, CROWD, F.col("name")).withColumn("part", F.pmod("part_of", F.lit(parts)).cast("int"))
+    return placed.select("part", "part_of", "name", "words").groupBy("part").applyInArrow(judge, "a binary, b binary")
+
+
+def alike_groups(docs: DataFrame) -> DataFrame:
+    """(node, root): the name of each text that is like another one, and that of its group."""
+    bounded_batches(docs.sparkSession)
+    roots = components(candidates(docs))
+    words = normal(F.col("text"))
+    named = docs.select(words.alias("words")).select(name_of(F.col("words")).alias("name"), "words")
+    members = named.join(roots, F.col("name") == F.col("node")).groupBy("name").agg(F.min("root").alias("root"), F.min("words").alias("words"))
+    return components(verified(members))
+
+
+def distinct_documents(docs: DataFrame) -> DataFrame:
+    """One row of each group of near copies, that of the least doc_id (null ids last), then of the least other columns."""
+    others = [c for c in docs.columns if c != "doc_id"]
+    rows = docs.select(name_of(normal(F.col("text"))).alias("name"), F.struct(F.col("doc_id").isNull(), "doc_id", *(f"`{c}`" for c in others)).alias("row"))
+    grouped = rows.join(alike_groups(docs), F.col("name") == F.col("node"), "left").groupBy(F.coalesce("root", "name").alias("root"))
+    least = grouped.agg(F.min("row").alias("row"))
+    return least.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))

@@ -87,7 +87,57 @@ def test_odd(spark, odd, none, monkeypatch):
     want = {(4, 4), (5, 4), (6, 3), (6, 4), (12, 3), (12, 4), (None, None)}
     got = [(r.doc_id, r.item_id) for r in decontam.contaminated(odd, tests).collect()]
     assert set(got) == want and got.count((6, 3)) == 2
-    monkeypatch.setattr(decontam, "BLOCK", 10)
+    monkeypatch.setattr(decontam, "MOST_BITS", 5)  # most n-grams of documents pass for those of items
+    monkeypatch.setattr(decontam, "LEAST_BITS", 5)
+    monkeypatch.setattr(decontam, "PART_BITS", 3)
     assert sorted(map(str, ((r.doc_id, r.item_id) for r in decontam.contaminated(odd, tests).collect()))) == sorted(map(str, got))
     assert decontam.contaminated(none, tests).collect() == []
     assert decontam.contaminated(odd, tests.where("false")).collect() == []
+
+
+def edited(words, share, rng, vocabulary):
+    """A copy with so many of its words replaced, dropped or with another one before them, in turn at random."""
+    out, at = [], set(rng.sample(range(len(words)), round(share * len(words))))
+    for k, w in enumerate(words):
+        out += rng.choice([[rng.choice(vocabulary)], [], [rng.choice(vocabulary), w]]) if k in at else [w]
+    return out
+
+
+def test_recall_of_edited_copies(spark):
+    """Of copies that reach the threshold nearly all are found, for 10 to 50 % edits, with and without the common n-grams."""
+    rng = random.Random(8)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    items = [(k, rng.choices(vocabulary, k=rng.randint(20, 60))) for k in range(50)]
+    rows, true = [], {}
+    for d in range(500):
+        share, (i, words) = (1 + d % 5) / 10, items[d % 50]
+        copy = edited(words, share, rng, vocabulary)
+        text = rng.choices(vocabulary, k=100) + copy + rng.choices(vocabulary, k=100)
+        rows.append((d, " ".join(text)))
+        if brute_score(words, text) >= 0.5 * len(words):
+            true[d] = share
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    tests = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    for common in (8, 10**9):
+        got = {r.doc_id for r in decontam.contaminated(docs, tests, common=common).collect()}
+        assert got <= set(true)
+        recall = {s: sum(d in got for d in true if true[d] == s) / sum(true[d] == s for d in true) for s in set(true.values())}
+        print(common, sorted(recall.items()), {s: sum(true[d] == s for d in true) for s in set(true.values())})
+        assert all(r >= 0.97 for s, r in recall.items() if s <= 0.3) and len(got) >= 0.97 * len(true)
+
+
+def test_clean_keeps_rows_and_columns(spark, odd):
+    """Rows go by their own text; equal and null ids and columns under the names used inside stay as they are."""
+    tests = spark.createDataFrame([(3, "one two three")], "item_id long, text string")
+    docs = odd.selectExpr("*", "1 as pid", "2 as words", "3 as grams", "4 as item")
+    kept = decontam.clean(docs, tests)
+    assert kept.columns == docs.columns
+    want = [r for r in docs.collect() if "one two three" not in (r.text or "").lower()]
+    assert sorted(map(str, kept.collect())) == sorted(map(str, want)) and len(want) == docs.count() - 3
+
+
+def test_a_long_text(spark):
+    item = "every word of this item is in the long text somewhere"
+    rows = [(1, "other words " * 900_000 + item), (2, "x")]
+    got = decontam.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.score, r.start_word, r.stop_word) for r in got] == [(1, 1.0, 1_800_000, 1_800_011)]

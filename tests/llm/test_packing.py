@@ -75,3 +75,57 @@ def test_bins(sizes):
     bins = packing.best_two_fit(np.bincount(sizes, minlength=41), 40)
     assert Counter(x for b in bins for x in b) == Counter(sizes)
     assert all(sum(b) <= 40 for b in bins)
+
+
+def plain_two_fit(sizes, length):
+    """The method on plain lists: open with the longest, fill greedily, then put two for the last one while that fills better."""
+    left, bins = sorted(sizes), []
+    fits = lambda room: max((x for x in left if x <= room), default=0)
+    while left:
+        here = [left.pop()]
+        while n := fits(length - sum(here)):
+            left.remove(n)
+            here.append(n)
+        while sum(here) < length and len(here) > 1:
+            least = here[-1]
+            room = length - sum(here) + least
+            best = (least, None)
+            for first in sorted(set(left)):
+                if 2 * first > room:
+                    break
+                left.remove(first)
+                second = fits(room - first)
+                left.append(first)
+                left.sort()
+                if second and first + second > best[0]:
+                    best = (first + second, (first, second))
+            if not best[1]:
+                break
+            left.append(here.pop())
+            for n in best[1]:
+                left.remove(n)
+                here.append(n)
+            left.sort()
+            here[1:] = sorted(here[1:], reverse=True)
+        bins.append(here)
+    return bins
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 40), max_size=80))
+def test_replacement_against_plain_lists(sizes):
+    assert packing.best_two_fit(np.bincount(sizes, minlength=41), 40) == plain_two_fit(sizes, 40)
+
+
+def test_drawn_lengths_fill_their_sequences():
+    sizes = np.random.default_rng(3).integers(1, 2049, 20_000)
+    bins = packing.best_two_fit(np.bincount(sizes, minlength=2049), 2048)
+    assert len(bins) <= 1.01 * -(-sizes.sum() // 2048) + 1
+
+
+def test_a_long_text(spark):
+    text = "Some words that go on and on. " * 350_000
+    got = packing.best_fit_packing(spark.createDataFrame([(1, text), (2, "x")], "doc_id long, text string"), PATH, ranks=public_tokenizers.path(packing.RANKS)).collect()
+    ids = np.array([*PLAIN.encode(text, add_special_tokens=False).ids, 0], "<u4")
+    mine = sorted((r.piece, r.start, r.length, r.ids_crc32) for r in got if r.doc_id == 1)
+    assert mine == [(k, a, n, zlib.crc32(ids[a : a + n].tobytes())) for k, (a, n) in enumerate(packing.pieces_of(len(ids), packing.LENGTH))]

@@ -1,4 +1,11 @@
+from collections import Counter
+
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
 import corpus_pipeline as cp
+from tonewright.llm.common import cut
 
 
 def test_stages(spark, tmp_path):
@@ -24,13 +31,80 @@ def test_stages(spark, tmp_path):
     assert whole.count() == docs.count()
 
 
-def test_odd_rows(spark, tmp_path):
-    """Nulls, empty texts and repeats go through all stages."""
-    rows = [(1, None, "en", None, None), (2, "", None, "s", 0), (3, "a b c", "en", "s", 5), (3, "a b c", "en", "s", 5), (None, "x y z " * 90, "en", "s", 540), (5, "x y z " * 90, "en", "s", 540)]
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+ITEM = "every word of this item is in the text"
+LONG = "x y z " * 90
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score int, predicted string, blk int, pid int, name string, row int, root int"
+ROWS = [
+    (1, None), (2, ""), (3, "a b c"), (3, "a b c"), (3, "other words"), (None, LONG), (5, LONG), (None, "null id, own words"), (None, f"so {ITEM} then"),
+    (7, ITEM), (7, "clean words here"), (8, "A b  C\n"), (9, "p q r s t u v w " * 2000 + "end"), (9, "p q r s t u v w " * 2000 + "end"),
+]
+
+
+@pytest.fixture
+def tables(spark, tmp_path):
+    rows = [(i, t, "en", f"s{k}", len(t or ""), 7, "mine", 1, 2, "n", 3, 4) for k, (i, t) in enumerate(ROWS)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
-    spark.createDataFrame([(1, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    assert cp.run(spark, str(tmp_path)).count() > 0
+    spark.createDataFrame([(1, None), (2, ITEM)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    return str(tmp_path)
+
+
+def repeats_cut(texts, window=200):
+    """Texts without the bytes of strings that start anywhere else."""
+    raw = [(t or "").encode() for t in texts]
+    times = Counter(t[k : k + window] for t in raw for k in range(len(t) - window + 1))
+    out = []
+    for t in raw:
+        gone = bytearray(len(t))
+        for k in range(len(t) - window + 1):
+            if times[t[k : k + window]] > 1:
+                gone[k : k + window] = b"\1" * window
+        out.append(bytes(c for c, x in zip(t, gone, strict=True) if not x).decode("utf-8", "ignore"))
+    return out
+
+
+def test_odd_rows(spark, tables):
+    """Nulls, repeats, shared ids and clashing columns, stage by stage against brute force."""
+    docs = spark.read.parquet(f"{tables}/documents.parquet")
+    said = lambda rows: sorted(tuple(map(str, r)) for r in rows)
+    want = [tuple(r) for r in docs.collect()]
+    stages = dict(cp.STAGES)
+    docs = cut(stages["quality_classifier"](spark, docs, tables))  # without labels every score is a half
+    assert said(docs.collect()) == said(want)
+    groups = {}
+    for r in want:
+        words = (r[1] or "").lower().split()
+        groups.setdefault(" ".join(words), []).append(r)  # no two of these texts are alike but not equal
+    late = lambda r: (r[0] is None, r[0] or 0, *map(str, r[1:]))
+    want = [min(g, key=late) for g in groups.values()]
+    docs = cut(stages["simhash_near_dedup"](spark, docs, tables))
+    assert said(docs.collect()) == said(want)
+    new = repeats_cut([r[1] for r in want])
+    want = [(r[0], t, *r[2:4], len(t), *r[5:]) for r, t in zip(want, new, strict=True)]
+    docs = cut(stages["suffix_array_dedup"](spark, docs, tables))
+    assert docs.dtypes == spark.read.parquet(f"{tables}/documents.parquet").dtypes
+    assert said(docs.collect()) == said(want)
+    want = [r for r in want if ITEM not in r[1]]
+    docs = cut(stages["benchmark_decontamination"](spark, docs, tables))
+    assert said(docs.collect()) == said(want)
+    ids = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    sizes = Counter((r[0], len(ids.encode(r[1], add_special_tokens=False).ids) + 1) for r in want)
+    packed = stages["best_fit_packing"](spark, docs, tables).collect()
+    got, tokens = Counter(), Counter()
+    for r in packed:
+        tokens[r.doc_id] += r.length
+    for (i, n), times in sizes.items():
+        got[i] += n * times
+    assert tokens == got and {r.sequence_id for r in packed} and max(r.offset + r.length for r in packed) <= 2048
+    whole = cp.run(spark, tables).collect()
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in whole) == Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in packed)
+
+
+def test_empty_tables(spark, tables, tmp_path):
+    docs = spark.read.parquet(f"{tables}/documents.parquet").where("false")
+    for _, stage in cp.STAGES:
+        docs = stage(spark, docs, tables)
+        assert docs.count() == 0
 
 
 def test_near_duplicates_share_five_word_shingles(spark):

@@ -15,8 +15,11 @@ NEWS_MARK, FORUM_MARK = "NW", "DF"
 TAG = r"</?\w+[^>]*>"
 SENTENCE = r"[^.!?\n]*[.!?\n]|[^.!?\n]+$"
 SENTENCE_CJK = r"[^。！？\n]*[。！？\n]|[^。！？\n]+$"
+#: Tags, and sentences that stop at them.
+MARKED = r"<[^<>]*>|[^<>.!?\n]*[.!?\n]|[^<>.!?\n]+|[<>]"
 TOKEN = r"[A-Za-z]+|[^A-Za-z]+"
 WORD = r"[A-Za-z]+"
+#: The paragraph patterns.
 PARAGRAPH_FORUM = r">([\s\S]*?)<[^a^i][^a]"
 PARAGRAPH_NEWS = r">([\s\S]*?)<"
 #: Markup whose content is not text: dropped before tags are counted.

@@ -36,6 +36,17 @@ def roc(rows: DataFrame, gold: str, score: str) -> DataFrame:
     return up.select("score", share("p").alias("tpr"), share("n").alias("fpr"))
 
 
+def area(rows: DataFrame, gold: str, score: str) -> DataFrame:
+    """(positives, negatives, auc): the share of pairs that the score orders rightly, ties by half; 0 where there are none."""
+    n = rows.groupBy(F.col(score).alias("score")).agg(F.sum(F.col(gold)).cast("long").alias("p"), F.sum(1 - F.col(gold)).cast("long").alias("n"))
+    up = running(n, ("score",), {"_p": F.col("p"), "_n": F.col("n")})
+    # Twice the pairs, so that halves stay whole numbers: a negative has the positives above it, and half of those beside it.
+    wins = F.col("n") * (2 * (F.col("_p_total") - F.col("_p")) + F.col("p"))
+    sums = up.agg(F.sum(wins.cast("decimal(38,0)")).alias("wins"), F.sum("p").alias("positives"), F.sum("n").alias("negatives"))
+    pairs = F.col("positives").cast("double") * F.col("negatives")
+    return sums.select(*(F.coalesce(c, F.lit(0)).alias(c) for c in ("positives", "negatives")), _ratio(F.col("wins").cast("double") / 2, pairs).alias("auc"))
+
+
 def majority(votes: DataFrame, by: tuple[str, ...], vote: str = "y") -> DataFrame:
     """The most frequent vote, the least of ties."""
     n = votes.groupBy(*by, vote).agg(F.count(F.lit(1)).alias("_n"))

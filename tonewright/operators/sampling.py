@@ -65,6 +65,23 @@ def resampled(rows: DataFrame, fractions: dict[int, float], label: str = "y", se
     return out
 
 
+def default_targets(counts: DataFrame, label: str = "y") -> DataFrame:
+    """Rows that each class is drawn to by default: of three classes as many as there are of class 1; of two, half of all."""
+    n = lambda k: F.coalesce(F.sum(F.when(F.col(label) == k, F.col("n"))), F.lit(0)).cast("long")
+    sums = counts.agg(n(0).alias("n0"), n(1).alias("n1"), n(2).alias("n2"))
+    three = F.array(*(F.struct(F.lit(3).alias("classes"), F.lit(k).alias("y"), F.col("n1").alias("target")) for k in range(3)))
+    half = F.floor((F.col("n0") + F.col("n1")) / 2)
+    two = F.array(*(F.struct(F.lit(2).alias("classes"), F.lit(k).alias("y"), half.alias("target")) for k in range(2)))
+    return sums.select(F.explode(F.concat(three, two)).alias("t")).select("t.*")
+
+
+def resampled_by_default(rows: DataFrame, classes: int = 3, label: str = "y", seed: int = 7) -> DataFrame:
+    """Draw each class with replacement to its default target; a class without rows stays so."""
+    n = {r[label]: r["n"] for r in rows.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect() if r[label] is not None}  # a row a class
+    target = n.get(1, 0) if classes == 3 else (n.get(0, 0) + n.get(1, 0)) // 2
+    return resampled(rows, {k: target / n[k] for k in range(classes) if n.get(k)} or {0: 0.0}, label, seed)
+
+
 def bucket(key: Column, of: int) -> Column:
     """A stable bucket of a key."""
     return F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(of)).cast("int")

@@ -18,6 +18,16 @@ def write_lines(df: DataFrame, column: str, path: str) -> None:
     df.select(F.col(column).cast("string")).write.mode("overwrite").text(path)
 
 
+def write_predictions(rows: DataFrame, path: str) -> None:
+    """(sample_id, y_predict) as CSV with a header, in place of what is there."""
+    rows.select("sample_id", F.col("y").cast("int").alias("y_predict")).write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_features(rows: DataFrame, path: str) -> None:
+    """(sample_id, x): features kept for later runs."""
+    write_table(rows.select("sample_id", F.col("x").cast("array<double>").alias("x")), path)
+
+
 def source_struct(id_: str = "source_id", off: str = "source_off", size: str = "source_len", text: str = "source_text") -> Column:
     """<source>, or nothing where none was found."""
     return F.when(F.col(id_).isNotNull(), F.struct(F.col(id_).alias("_ere_id"), F.col(off).alias("_offset"), F.col(size).alias("_length"), F.col(text).alias("_VALUE")))

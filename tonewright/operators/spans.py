@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import SENTENCE, TOKEN, strip_tags
+from ..functions import MARKED, SENTENCE, TOKEN, WORD, strip_tags
 
 
 def pieces(docs: DataFrame, pattern: str, name: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -46,12 +46,14 @@ def asof_sentence(found: DataFrame, sents: DataFrame, key: str = "doc_id") -> Da
 
 def frames(sents: DataFrame, widths: tuple[int, ...] = (7, 5, 3, 1), key: str = "doc_id", within: tuple[str, ...] = ()) -> DataFrame:
     """Contexts of each sentence: it and its neighbours joined without separator, line breaks as spaces, tags stripped."""
-    out = sents
+    order, most = Window.partitionBy(key, *within).orderBy("pos"), max(widths) // 2
+    # Neighbours by place, in one pass over the sorted rows; only texts with a bracket are searched for tags.
+    near = [F.coalesce(F.lag("sent", -k).over(order), F.lit("")).alias(f"_{k + most}") if k else F.col("sent").alias(f"_{most}") for k in range(-most, most + 1)]
+    out = sents.select("*", *near)
     for w in widths:
-        near = Window.partitionBy(key, *within).orderBy("pos").rowsBetween(-(w // 2), w // 2)
-        joined = F.array_join(F.collect_list("sent").over(near), "")
-        out = out.withColumn(f"context{w}", strip_tags(F.regexp_replace(joined, "\n", " ")))
-    return out
+        joined = F.replace(F.concat(*(F.col(f"_{k}") for k in range(most - w // 2, most + w // 2 + 1))), F.lit("\n"), F.lit(" "))
+        out = out.withColumn(f"context{w}", F.when(joined.contains("<"), strip_tags(joined)).otherwise(joined))
+    return out.drop(*(f"_{k}" for k in range(2 * most + 1)))
 
 
 def bounded(sents: DataFrame, boundary: str = "</?(post|quote)", key: str = "doc_id") -> DataFrame:
@@ -60,6 +62,29 @@ def bounded(sents: DataFrame, boundary: str = "</?(post|quote)", key: str = "doc
     return sents.withColumn("part", F.sum(F.col("sent").rlike(boundary).cast("int")).over(upto).cast("int"))
 
 
+def marked_pieces(texts: DataFrame, key: str = "file") -> DataFrame:
+    """(key, pos, off, sent, tag, part): tags as pieces of their own and sentences between them; `part` counts the tags so far."""
+    cut = pieces(texts, MARKED, "sent", key)
+    upto = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    marked = cut.withColumn("tag", F.col("sent").rlike("^<[^<>]*>$").cast("int"))
+    return marked.withColumn("part", F.sum("tag").over(upto).cast("int"))
+
+
+def in_context(found: DataFrame, parts: DataFrame, key: str = "file", off: str = "off", widths: tuple[int, ...] = (7, 5, 3, 1), prefix: str = "", n: int = 10) -> DataFrame:
+    """Mentions with {prefix}sentence, {prefix}sentence_off, {prefix}context<w> and {prefix}window of the `n` words around them.
+
+    Contexts stop at tags.  What stands inside a tag, beyond the text or nowhere (a null offset) has nulls.
+    """
+    framed = frames(parts.where("tag = 0"), widths, key, ("part",))
+    s = framed.select(F.col(key).alias("_key"), F.col("off").alias("_from"), (F.col("off") + F.length("sent")).alias("_to"), F.col("sent").alias(f"{prefix}sentence"), F.col("off").alias(f"{prefix}sentence_off"), *(F.col(f"context{w}").alias(f"{prefix}context{w}") for w in widths))
+    held = (F.col(key) == F.col("_key")) & (F.col(off) >= F.col("_from")) & (F.col(off) < F.col("_to"))
+    words = lambda a: F.expr(f"regexp_extract_all({a}, '{WORD}', 0)")
+    before, after = words(f"left({prefix}sentence, {off} - _from)"), words(f"substring({prefix}sentence, {off} - _from + 1)")
+    near = F.concat(F.slice(before, F.greatest(F.size(before) - (n // 2 - 1), F.lit(1)), n // 2), F.slice(after, 1, n - n // 2))
+    out = found.join(s, held, "left").withColumn(f"{prefix}window", F.array_join(near, " "))
+    return out.drop("_key", "_from", "_to")
+
+
 def target_window(words: DataFrame, target: Column, n: int = 10, key: str = "doc_id") -> DataFrame:
     """The n words around each word for which `target` holds: (key, off, window)."""
     near = Window.partitionBy(key).orderBy("off").rowsBetween(-(n // 2), n - 1 - n // 2)

@@ -1,6 +1,6 @@
 """Registered queries and their SQL twins."""
 
-from . import features, markup, mentions, models, outputs, predict, sampling, scans, text  # noqa: F401
+from . import drivers, extraction, features, markup, mentions, models, outputs, predict, sampling, scans, text  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 

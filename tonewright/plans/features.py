@@ -114,25 +114,25 @@ def embedding_lookup(t):
     return features.word_vectors(words, known).select("word", F.round(F.col("vec")[0], 6).alias("first"), F.coalesce(1 - F.col("hit"), F.lit(1)).alias("unknown"))
 
 
-MATRIX = f"{EN}, {VOCAB}, cells AS (SELECT conv_id, turn, unnest(list_concat(ws, list_transform(range(8), lambda i: '<pad>'))[1:8]) AS word, generate_subscripts(range(8), 1) - 1 AS row FROM en), matrix AS (SELECT c.conv_id, c.turn, c.row, CASE WHEN c.word = '<pad>' THEN list_transform(range(64), lambda i: 0.1::DOUBLE) ELSE coalesce(v.vec::DOUBLE[], list_transform(range(64), lambda i: 0.01::DOUBLE)) END AS vec FROM cells c LEFT JOIN vecs v ON v.word = c.word)"
-
-
-def matrix(t: Tables) -> DataFrame:
-    """(conv_id, turn, row, vec): eight word vectors a turn, padded with 0.1."""
-    cells = turns(t).select("conv_id", "turn", F.posexplode(padded(F.col("ws"), 8, F.lit("<pad>"))).alias("row", "word"))
-    out = features.word_vectors(cells, vectors(t))
-    return out.select("conv_id", "turn", "row", F.when(F.col("word") == "<pad>", F.array_repeat(F.lit(0.1), 64)).otherwise(F.col("vec")).alias("vec"))
+MATRIX = f"{EN}, {VOCAB}, cells AS (SELECT conv_id, turn, unnest(list_concat(ws, list_transform(range(56), lambda i: '<pad>'))[1:56]) AS word, generate_subscripts(range(56), 1) - 1 AS row FROM en), matrix AS (SELECT c.conv_id, c.turn, c.row, CASE WHEN c.word = '<pad>' THEN list_transform(range(64), lambda i: 0.1::DOUBLE) ELSE coalesce(v.vec::DOUBLE[], list_transform(range(64), lambda i: 0.01::DOUBLE)) END AS vec FROM cells c LEFT JOIN vecs v ON v.word = c.word)"
 
 
 #: Words of a turn that the matrices of networks have, and ids that sequences have.
 WIDTH, LENGTH = 56, 1000
 
 
+def matrix(t: Tables) -> DataFrame:
+    """(conv_id, turn, row, vec): the vectors of the first 56 words of a turn, padded with 0.1."""
+    cells = turns(t).select("conv_id", "turn", F.posexplode(padded(F.col("ws"), WIDTH, F.lit("<pad>"))).alias("row", "word"))
+    out = features.word_vectors(cells, F.broadcast(vectors(t)))  # 20,000 vectors at most
+    return out.select("conv_id", "turn", "row", F.when(F.col("word") == "<pad>", F.array_repeat(F.lit(0.1), 64)).otherwise(F.col("vec")).alias("vec"))
+
+
 def matrix_ids(t: Tables) -> DataFrame:
     """(conv_id, turn, ids): the first 56 words of a turn: 0 pads, 1 is a word without a vector, others are their rank + 1."""
     cells = turns(t).select("conv_id", "turn", F.posexplode(padded(F.col("ws"), WIDTH, F.lit("<pad>"))).alias("row", "word"))
     known = vocabulary(t).join(t.embeddings, F.col("vec_id") == F.col("rank") - 1).select("word", "rank")
-    found = cells.join(known, "word", "left").select("conv_id", "turn", "row", F.when(F.col("word") == "<pad>", 0).otherwise(F.coalesce(F.col("rank") + 1, F.lit(1))).alias("id"))
+    found = cells.join(F.broadcast(known), "word", "left").select("conv_id", "turn", "row", F.when(F.col("word") == "<pad>", 0).otherwise(F.coalesce(F.col("rank") + 1, F.lit(1))).alias("id"))
     return found.groupBy("conv_id", "turn").agg(F.transform(F.array_sort(F.collect_list(F.struct("row", "id"))), lambda c: c["id"]).alias("ids"))
 
 
@@ -144,7 +144,7 @@ def sequence_ids(t: Tables) -> DataFrame:
 
 def known_words(t: Tables) -> DataFrame:
     """(conv_id, turn, ids): the ranks of a turn's known words in their order, the last 1000 of them; turns without any have no row."""
-    words = turns(t).select("conv_id", "turn", F.posexplode("ws").alias("pos", "word")).join(vocabulary(t), "word")
+    words = turns(t).select("conv_id", "turn", F.posexplode("ws").alias("pos", "word")).join(F.broadcast(vocabulary(t)), "word")  # 20,000 words at most
     all_ids = words.groupBy("conv_id", "turn").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "rank"))), lambda x: x["rank"]).alias("ids"))
     return all_ids.select("conv_id", "turn", F.expr(f"slice(ids, greatest(size(ids) - {LENGTH - 1}, 1), {LENGTH})").alias("ids"))
 
@@ -166,13 +166,29 @@ def embedding_matrix(t):
     return matrix(t).select("conv_id", "turn", "row", F.round(F.col("vec")[0], 6).alias("a"), F.round(F.col("vec")[63], 6).alias("z"))
 
 
-@query(f"WITH {EN}, {VOCAB}, s AS (SELECT conv_id, turn, list_sum(list_transform(ws, lambda w: greatest({LEX}, 0))) AS p, list_sum(list_transform(ws, lambda w: least({LEX}, 0))) AS n FROM en) SELECT conv_id, turn, round(coalesce(p, 0), 6) AS row_pos, round(coalesce(n, 0), 6) AS row_neg, 0.1::DOUBLE AS pad, 9 AS rows FROM s")
+SUMS = f"s AS (SELECT conv_id, turn, round(coalesce(list_sum(list_transform(ws, lambda w: greatest({LEX}, 0))), 0), 6) AS p, round(coalesce(list_sum(list_transform(ws, lambda w: least({LEX}, 0))), 0), 6) AS n FROM en)"
+
+
+@query(f"WITH {MATRIX}, {SUMS} SELECT conv_id, turn, row::INT AS row, round(vec[1], 6) AS a, round(vec[2], 6) AS b, round(vec[64], 6) AS z FROM matrix UNION ALL SELECT conv_id, turn, 56, p, n, 0.1 FROM s")
 def mention_matrix(t):
+    """56 word vectors and a row of the signed sentiment sums, padded to the same width."""
     p, n = features.signed_sums(F.transform("ws", lexicon))
-    sums = turns(t).select("conv_id", "turn", padded(F.array(p, n), 64, F.lit(0.1)).alias("last"))
-    size = matrix(t).groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("n"))
-    out = sums.join(size, ["conv_id", "turn"])
-    return out.select("conv_id", "turn", F.round(F.col("last")[0], 6).alias("row_pos"), F.round(F.col("last")[1], 6).alias("row_neg"), F.col("last")[63].alias("pad"), (F.col("n") + 1).cast("int").alias("rows"))
+    last = turns(t).select("conv_id", "turn", F.lit(WIDTH).alias("row"), padded(F.array(p, n), 64, F.lit(0.1)).alias("vec"))
+    cell = lambda k, name: F.round(F.col("vec")[k], 6).alias(name)
+    return matrix(t).unionByName(last).select("conv_id", "turn", "row", cell(0, "a"), cell(1, "b"), cell(63, "z"))
+
+
+PAIR_SUMS = "pairs AS (SELECT a.conv_id, a.turn, a.row, a.vec AS x, b.vec AS y FROM matrix a JOIN matrix b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1 AND b.row = a.row)"
+
+
+@query(f"WITH {MATRIX}, {PAIR_SUMS} SELECT conv_id, turn, row::INT AS row, round((x[1] + y[1] + 0.01) / 3, 6) AS a, round((x[64] + y[64] + 0.01) / 3, 6) AS z FROM pairs")
+def relation_matrix(t):
+    """The mean of two arguments' matrices (a turn and the next) and of a trigger's, which is constant where there is none."""
+    rows = matrix(t)
+    after = rows.select("conv_id", (F.col("turn") - 1).alias("turn"), "row", F.col("vec").alias("next"))
+    mean = features.mean3(F.col("vec"), F.col("next"), F.array_repeat(F.lit(0.01), 64))
+    out = rows.join(after, ["conv_id", "turn", "row"]).select("conv_id", "turn", "row", mean.alias("m"))
+    return out.select("conv_id", "turn", "row", F.round(F.col("m")[0], 6).alias("a"), F.round(F.col("m")[63], 6).alias("z"))
 
 
 @query("SELECT label, dim::INT AS dim, round(avg(v::DOUBLE), 6) AS v FROM (SELECT label, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings) GROUP BY label, dim")
@@ -188,9 +204,9 @@ def vector_avg3(t):
     return j.select("grp", F.posexplode(features.mean3(F.col("v0"), F.col("v1"), F.col("v2"))).alias("dim", "v")).withColumn("v", F.round("v", 6))
 
 
-@query(f"WITH {MATRIX} SELECT conv_id, turn, row * 64 + i AS cell, round(vec[i + 1], 6) AS v FROM matrix, range(64) r(i) WHERE turn = 0")
+@query(f"WITH {MATRIX} SELECT conv_id, turn, row * 64 + i AS cell, round(vec[i + 1], 6) AS v FROM matrix, range(64) r(i)")
 def flatten_matrix(t):
-    rows = matrix(t).where("turn = 0").groupBy("conv_id", "turn").agg(F.array_sort(F.collect_list(F.struct("row", "vec"))).alias("m"))
+    rows = matrix(t).groupBy("conv_id", "turn").agg(F.array_sort(F.collect_list(F.struct("row", "vec"))).alias("m"))
     flat = F.flatten(F.transform("m", lambda x: x["vec"]))
     return rows.select("conv_id", "turn", F.posexplode(flat).alias("cell", "v")).select("conv_id", "turn", F.col("cell").cast("long").alias("cell"), F.round("v", 6).alias("v"))
 

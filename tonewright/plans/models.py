@@ -56,7 +56,14 @@ def ovo_predict(t):
 @query()
 def doc_vectors(t):
     rows = t.conversations.select(F.concat_ws("-", "conv_id", "turn").alias("sample_id"), F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)).alias("w"))
-    return learners.document_vectors(rows, "sample_id", "w").select("sample_id", F.size(vector_to_array("vec")).alias("dim"))
+    return learners.document_vectors(rows, "sample_id", "w", 50)
+
+
+@query()
+def doc_vectors_joined(t):
+    """Two kinds of document vectors side by side."""
+    rows = t.conversations.select(F.concat_ws("-", "conv_id", "turn").alias("sample_id"), F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)).alias("w"))
+    return learners.joined_vectors(rows, "sample_id", "w", 50)
 
 
 def pictures(t: Tables, ids: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,14 +38,50 @@ def _int(c: str) -> Column:
     return F.col(c).try_cast("int")
 
 
+#: A mention file and an annotation file as a whole.
+_DOCUMENT = ", ".join(f"{many} STRUCT<{one}: ARRAY<STRUCT<{kind}>>>" for many, one, kind in (("entities", "entity", ENTITY), ("fillers", "filler", FILLER), ("relations", "relation", RELATION), ("hoppers", "hopper", HOPPER)))
+_ANNOTATIONS = "sentiment_annotations STRUCT<" + ", ".join(f"{many}: STRUCT<{one}: ARRAY<STRUCT<{ANNOTATED}>>>" for many, one in (("entities", "entity"), ("relations", "relation"), ("events", "event"))) + ">"
+_WITHIN = {"entity": "entities.entity", "filler": "fillers.filler", "relation": "relations.relation", "hopper": "hoppers.hopper"}
+
+
+def elements_of(documents: DataFrame):
+    """From (file, xml) of whole mention files, a reader of their elements: what the `*_rows` functions take."""
+    parsed = documents.select("file", F.from_xml("xml", _DOCUMENT).alias("d"))
+    return lambda tag: parsed.select("file", F.explode(f"d.{_WITHIN[tag]}").alias("e")).select("e.*", "file")
+
+
+def annotation_documents(documents: DataFrame) -> DataFrame:
+    """(file, target_id, label, source_id, source_off, source_len, source_text) from (file, xml): the first sentiment of each target."""
+    parsed = documents.select("file", F.from_xml("xml", _ANNOTATIONS).getField("sentiment_annotations").alias("d"))
+    every = F.concat(*(F.coalesce(f"d.{c}", F.array()) for c in ("entities.entity", "relations.relation", "events.event")))
+    rows = parsed.select("file", F.explode(every).alias("e")).where("e._ere_id is not null")
+    first = F.col("e.sentiments.sentiment")[0]
+    rows = rows.select("file", F.col("e._ere_id").alias("target_id"), first["_polarity"].alias("label"), first["source"].alias("s")).dropDuplicates(["file", "target_id"])
+    return rows.select("file", "target_id", "label", F.col("s._ere_id").alias("source_id"), _int("s._offset").alias("source_off"), _int("s._length").alias("source_len"), F.col("s._VALUE").alias("source_text"))
+
+
+def elements_in(spark: SparkSession, path: str):
+    """The same over mention files below `path`."""
+    kinds = {"entity": ENTITY, "filler": FILLER, "relation": RELATION, "hopper": HOPPER}
+    return lambda tag: _xml(spark, path, tag, kinds[tag])
+
+
 def entity_file(spark: SparkSession, path: str) -> DataFrame:
+    return entity_rows(elements_in(spark, path))
+
+
+def entity_rows(read) -> DataFrame:
     """One row an entity mention; mentions without an id are skipped."""
-    rows = _xml(spark, path, "entity", ENTITY).select("file", F.col("_id").alias("entity_id"), F.col("_type").alias("entity_type"), F.col("_specificity").alias("entity_specificity"), F.explode("entity_mention").alias("m"))
+    rows = read("entity").select("file", F.col("_id").alias("entity_id"), F.col("_type").alias("entity_type"), F.col("_specificity").alias("entity_specificity"), F.explode("entity_mention").alias("m"))
     return rows.where("m._id is not null").select("file", "entity_id", "entity_type", "entity_specificity", F.col("m._id").alias("mention_id"), F.col("m._noun_type").alias("noun_type"), _int("m._offset").alias("off"), _int("m._length").alias("len"), F.col("m.mention_text").alias("mention"))
 
 
 def filler_file(spark: SparkSession, path: str) -> DataFrame:
-    return _xml(spark, path, "filler", FILLER).select("file", F.col("_id").alias("filler_id"), F.col("_type").alias("filler_type"), _int("_offset").alias("off"), _int("_length").alias("len"), F.col("_VALUE").alias("mention"))
+    return filler_rows(elements_in(spark, path))
+
+
+def filler_rows(read) -> DataFrame:
+    return read("filler").select("file", F.col("_id").alias("filler_id"), F.col("_type").alias("filler_type"), _int("_offset").alias("off"), _int("_length").alias("len"), F.col("_VALUE").alias("mention"))
 
 
 def resolve_args(args: DataFrame, entities: DataFrame, fillers: DataFrame, prefix: str) -> DataFrame:
@@ -56,20 +94,28 @@ def resolve_args(args: DataFrame, entities: DataFrame, fillers: DataFrame, prefi
 
 
 def relation_file(spark: SparkSession, path: str) -> DataFrame:
+    return relation_rows(elements_in(spark, path))
+
+
+def relation_rows(read) -> DataFrame:
     """One row a relation mention with both arguments resolved and its trigger, if it has one."""
-    rows = _xml(spark, path, "relation", RELATION).select("file", F.col("_id").alias("relation_id"), F.col("_type").alias("relation_type"), F.col("_subtype").alias("relation_subtype"), F.explode("relation_mention").alias("m"))
+    rows = read("relation").select("file", F.col("_id").alias("relation_id"), F.col("_type").alias("relation_type"), F.col("_subtype").alias("relation_subtype"), F.explode("relation_mention").alias("m"))
     flat = rows.select("file", "relation_id", "relation_type", "relation_subtype", F.col("m._id").alias("mention_id"), F.col("m._realis").alias("realis"), *(F.col(f"m.rel_arg{k}.{a}").alias(f"arg{k}_{b}") for k in (1, 2) for a, b in (("_entity_id", "entity_id"), ("_entity_mention_id", "mention_id"), ("_filler_id", "filler_id"), ("_role", "role"))), _int("m.trigger._offset").alias("trigger_off"), _int("m.trigger._length").alias("trigger_len"), F.col("m.trigger._VALUE").alias("trigger"))
-    entities, fillers = entity_file(spark, path), filler_file(spark, path)
+    entities, fillers = entity_rows(read), filler_rows(read)
     return resolve_args(resolve_args(flat, entities, fillers, "arg1"), entities, fillers, "arg2")
 
 
 def event_file(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    return event_rows(elements_in(spark, path))
+
+
+def event_rows(read) -> tuple[DataFrame, DataFrame]:
     """Event mentions, and their arguments resolved."""
-    rows = _xml(spark, path, "hopper", HOPPER).select("file", F.col("_id").alias("hopper_id"), F.explode("event_mention").alias("m"))
+    rows = read("hopper").select("file", F.col("_id").alias("hopper_id"), F.explode("event_mention").alias("m"))
     events = rows.select("file", "hopper_id", F.col("m._id").alias("event_mention_id"), *(F.col(f"m._{c}").alias(c) for c in ("type", "subtype", "realis", "ways")), _int("m.trigger._offset").alias("trigger_off"), _int("m.trigger._length").alias("trigger_len"), F.col("m.trigger._VALUE").alias("trigger"), F.coalesce(F.size("m.em_arg"), F.lit(0)).alias("em_arg_num"))
     args = rows.select("file", "hopper_id", F.col("m._id").alias("event_mention_id"), F.explode("m.em_arg").alias("a"))
     args = args.select("file", "hopper_id", "event_mention_id", F.col("a._entity_id").alias("arg_entity_id"), F.col("a._entity_mention_id").alias("arg_mention_id"), F.col("a._filler_id").alias("arg_filler_id"), F.col("a._role").alias("arg_role"))
-    return events, resolve_args(args, entity_file(spark, path), filler_file(spark, path), "arg")
+    return events, resolve_args(args, entity_rows(read), filler_rows(read), "arg")
 
 
 def annotation_file(spark: SparkSession, path: str, tag: str, first: bool = True) -> DataFrame:
@@ -147,3 +193,46 @@ def review_folders(spark: SparkSession, path: str) -> DataFrame:
 def elements(texts: DataFrame, name: str) -> DataFrame:
     """(file, pos, body): the bodies of <name> elements, by pattern."""
     return texts.select("file", F.posexplode(F.regexp_extract_all("text", F.lit(rf"<{name}>([\s\S]*?)</{name}>"), F.lit(1))).alias("pos", "body"))
+
+
+def prediction_file(spark: SparkSession, path: str) -> DataFrame:
+    """(sample_id, y_predict) as the sinks write them."""
+    return spark.read.option("header", True).schema("sample_id string, y_predict int").csv(path)
+
+
+def kept_features(spark: SparkSession, path: str, samples: DataFrame) -> DataFrame:
+    """`samples` (sample_id, ...) with the features kept at `path`, null where there are none: by name, never by place."""
+    return samples.join(spark.read.parquet(path).select("sample_id", "x"), "sample_id", "left")
+
+
+@dataclass(frozen=True)
+class Catalogue:
+    """Where the files of a task lie below `root`; `predicted` chooses predicted mention files over gold ones."""
+
+    root: str
+    language: str = "english"
+    task: str = "sentiment"
+    split: str = "train"
+    predicted: bool = False
+
+    def at(self, *names: str) -> str:
+        return "/".join((self.root.rstrip("/"), self.language, self.split, *names))
+
+    @property
+    def sources(self) -> str:
+        return self.at("source")
+
+    @property
+    def mentions(self) -> str:
+        return self.at("predicted_ere" if self.predicted else "ere")
+
+    @property
+    def annotations(self) -> str:
+        return self.at("annotation")
+
+    def table(self, kind: str) -> str:
+        """The extracted table of entity, relation, event or em_args."""
+        return self.at(self.task, kind)
+
+    def output(self, name: str, genre: str = "both") -> str:
+        return self.at(self.task, "output", genre, name)

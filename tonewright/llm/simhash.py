@@ -186,11 +186,11 @@ def shards(distinct: DataFrame, radius: int, shard: int, sample: int, chunk: int
     """
     total = distinct.count()
     rows = distinct.select(F.lit(0).cast("long").alias("shard"), "fp", F.lit(False).alias("whole"))
-    large, limit = distinct.sparkSession.createDataFrame([(0, total)], "of long, n long").where(f"n > {shard}"), shard
+    known, more = rows.withColumn("n", F.lit(total).cast("long")), total > shard
 
     def fit(table: pa.Table) -> pa.Table:
         values = table.column("fp").to_numpy().view(np.uint64)
-        nodes = fit_tree(values, table.column("n")[0].as_py(), radius, limit)
+        nodes = fit_tree(values, table.column("n")[0].as_py(), radius, shard)
         return pa.table({"tree_of": table.column("shard")[:1], "n": table.column("n")[:1], "tree": pa.array([pickle.dumps(nodes)], pa.binary())})
 
     def send(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -201,9 +201,8 @@ def shards(distinct: DataFrame, radius: int, shard: int, sample: int, chunk: int
         leaf = np.repeat(np.array([k for k, _ in parts], np.int32), [len(x) for _, x in parts])
         return pa.table({"shard": pa.array(np.full(len(leaf), at)), "leaf": pa.array(leaf), "fp": pa.array(np.concatenate([x for _, x in parts]).view(np.int64))})
 
-    while not large.isEmpty():
-        known = rows.join(large, F.col("shard") == F.col("of"), "left")
-        wide = known.where("n is not null").drop("whole", "of")
+    while more:
+        wide = known.where("n is not null").drop("whole")
         picked = wide.where(F.pmod(F.xxhash64("fp", F.lit(3)), F.lit(1 << 30)) < F.lit(1.0 * sample * (1 << 30)) / F.col("n"))
         trees = cut(picked.groupBy("shard").applyInArrow(fit, "tree_of long, n long, tree binary"))
         chunks = F.ceil(F.col("n") / chunk).cast("int")
@@ -214,6 +213,7 @@ def shards(distinct: DataFrame, radius: int, shard: int, sample: int, chunk: int
         rows = cut(known.where("n is null").select("shard", "fp", "whole").unionByName(now))
         sizes = rows.where("not whole").groupBy(F.col("shard").alias("of")).agg(F.count(F.lit(1)).alias("n"))
         large = sizes.where(f"n > {2 * shard}")
+        known, more = rows.join(large, F.col("shard") == F.col("of"), "left").drop("of"), not large.isEmpty()
     return rows.select("shard", "fp")
 
 

@@ -265,20 +265,15 @@ def near_duplicates(docs: DataFrame, radius: int = 2) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def normal(text: Column) -> Column:
-    """The words of a text, A-Z lower-cased, joined by one space."""
-    lower = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.trim(F.regexp_replace(lower, "[\\x20\\x09-\\x0D]+", " "))
+def name_of(text: Column) -> Column:
+    """What tells texts apart: 128 bits; texts without words have one name."""
+    wordless = ~F.coalesce(text, F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    return F.unhex(F.md5(F.when(wordless, "").otherwise(text)))
 
 
-def name_of(words: Column) -> Column:
-    """What tells texts apart: 128 bits of their words."""
-    return F.unhex(F.md5(words))
-
-
-def shingles(words: str, known: dict) -> np.ndarray:
+def shingles(text: str, known: dict) -> np.ndarray:
     """The ascending distinct hashes of a text's five-word shingles (of all its words, if they are fewer)."""
-    each = word_hashes(words.encode("utf-8", "surrogatepass").split(), known)
+    each = word_hashes(text.encode("utf-8", "surrogatepass").lower().split(), known)
     return np.unique(rolled(each, min(WORDS, len(each)), 0x9E3779B97F4A7C15)) if len(each) else np.empty(0, np.uint64)
 
 
@@ -304,11 +299,13 @@ def crowds(docs: DataFrame) -> DataFrame:
         known, seen = _Hashes(), set()
         for b in batches:
             names, least, prints = [], [], []
-            for name, words in zip(b.column("name").to_pylist(), b.column("words").to_pylist(), strict=True):
-                if words and name not in seen:
+            for name, text in zip(b.column("name").to_pylist(), b.column("text").to_pylist(), strict=True):
+                if name not in seen:
                     if len(seen) < 1_000_000:
                         seen.add(name)
-                    found = shingles(words, known)
+                    found = shingles(text, known)
+                    if not len(found):
+                        continue
                     names.append(name)
                     prints.append(wide_print(found))
                     least += [int(mixed(found * k).min()) ^ j for j, k in enumerate(_ORDER)]
@@ -316,8 +313,8 @@ def crowds(docs: DataFrame) -> DataFrame:
             h = np.array(least, np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(names, pa.binary()).take(each), pa.array(prints, pa.binary()).take(each)], ["h", "name", "print"])
 
-    words = normal(F.col("text"))
-    return docs.select(words.alias("words")).select(name_of(F.col("words")).alias("name"), "words").mapInArrow(run, "h long, name binary, print binary")
+    rows = docs.select(name_of(F.col("text")).alias("name"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.mapInArrow(run, "h long, name binary, print binary")
 
 
 def _numbers(cells: pa.ChunkedArray, kind: str, wide: int) -> np.ndarray:
@@ -393,40 +390,41 @@ def alike(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def verified(members: DataFrame) -> DataFrame:
-    """(a, b) from (root, name, words): in each root's group, links between texts that share enough, by their whole sets."""
+    """(a, b) from (root, name, text): in each root's group, links between texts that share enough, by their whole sets."""
     members = cut(members)
-    total = members.agg(F.sum(F.octet_length("words"))).first()[0] or 0
-    weight = F.greatest(F.count(F.lit(1)).cast("double"), F.sum(F.octet_length("words")) * (CROWD / VERIFY))
+    total = members.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    weight = F.greatest(F.count(F.lit(1)).cast("double"), F.sum(F.octet_length("text")) * (CROWD / VERIFY))
 
     def judge(table: pa.Table) -> pa.Table:
         of, names, known = table.column("part_of").to_numpy(), table.column("name").to_pylist(), _Hashes()
-        words, order, ends = table.column("words"), np.argsort(of, kind="stable"), []
+        texts_, order, ends = table.column("text"), np.argsort(of, kind="stable"), []
         for a, b in _runs(of[order]):
             mine = order[a:b]
-            label = alike([shingles(words[int(k)].as_py(), known) for k in mine])
+            label = alike([shingles(texts_[int(k)].as_py(), known) for k in mine])
             tied = np.flatnonzero(label != np.arange(b - a))
             ends += zip(mine[tied].tolist(), mine[label[tied]].tolist(), strict=True)
         return pa.table({"a": pa.array([names[x] for x, _ in ends], pa.binary()), "b": pa.array([names[y] for _, y in ends], pa.binary())})
 
     parts = max(1, -(-total // VERIFY))
     placed = triangles(members, ("root",), weight, CROWD, F.col("name")).withColumn("part", F.pmod("part_of", F.lit(parts)).cast("int"))
-    return placed.select("part", "part_of", "name", "words").groupBy("part").applyInArrow(judge, "a binary, b binary")
+    return placed.select("part", "part_of", "name", "text").groupBy("part").applyInArrow(judge, "a binary, b binary")
 
 
 def alike_groups(docs: DataFrame) -> DataFrame:
     """(node, root): the name of each text that is like another one, and that of its group."""
     bounded_batches(docs.sparkSession)
     roots = components(candidates(docs))
-    words = normal(F.col("text"))
-    named = docs.select(words.alias("words")).select(name_of(F.col("words")).alias("name"), "words")
-    members = named.join(roots, F.col("name") == F.col("node")).groupBy("name").agg(F.min("root").alias("root"), F.min("words").alias("words"))
+    # Copies of one text become one row before they meet, so that no text is a hot key.
+    named = docs.groupBy(name_of(F.col("text")).alias("name")).agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    members = named.join(roots, F.col("name") == F.col("node")).select("root", "name", "text")
     return components(verified(members))
 
 
 def distinct_documents(docs: DataFrame) -> DataFrame:
     """One row of each group of near copies, that of the least doc_id (null ids last), then of the least other columns."""
     others = [c for c in docs.columns if c != "doc_id"]
-    rows = docs.select(name_of(normal(F.col("text"))).alias("name"), F.struct(F.col("doc_id").isNull(), "doc_id", *(f"`{c}`" for c in others)).alias("row"))
+    row = F.struct(F.col("doc_id").isNull(), "doc_id", *(f"`{c}`" for c in others))
+    rows = docs.groupBy(name_of(F.col("text")).alias("name")).agg(F.min(row).alias("row"))  # copies become one row before they meet
     grouped = rows.join(alike_groups(docs), F.col("name") == F.col("node"), "left").groupBy(F.coalesce("root", "name").alias("root"))
     least = grouped.agg(F.min("row").alias("row"))
     return least.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))

@@ -92,9 +92,11 @@ class Trie:
         for k, char in enumerate(token):
             node = child.get((path[-1], char))
             if node is None:
+                best, pieces, total = self.scores(token, k + 1, path)
                 node = child[path[-1], char] = len(self.best)
-                for table, x in zip((self.best, self.pieces, self.total), self.scores(token, k + 1, path), strict=True):
-                    table.append(x)
+                self.best.append(best)
+                self.pieces.append(pieces)
+                self.total.append(total)
             path.append(node)
         return path[-1]
 

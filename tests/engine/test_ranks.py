@@ -21,6 +21,17 @@ def test_two_column_order_and_empty_tables(spark):
     assert ranks.ranked(rows.where("b < 0"), ("a", "b"), ("a",)).count() == 0
 
 
+def test_many_ranges_by_a_table_of_cuts(spark, monkeypatch):
+    monkeypatch.setattr(ranks, "FEW", 4)
+    rows = spark.range(4000).select(F.when(F.col("id") % 9 != 0, F.col("id") % 500).alias("a"), F.md5(F.col("id").cast("string")).alias("b"), (F.col("id") % 2).alias("g"))
+    w = Window.partitionBy("g").orderBy("a", "b")
+    want = rows.withColumn("rn", F.row_number().over(w).cast("long")).withColumn("rn_total", F.lit(2000).cast("long"))
+    got = ranks.running(rows, ("a", "b"), {"rn": F.lit(1).cast("long")}, ("g",), 15, 900)
+    assert got.columns == want.columns and got.exceptAll(want).count() == 0 == want.exceptAll(got).count()
+    cuts = ranks._cut_points(rows, ("a", "b"), 15, 900)
+    assert len(cuts) > 4 and ranks._placed(rows, ("a", "b"), cuts).select("_part").distinct().count() == len(cuts) + 1
+
+
 def test_hot_groups_are_cut_up(spark):
     rows = spark.range(100_000).select(F.lit("all").alias("g"), F.col("id").alias("k"))
     cuts = ranks._cut_points(rows, ("k",), 16, 4096)

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 BATCH_BYTES = 8 << 20
 #: Bytes of text in a block of rows, and bytes that a block and a bucket send each other at least.
 BLOCK_BYTES, LEAST_BLOCK, MESSAGE = 8 << 20, 1 << 20, 160
+#: A key is hot if it has over one in so many rows.
+HOT_KEYS = 1000
 #: The steps of Spark's hash of an int (Murmur3, 32 bits, seed 42).
 _SEED, _M1, _M2, _ADD, _F1, _F2 = 42, 0xCC9E2D51, 0x1B873593, 0xE6546B64, 0x85EBCA6B, 0xC2B2AE35
 _MASK = 0xFFFFFFFF
@@ -124,18 +126,32 @@ def id_blocks(docs: DataFrame, block_bytes: int, block_rows: int, each: int = 30
     return out.withColumn("blk", F.col("_blk").cast("int")).drop("_key", "_blk"), len(splits) - 1
 
 
+def hot_bar(total: int) -> int:
+    """Keys with more rows than this are hot: there are fewer than `HOT_KEYS` of them among `total` rows."""
+    return max(HOT_KEYS, total // HOT_KEYS)
+
+
+def looked_up(rows: DataFrame, table: DataFrame, keys: tuple[str, ...], count: str, bar: int, how: str = "inner") -> DataFrame:
+    """`rows` with the columns of `table`, which has one row a key and counts in `count` the rows of that key.
+
+    Keys of over `bar` rows are looked up by broadcast, all others by a shuffle, so no key's rows meet in one task;
+    with `hot_bar` the broadcast has fewer than `HOT_KEYS` rows.
+    """
+    hot = F.broadcast(table.where(F.col(count) > bar))
+    cold = rows.join(hot.select(*keys), list(keys), "left_anti")
+    return rows.join(hot, list(keys)).unionByName(cold.join(table.where(F.col(count) <= bar), list(keys), how))
+
+
 def triangles(rows: DataFrame, keys: tuple[str, ...], size: Column, most: int, name: Column) -> DataFrame:
     """Add `part_of`, a number for each key's group: groups of over `most` by `size` are cut into blocks, and every two blocks meet in one.
 
     `name` chooses the block.  A group of g blocks is copied g times, so that no two rows of it miss each other and
-    none of its parts is over twice `most`.  The sizes are one row a large group.
+    none of its parts is over twice `most`.  The sizes are one row a large group; those of the largest `HOT_KEYS` are broadcast.
     """
-    large = rows.groupBy(*keys).agg(size.alias("_size")).where(F.col("_size") > most)
-    large = large.select(*(F.col(k).alias(f"_of_{k}") for k in keys), F.ceil(F.col("_size") / most).cast("int").alias("_g"))
-    same = F.lit(True)
-    for k in keys:
-        same = same & (F.col(k) == F.col(f"_of_{k}"))
-    known = rows.join(large, same, "left")
+    large = cut(rows.groupBy(*keys).agg(size.alias("_size")).where(F.col("_size") > most))
+    large = large.withColumn("_g", F.ceil(F.col("_size") / most).cast("int"))
+    top = large.select("_size").orderBy(F.col("_size").desc()).limit(HOT_KEYS).collect()
+    known = looked_up(rows, large, keys, "_size", top[-1][0] if len(top) == HOT_KEYS else 0, "left")
     mine = F.pmod(F.xxhash64(name), F.coalesce("_g", F.lit(1))).cast("int")
     met = known.withColumn("_i", mine).withColumn("_j", F.explode(F.sequence(F.lit(0), F.coalesce("_g", F.lit(1)) - 1)))
     part = F.xxhash64(*keys, F.least("_i", "_j"), F.greatest("_i", "_j"))

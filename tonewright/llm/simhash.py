@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut, texts, triangles
+from .common import bounded_batches, cut, hot_bar, looked_up, texts, triangles
 from .substring import _Hashes, mixed, rolled, word_hashes
 
 SEED = 42
@@ -211,9 +211,12 @@ def shards(distinct: DataFrame, radius: int, shard: int, sample: int, chunk: int
         sent = left.groupBy("shard", "chunk").cogroup(right.groupBy("tree_of", "chunk")).applyInArrow(send, "shard long, leaf int, fp long")
         now = sent.select(F.when(F.col("leaf") < 0, F.col("shard")).otherwise(F.xxhash64("shard", "leaf")).alias("shard"), "fp", (F.col("leaf") < 0).alias("whole"))
         rows = cut(known.where("n is null").select("shard", "fp", "whole").unionByName(now))
-        sizes = rows.where("not whole").groupBy(F.col("shard").alias("of")).agg(F.count(F.lit(1)).alias("n"))
+        sizes = rows.where("not whole").groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
         large = sizes.where(f"n > {2 * shard}")
-        known, more = rows.join(large, F.col("shard") == F.col("of"), "left").drop("of"), not large.isEmpty()
+        # A shard that is left whole needs no lookup, whatever its size.
+        whole = rows.where("whole").withColumn("n", F.lit(None).cast("long"))
+        known = looked_up(rows.where("not whole"), large, ("shard",), "n", hot_bar(rows.count()), "left").unionByName(whole)
+        more = not large.isEmpty()
     return rows.select("shard", "fp")
 
 
@@ -233,35 +236,37 @@ def links(distinct: DataFrame, radius: int = 2, shard: int = 8192, sample: int =
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of `edges` (a, b), by alternating large-star and small-star contraction.
 
-    Every round's edges are checkpointed; minima are aggregated before they are shuffled.
+    Every round's edges are checkpointed; minima are aggregated before they are shuffled, and those of hubs are broadcast.
     """
-    last = None
+
+    def state(rows: DataFrame):
+        return rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
+
     now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    while True:
-        both = now.union(now.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    last, known = None, state(now)
+    while known != last:
+        bar = hot_bar(2 * known["n"])
+        up = now.select(F.col("b").alias("a"), F.col("a").alias("b"))
+        least = now.union(up).groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        large = looked_up(up, least, ("a",), "n", bar).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        root = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(root, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), "m"), F.struct("a", "m"))).alias("e"))
+        root = down.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = looked_up(down, root, ("a",), "n", bar).select(F.explode(F.array(F.struct(F.col("b").alias("a"), "m"), F.struct("a", "m"))).alias("e"))
         now = cut(small.select("e.a", F.col("e.m").alias("b")).where("a <> b").distinct())
-        state = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if state == last:
-            break
-        last = state
+        last, known = known, state(now)
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select("b", "b").distinct())
 
 
 def near_duplicates(docs: DataFrame, radius: int = 2) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every document; component_id is the least doc_id reachable by links."""
     prints = cut(fingerprints(docs))
-    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = components(links(distinct, radius))
-    known = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")))
+    roots = components(links(distinct.select("fp"), radius))
+    known = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
     known = cut(known)
-    least = known.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = known.join(least, "root").select("fp", "component_id")
-    out = prints.join(named, "fp")
+    least = known.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("prints"))
+    named = looked_up(known, least, ("root",), "prints", hot_bar(known.count())).select("fp", "component_id", "n")
+    out = looked_up(prints, named, ("fp",), "n", hot_bar(prints.count()))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 

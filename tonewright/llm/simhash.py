@@ -236,7 +236,8 @@ def links(distinct: DataFrame, radius: int = 2, shard: int = 8192, sample: int =
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of `edges` (a, b), by alternating large-star and small-star contraction.
 
-    Every round's edges are checkpointed; minima are aggregated before they are shuffled, and those of hubs are broadcast.
+    Edges and minima are checkpointed after every half round, as both paths of the lookup read them; minima are aggregated before
+    they are shuffled, and those of hubs are broadcast.
     """
 
     def state(rows: DataFrame):
@@ -247,10 +248,10 @@ def components(edges: DataFrame) -> DataFrame:
     while known != last:
         bar = hot_bar(2 * known["n"])
         up = now.select(F.col("b").alias("a"), F.col("a").alias("b"))
-        least = now.union(up).groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        least = cut(now.union(up).groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select("a", F.least("a", "m").alias("m"), "n"))
         large = looked_up(up, least, ("a",), "n", bar).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        root = down.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        down = cut(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+        root = cut(down.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")))
         small = looked_up(down, root, ("a",), "n", bar).select(F.explode(F.array(F.struct(F.col("b").alias("a"), "m"), F.struct("a", "m"))).alias("e"))
         now = cut(small.select("e.a", F.col("e.m").alias("b")).where("a <> b").distinct())
         last, known = known, state(now)

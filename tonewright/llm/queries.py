@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontam, fingerprint, html, packing, quality, simhash, substring, suffix, tokencount, urlfilter
+from . import decontam, fingerprint, html, packing, pointintime, quality, simhash, substring, suffix, tokencount, urlfilter
 
 #: Host and path rules of the URL query.
 URL_RULES = [
@@ -62,6 +63,25 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontam.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def _drawn(doc_id: Column, n: int) -> Column:
+    """The n-th group of eight hexadecimal digits, from 0, of a document id's digest."""
+    return F.conv(F.substring(F.sha2(doc_id.cast("string").cast("binary"), 256), 8 * n + 1, 8), 16, 10).cast("long")
+
+
+def op11_point_in_time_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    a, b, c = (_drawn(F.col("doc_id"), n) for n in range(3))
+    versions = docs.select("doc_id", "source", "n_chars", "lang", (a % 50000).alias("event"), (b % 600 - 60).alias("arrival"), (c % 900).alias("expiry"))
+    versions = versions.withColumns({"arrival": F.col("event") + F.col("arrival"), "expiry": F.col("event") + F.col("expiry")})
+    sources = docs.groupBy("doc_id").agg(F.min("source").alias("source"))  # one row an id, should ids repeat
+    asks = labels.select("doc_id", (_drawn(F.col("doc_id"), 3) % 50000).alias("t")).join(sources, "doc_id", "left")
+    found = pointintime.as_of(asks, versions, "source", "t", "event", "arrival", "expiry", "doc_id", ("n_chars", "lang"))
+    age = F.col("ask.t") - F.col("won.event")
+    status = F.when(F.col("won").isNull(), "none").when(age > 120, "stale").otherwise("fresh")
+    fresh = lambda c: F.when(age <= 120, F.col(f"won.{c}")).alias(c)
+    return found.select("ask.doc_id", "ask.t", F.col("won.version").alias("version_id"), age.alias("age"), status.alias("status"), fresh("n_chars"), fresh("lang"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -94,7 +114,15 @@ gaps AS (SELECT rid, a, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY a), 0) A
 heads AS (SELECT g.rid, string_agg(substr(h, 2 * from_ + 1, 2 * (a - from_)), '' ORDER BY a) AS kept FROM gaps g JOIN d USING (rid) GROUP BY g.rid)
 SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(tail, 0) + 1))) AS kept_sha256 FROM d LEFT JOIN total USING (rid) LEFT JOIN heads USING (rid)"""
 
+#: The point-in-time join by comparing each question with every version of its source.
+OP11_SQL = """WITH d AS (SELECT doc_id, source, n_chars, lang, sha256(doc_id::VARCHAR) AS x FROM documents),
+p AS (SELECT *, ('0x' || x[1:8])::BIGINT % 50000 AS event, ('0x' || x[9:16])::BIGINT % 600 AS late, ('0x' || x[17:24])::BIGINT % 900 AS lasts FROM d),
+asks AS (SELECT row_number() OVER () AS rid, l.doc_id, ('0x' || sha256(l.doc_id::VARCHAR)[25:32])::BIGINT % 50000 AS t, s.source FROM labels l LEFT JOIN (SELECT doc_id, min(source) AS source FROM documents GROUP BY doc_id) s USING (doc_id)),
+won AS (SELECT rid, p.doc_id AS version_id, t - event AS age, n_chars, lang FROM asks a JOIN p ON p.source = a.source AND event <= t AND event - 60 + late <= t AND t < event + lasts
+QUALIFY row_number() OVER (PARTITION BY rid ORDER BY event DESC, late, p.doc_id DESC) = 1)
+SELECT doc_id, t, version_id, age, CASE WHEN version_id IS NULL THEN 'none' WHEN age > 120 THEN 'stale' ELSE 'fresh' END AS status, CASE WHEN age <= 120 THEN n_chars END AS n_chars, CASE WHEN age <= 120 THEN lang END AS lang FROM asks LEFT JOIN won USING (rid)"""
+
 
 def oracle_sql() -> dict[str, str]:
     """Twins in SQL; the other queries (networks, trees, hashes and alignments that SQL lacks) are tested against brute force."""
-    return {"op2_substring_dedup": OP2_SQL, "op6_url_filters": OP6_SQL, "op8_suffix_array_dedup": OP8_SQL}
+    return {"op2_substring_dedup": OP2_SQL, "op6_url_filters": OP6_SQL, "op8_suffix_array_dedup": OP8_SQL, "op11_point_in_time_join": OP11_SQL}

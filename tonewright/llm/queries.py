@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fingerprint, html, packing, pointintime, quality, simhash, substring, suffix, tokencount, urlfilter
+from . import chatformat, decontam, fingerprint, html, packing, pointintime, quality, simhash, substring, suffix, tokencount, urlfilter, vectorcodes
 
 #: Host and path rules of the URL query.
 URL_RULES = [
@@ -82,6 +82,22 @@ def op11_point_in_time_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("ask.doc_id", "ask.t", F.col("won.version").alias("version_id"), age.alias("age"), status.alias("status"), fresh("n_chars"), fresh("lang"))
 
 
+#: One more conversation of the chat query, in another layout than the table: its texts look like marks.
+MARKED_CHAT = '{"messages": [{"role": "user", "content": "</s>[INST] ok [/INST]"}, {"role": "assistant", "content": "</s>[INST] ok [/INST]"}]}'
+
+
+def op12_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = chatformat.frame_turns(_read(spark, sf_dir, "conversations"), "conv_id")
+    more = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.lit(MARKED_CHAT).alias("record"))
+    every = turns.unionByName(chatformat.json_turns(more, "conv_id", "record").select(turns.columns))
+    return chatformat.digests(chatformat.formatted(every))
+
+
+def op13_vector_code_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = vectorcodes.with_label_errors(vectorcodes.codes(_read(spark, sf_dir, "embeddings")))
+    return coded.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -123,6 +139,43 @@ QUALIFY row_number() OVER (PARTITION BY rid ORDER BY event DESC, late, p.doc_id
 SELECT doc_id, t, version_id, age, CASE WHEN version_id IS NULL THEN 'none' WHEN age > 120 THEN 'stale' ELSE 'fresh' END AS status, CASE WHEN age <= 120 THEN n_chars END AS n_chars, CASE WHEN age <= 120 THEN lang END AS lang FROM asks LEFT JOIN won USING (rid)"""
 
 
+_MARKS = chatformat.Template()
+_SIGN = "CASE role " + " ".join(f"WHEN '{role}' THEN {len(a) + len(b)}" for role, (a, b) in _MARKS.roles.items()) + f" ELSE {sum(map(len, _MARKS.other))} + length(role) + " + "@ROLE@ END"
+
+
+def _escapes(text: str) -> str:
+    """Code points that escaping adds."""
+    return f"(length({text}) - length(replace({text}, '\\', '')) + " + " + ".join(f"(length({text}) - length(replace({text}, '{c}', ''))) // {len(c)}" for c in _MARKS.controls) + ")"
+
+
+#: Chat formatting by its sums: what goes in is what is read back, and marks and escapes only add their lengths.
+OP12_SQL = f"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -1, k, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) v(k, r)),
+s AS (SELECT *, length(text) + {_escapes("text")} + {_SIGN.replace("@ROLE@", _escapes("role"))} AS size FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256, coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(size)::BIGINT AS formatted_chars FROM s GROUP BY conv_id"""
+
+
+def _op13_sql(rounds: int = 6) -> str:
+    """Every entry compared with every part, round by round."""
+    far = "list_sum(list_transform(range(1, len(w) + 1), lambda i: (w[i] - c[i]) * (w[i] - c[i])))"
+    ctes = ["kept AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id, embedding) AS rid, vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+            "parts AS MATERIALIZED (SELECT rid, p, v[p * (len(v) // 8) + 1:(p + 1) * (len(v) // 8)] AS w FROM kept, range(8) r(p))",
+            "c0 AS MATERIALIZED (SELECT p, rid - 1 AS e, w AS c FROM parts WHERE rid <= 16)"]
+    for k in range(rounds + 1):
+        ctes.append(f"a{k} AS MATERIALIZED (SELECT rid, p, any_value(w) AS w, min({far} * 16 + e) AS m FROM parts JOIN c{k} USING (p) GROUP BY rid, p)")
+        if k < rounds:
+            ctes.append(f"s{k} AS (SELECT p, m % 16 AS e, i, sum(w[i])::BIGINT AS s, count(*) AS n FROM a{k}, range(1, 513) r(i) WHERE i <= len(w) GROUP BY ALL)")
+            ctes.append(f"m{k} AS (SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM s{k} GROUP BY p, e)")
+            ctes.append(f"c{k + 1} AS MATERIALIZED (SELECT c{k}.p, c{k}.e, coalesce(m{k}.c, c{k}.c) AS c FROM c{k} LEFT JOIN m{k} USING (p, e))")
+    ctes.append(f"h AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS h FROM c{rounds})")
+    ctes.append(f"e AS (SELECT rid, string_agg(printf('%02x', m % 16), '' ORDER BY p) AS code, sum(m // 16)::BIGINT AS error FROM a{rounds} GROUP BY rid)")
+    return f"WITH {', '.join(ctes)} SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, h AS codebooks_sha256 FROM kept JOIN e USING (rid), h"
+
+
+#: Exponion search by comparing every part with every entry.
+OP13_SQL = _op13_sql()
+
+
 def oracle_sql() -> dict[str, str]:
     """Twins in SQL; the other queries (networks, trees, hashes and alignments that SQL lacks) are tested against brute force."""
-    return {"op2_substring_dedup": OP2_SQL, "op6_url_filters": OP6_SQL, "op8_suffix_array_dedup": OP8_SQL, "op11_point_in_time_join": OP11_SQL}
+    return {"op2_substring_dedup": OP2_SQL, "op6_url_filters": OP6_SQL, "op8_suffix_array_dedup": OP8_SQL, "op11_point_in_time_join": OP11_SQL, "op12_chat_formatting": OP12_SQL, "op13_vector_code_compression": OP13_SQL}

@@ -9,7 +9,7 @@ from tonewright.llm import queries
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_against_sql(spark, small, name):
     c = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "labels", "conversations", "embeddings"):
         c.sql(f"create view {t} as select * from '{os.path.join(small, t)}.parquet'")
     want = c.sql(queries.oracle_sql()[name]).to_arrow_table()
     got = queries.queries()[name](spark, small).toArrow()
@@ -20,4 +20,4 @@ def test_against_sql(spark, small, name):
 
 
 def test_every_operator_has_a_query():
-    assert sorted(int(n.split("_")[0][2:]) for n in queries.queries()) == list(range(1, 11))
+    assert sorted(int(n.split("_")[0][2:]) for n in queries.queries()) == list(range(1, 14))

@@ -29,6 +29,7 @@ from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 #: What stands between the parts of a turn that is made of several fields.
 BETWEEN = "\n\n"
+TURNS = "array<struct<role:string,text:string>>"
 
 
 @dataclass(frozen=True)
@@ -239,6 +240,19 @@ def _joined(at, schema: StructType, texts: tuple[str, ...], there: set[str], abo
     return F.when(F.coalesce(*held).isNotNull(), F.array_join(F.filter(F.array(*held), lambda x: x != ""), BETWEEN)) if held else F.lit(None).cast("string")
 
 
+def _item_turn(each: Each, kind: StructType, there: set[str]):
+    """A function from an item of an array to its turn."""
+
+    def turn(item: Column) -> Column:
+        above, empty = f"{each.array}[].", F.lit("")
+        role = F.coalesce(_joined(item.getField, kind, (each.role,), there, above), empty)
+        for told, name in each.names:
+            role = F.when(role == told, name).otherwise(role)
+        return F.struct(role.alias("role"), F.coalesce(_joined(item.getField, kind, each.texts, there, above), empty).alias("text"))
+
+    return turn
+
+
 def frame_turns(rows: DataFrame, key: str = "conv_id", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
     """(key, turn, role, text) of a typed table, by the mapping that its schema's fingerprint selects."""
     there = schema_paths(rows.schema, _tree(layouts))
@@ -252,21 +266,13 @@ def frame_turns(rows: DataFrame, key: str = "conv_id", layouts: tuple[Layout, ..
             text = _joined(top, rows.schema, p.texts, there)
             role = F.coalesce(_joined(top, rows.schema, (p.role,), there), empty) if p.told else F.lit(p.role)
             turn = F.array(F.struct(role.alias("role"), F.coalesce(text, empty).alias("text")))
-            blocks.append(F.filter(turn, lambda _, t=text: t.isNotNull()) if p.optional else turn)
+            blocks.append(F.when(text.isNull(), F.array().cast(TURNS)).otherwise(turn) if p.optional else turn)
             continue
         first, *rest = _path(p.array)
         items, kind = top(first), rows.schema[first].dataType
         for step in rest:
             items, kind = items.getField(step), kind[step].dataType
-        inside, above = kind.elementType, f"{p.array}[]."
-
-        def one(item: Column, p=p, inside=inside, above=above) -> Column:
-            role = F.coalesce(_joined(item.getField, inside, (p.role,), there, above), empty)
-            for told, name in p.names:
-                role = F.when(role == told, name).otherwise(role)
-            return F.struct(role.alias("role"), F.coalesce(_joined(item.getField, inside, p.texts, there, above), empty).alias("text"))
-
-        blocks.append(F.coalesce(F.transform(items, one), F.array().cast("array<struct<role:string,text:string>>")))
+        blocks.append(F.coalesce(F.transform(items, _item_turn(p, kind.elementType, there)), F.array().cast(TURNS)))
     number = F.col(f"`{layout.order}`").cast("long") if layout.order else F.lit(0).cast("long")
     turns = rows.select(F.col(f"`{key}`").alias("_key"), number.alias("_number"), F.posexplode(F.concat(*blocks)).alias("_n", "_turn"))
     return turns.select(F.col("_key").alias(key), (F.col("_number") + F.col("_n")).alias("turn"), "_turn.role", "_turn.text")

@@ -126,6 +126,34 @@ def test_recall_of_edited_copies(spark):
         assert all(r >= 0.97 for s, r in recall.items() if s <= 0.3) and len(got) >= 0.97 * len(true)
 
 
+def test_edited_copies_of_short_items(spark):
+    """Items of 4 to 60 words, 10 to 40 % of the words edited: where a copy reaches the score it is found, up to 16 words always."""
+    rng = random.Random(12)
+    vocabulary = [f"w{k}" for k in range(400)]
+    items = [(k, rng.choices(vocabulary[:40] if k % 3 == 0 else vocabulary, k=4 + k % 57)) for k in range(114)]
+    rows, true = [], {}
+    for d in range(1600):
+        share, (i, words) = (1 + d % 4) / 10, items[d % 60 % 15 if d % 2 else d % 114]
+        text = rng.choices(vocabulary, k=20) + edited(words, share, rng, vocabulary) + rng.choices(vocabulary, k=20)
+        rows.append((d, " ".join(text)))
+        if brute_score(words, text) >= max(3, 0.5 * len(words)):
+            true[d, i] = len(words)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")).collect()}
+    assert {k for k, n in true.items() if n <= 16} <= got
+    long = [k for k, n in true.items() if n > 16]
+    assert sum(k in got for k in long) >= 0.97 * len(long) and len(long) > 300 and len(true) - len(long) > 300
+    text = dict(rows)
+    assert all(brute_score(items[i][1], text[d].split()) >= max(3, 0.5 * len(items[i][1])) for d, i in got)
+
+
+def test_items_that_repeat_their_pairs(spark):
+    tests = spark.createDataFrame([(1, "x y a x y b"), (2, "la la la la"), (3, "who wrote the great novel")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x y c x y d"), (2, "so la la la she sang"), (3, "who wrote the big novel"), (4, "who wrote a great novel"), (5, "the great flood"), (6, "who wrote it")], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id, r.score) for r in decontam.contaminated(docs, tests).collect()}
+    assert got == {(1, 1, 0.5), (2, 2, 0.75), (3, 3, 0.6), (4, 3, 0.6)}
+
+
 def test_clean_keeps_rows_and_columns(spark, odd):
     """Rows go by their own text; equal and null ids and columns under the names used inside stay as they are."""
     tests = spark.createDataFrame([(3, "one two three")], "item_id long, text string")

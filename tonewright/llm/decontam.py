@@ -1,7 +1,8 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 Words are runs of letters and digits, lower-cased.  An item's seeds are its n-grams (`GRAM` words, or the whole item if it
-is shorter) but for the `COMMON`-th part of them that most passages hold.
+is shorter) but for the `COMMON`-th part of them that most passages hold.  Items of `WHOLE` + 1 to `SHORT` words have all their pairs of
+words as seeds instead.
 
 1. Every document is scanned once.  Its n-grams are looked up in a bitmap of the items' n-grams, whose size is bounded
    whatever the items are; where hits lie close together they and the words around them, as far as an alignment with the longest
@@ -11,9 +12,10 @@ is shorter) but for the `COMMON`-th part of them that most passages hold.
    item has) are candidates.
 4. Candidates are aligned: where the seeds lie close together, and enough of the item's words for the threshold occur around
    them, the item is aligned with the words there, locally, with match 1, mismatch and gap -1.  A document is
-   contaminated if the best alignment reaches `THRESHOLD` of the score of a verbatim copy.
+   contaminated if the best alignment reaches `THRESHOLD` of the score of a verbatim copy, and `LEAST` (or the verbatim score) at least.
 
-Copies so broken up that fewer than `HITS` of the item's seeds are left are not found.  The common part is a share of the
+Every copy of an item of up to `SHORT` words is found: between runs of matches an alignment loses a point, so one that scores 3 holds
+two neighbouring pairs of the item.  Copies of longer items so broken up that fewer than `HITS` of the seeds are left are not found.  The common part is a share of the
 item's own n-grams and not a bound on their counts, so a copy that many documents hold loses no more seeds than that.
 
 Defined results: null texts and wordless items match nothing; a text of any length is read whole, in the memory that its
@@ -36,6 +38,8 @@ from .common import bounded_batches, cut
 from .substring import BASE, _Hashes, rolled, word_hashes
 
 GRAM, HITS, THRESHOLD = 3, 2, 0.5
+#: Words of items that are seeds as a whole, most words of items with pairs for seeds, and the least score of a copy of all but the first.
+WHOLE, SHORT, LEAST = 3, 16, 3
 #: One n-gram in so many of an item is no seed: those that the most passages hold.
 COMMON = 8
 #: Bits of the bitmap, as a power of two: for each n-gram `SPARE` more at least, up to 16 MB; and of a part of it.
@@ -83,7 +87,10 @@ def _clusters(places: np.ndarray, gap: int):
 
 
 def item_rows(benchmark: DataFrame, gram: int) -> DataFrame:
-    """(item, item_id, words, size, grams): the distinct items that have words; words are joined by spaces."""
+    """(item, item_id, words, n, size, grams, spare): the distinct items that have words; words are joined by spaces.
+
+    `spare` is null, or for items with pairs for seeds the number of places whose pair stands elsewhere in the item too.
+    """
 
     def run(batches):
         known = _Hashes()
@@ -91,13 +98,15 @@ def item_rows(benchmark: DataFrame, gram: int) -> DataFrame:
             ids, rows = b.column("item_id"), [words_of(t) for t in b.column("text").to_pylist()]
             keep = [k for k, w in enumerate(rows) if w]
             rows = [rows[k] for k in keep]
-            sizes = [min(gram, len(w)) for w in rows]
+            paired = [WHOLE < len(w) <= SHORT for w in rows]
+            sizes = [min(2 if two else gram, len(w)) for w, two in zip(rows, paired, strict=True)]
             grams = [np.unique(gram_hashes(word_hashes(w, known), n)).view(np.int64) for w, n in zip(rows, sizes, strict=True)]
             columns = [ids.take(pa.array(keep, pa.int64())), pa.array([" ".join(w) for w in rows], pa.string()), pa.array([len(w) for w in rows], pa.int32()), pa.array(sizes, pa.int32()), pa.array(grams, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["item_id", "words", "n", "size", "grams"])
+            spare = [len(w) - 1 - len(g) if two else None for w, g, two in zip(rows, grams, paired, strict=True)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(spare, pa.int32())], ["item_id", "words", "n", "size", "grams", "spare"])
 
     tests = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).distinct()
-    found = tests.mapInArrow(run, "item_id long, words string, n int, size int, grams array<long>")
+    found = tests.mapInArrow(run, "item_id long, words string, n int, size int, grams array<long>, spare int")
     return cut(found.withColumn("item", F.monotonically_increasing_id()))
 
 
@@ -158,13 +167,17 @@ def passages(rows: DataFrame, held: np.ndarray, bits: int, sizes: list[int], rea
 
 
 def seeds(items: DataFrame, held: DataFrame, common: int, hits: int) -> DataFrame:
-    """(item, h, needed): the n-grams of each item but the `common`-th part that the most passages hold, and how many of them a copy needs."""
+    """(item, h, needed): the n-grams of each item but the `common`-th part that the most passages hold, and how many of them a copy needs.
+
+    Pairs are all kept; a copy needs fewer of them where the item repeats some.
+    """
     often = held.select(F.explode("grams").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("often"))
-    each = items.select("item", F.size("grams").alias("of"), F.explode("grams").alias("h")).join(often, "h", "left")
+    each = items.select("item", "spare", F.size("grams").alias("of"), F.explode("grams").alias("h")).join(often, "h", "left")
     order = Window.partitionBy("item").orderBy(F.coalesce("often", F.lit(0)).desc(), "h")  # an item's own n-grams
-    left = F.col("of") - F.floor(F.col("of") / common)
+    left = F.when(F.col("spare").isNull(), F.col("of") - F.floor(F.col("of") / common)).otherwise(F.col("of"))
     ranked = each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") > F.col("of") - left)
-    return ranked.select("item", "h", F.least(F.lit(hits), left).alias("needed"))
+    needed = F.greatest(F.lit(1), F.lit(hits) - F.coalesce("spare", F.lit(0)))
+    return ranked.select("item", "h", F.least(needed, left).alias("needed"))
 
 
 def aligned(item: list[str], passage: list[str], size: int, chosen: set[int], needed: int, threshold: float, known: dict):
@@ -174,15 +187,15 @@ def aligned(item: list[str], passage: list[str], size: int, chosen: set[int], ne
     number = {w: k for k, w in enumerate(dict.fromkeys(item), 1)}
     mine = np.array([number[w] for w in item], np.int64)
     words = np.fromiter((number.get(w, 0) for w in passage), np.int64, len(passage))
-    best = None
+    best, bar = None, max(threshold * len(mine), min(LEAST, len(mine)) if len(mine) > WHOLE else 0)
     for a, b in _clusters(places, 2 * len(item)) if len(places) else ():
         if len(np.unique(h[places[a:b]])) < needed:
             continue
         low, high = max(0, int(places[a]) - 2 * len(item)), int(places[b - 1]) + 2 * len(item) + size
-        if np.isin(mine, words[low:high]).sum() < threshold * len(mine):  # no alignment has more matches than that
+        if np.isin(mine, words[low:high]).sum() < bar:  # no alignment has more matches than that
             continue
         score, _ = align(mine, words[low:high])
-        if score >= threshold * len(mine) and (best is None or score > best[0]):
+        if score >= bar and (best is None or score > best[0]):
             best = score, low, high
     if not best:
         return None
@@ -196,7 +209,7 @@ def _found(rows: DataFrame, benchmark: DataFrame, gram: int, hits: int, threshol
     kind = rows.schema["key"].dataType.simpleString()
     result = f"rid long, key {kind}, item long, item_id long, score double, start_word long, stop_word long"
     items = item_rows(benchmark, gram)
-    known = items.agg(F.sum(F.size("grams")).alias("grams"), F.max("n").alias("longest"), F.min(F.size("grams")).alias("fewest"), F.collect_set("size").alias("sizes")).first()
+    known = items.agg(F.sum(F.size("grams")).alias("grams"), F.max("n").alias("longest"), F.min(F.greatest(F.lit(1), F.size("grams") - F.coalesce("spare", F.lit(0)))).alias("fewest"), F.collect_set("size").alias("sizes")).first()
     if not known["grams"]:
         return rows.sparkSession.createDataFrame([], result).drop("rid", "item")
     bits = min(MOST_BITS, max(LEAST_BITS, known["grams"].bit_length() + SPARE_BITS))

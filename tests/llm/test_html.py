@@ -124,3 +124,26 @@ LAYOUTS = {
 def test_layouts(name):
     page, want = LAYOUTS[name]
     assert text(page.replace("PP", PROSE)).replace(PROSE, "PP") == want
+
+
+RAWS = {
+    "<article><p>PP</p><script src=/js/>var a = 1;</script><p>PP</p></article>": "PP PP",
+    "<article><p>PP</p><script src='x.js'/>var a = 1;</script ><p>PP</p></article>": "PP PP",
+    "<article><p>PP</p><style/>p {}</style/><p>PP</p></article>": "PP PP",
+    "<article><script src='x.js'/><p>PP</p><script /><p>PP</p></article>": "PP PP",  # written as empty, and no end follows
+    "<article><p>PP</p><script>if (a </scriptx> b) {}</script><p>PP</p></article>": "PP PP",
+    "<article><p>PP</p><script>never ends": "PP",
+}
+
+
+@pytest.mark.parametrize("page", RAWS)
+def test_raw_elements_end_at_their_end_tag(page):
+    assert text(page.replace("PP", PROSE)).replace(PROSE, "PP") == RAWS[page]
+
+
+def test_many_raw_elements_without_an_end_take_linear_time():
+    import time
+
+    began = time.perf_counter()
+    html.parse("<script/>" * 200_000 + "x")
+    assert time.perf_counter() - began < 10

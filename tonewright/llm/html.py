@@ -141,6 +141,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str, bool]]]:
     pieces: list[tuple[int, str, bool]] = []
     now = _Open()
     at, fresh, size = 0, True, len(page)
+    endless: set[str] = set()  # raw elements whose end does not come any more
     while at < size:
         m = _TOKEN.search(page, at)
         stop = m.start() if m else size
@@ -168,9 +169,12 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str, bool]]]:
         elif tag == "br":
             pieces.append((now.blocks[-1][1], " ", False))
         elif tag in RAW:
-            if not attrs.endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\s*>|\Z", re.I).search(page, at)
-                at = end.end()
+            # Nothing but its end tag ends such an element; without one, a tag written as empty is taken for that.
+            end = None if tag in endless else re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
+            if not end:
+                endless.add(tag)
+            if end or not attrs.endswith("/"):
+                at = end.end() if end else size
             fresh = True
         elif tag in VOID:
             fresh = fresh or tag == "hr"

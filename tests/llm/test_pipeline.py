@@ -127,3 +127,19 @@ def test_rows_are_judged_one_by_one(spark, tmp_path):
     assert sorted(map(tuple, left.collect()), key=key) == sorted([(3, "a b c"), (None, "d e f"), (None, f"now {item} so"), (7, item), (7, "clean words here")], key=key)
     left = cp.benchmark_decontamination(spark, left, str(tmp_path))
     assert sorted(map(tuple, left.collect()), key=key) == sorted([(3, "a b c"), (None, "d e f"), (7, "clean words here")], key=key)
+
+
+def test_columns_without_an_order_stay(spark, tmp_path):
+    """Maps, structs and binary columns pass all filtering stages as they are."""
+    item = "every word of this item is in the text"
+    base = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (2, f"so {item} it"), (3, None), (4, "x y z " * 90), (5, "p q r " + "x y z " * 90)], "doc_id long, text string")
+    docs = base.selectExpr("*", "map('k', doc_id) as m", "named_struct('inner', map(1, text)) as s", "cast('b' as binary) as b", "array(map('a', 1)) as name", "cast(length(coalesce(text, '')) as long) as n_chars")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    kept = docs
+    for _, stage in cp.STAGES[:-1]:
+        kept = cut(stage(spark, kept, str(tmp_path)))
+    assert kept.dtypes == docs.select(*kept.columns).dtypes and kept.columns == docs.columns
+    got = {r.doc_id: r for r in kept.collect()}
+    assert sorted(got) == [1, 3, 4, 5] and kept.count() == 4
+    assert all(r.m == {"k": k} and bytes(r.b) == b"b" and r.name == [{"a": 1}] for k, r in got.items()) and got[1].s.inner == {1: "a b c"}

@@ -427,10 +427,15 @@ def alike_groups(docs: DataFrame) -> DataFrame:
 
 
 def distinct_documents(docs: DataFrame) -> DataFrame:
-    """One row of each group of near copies, that of the least doc_id (null ids last), then of the least other columns."""
-    others = [c for c in docs.columns if c != "doc_id"]
-    row = F.struct(F.col("doc_id").isNull(), "doc_id", *(f"`{c}`" for c in others))
-    rows = docs.groupBy(name_of(F.col("text")).alias("name")).agg(F.min(row).alias("row"))  # copies become one row before they meet
-    grouped = rows.join(alike_groups(docs), F.col("name") == F.col("node"), "left").groupBy(F.coalesce("root", "name").alias("root"))
-    least = grouped.agg(F.min("row").alias("row"))
-    return least.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+    """One row of each group of near copies, that of the least doc_id (null ids last), then of the least other columns.
+
+    Columns whose type has no order (maps) are compared by their JSON.
+    """
+    held = lambda f: "map<" in f.dataType.simpleString() or f.dataType.simpleString() in ("variant", "interval")
+    others = [F.to_json(F.struct(F.col(f"`{f.name}`").alias("c"))) if held(f) else F.col(f"`{f.name}`") for f in docs.schema if f.name != "doc_id"]
+    row = lambda: F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    # Copies become one row before they meet.
+    named = docs.select(name_of(F.col("text")).alias("name"), row().alias("row"), F.struct(F.col("doc_id").isNull(), "doc_id", *others).alias("rank"))
+    least = lambda df, by: df.groupBy(by).agg(F.min_by(F.struct("row", "rank"), "rank").alias("first")).select(by, "first.*")
+    grouped = least(named, "name").join(alike_groups(docs), F.col("name") == F.col("node"), "left").withColumn("root", F.coalesce("root", "name"))
+    return least(grouped.select("root", "row", "rank"), "root").select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))

@@ -429,13 +429,21 @@ def alike_groups(docs: DataFrame) -> DataFrame:
 def distinct_documents(docs: DataFrame) -> DataFrame:
     """One row of each group of near copies, that of the least doc_id (null ids last), then of the least other columns.
 
-    Columns whose type has no order (maps) are compared by their JSON.
+    Columns whose type has no order (maps) are compared by their JSON, which then travels beside the row.
     """
-    held = lambda f: "map<" in f.dataType.simpleString() or f.dataType.simpleString() in ("variant", "interval")
-    others = [F.to_json(F.struct(F.col(f"`{f.name}`").alias("c"))) if held(f) else F.col(f"`{f.name}`") for f in docs.schema if f.name != "doc_id"]
-    row = lambda: F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    loose = [f for f in docs.schema if "map<" in (kind := f.dataType.simpleString()) or kind in ("variant", "interval")]
+    key = (F.col("doc_id").isNull().alias("none"), F.col("doc_id"))
+    row = lambda names: F.struct(*(F.col(f"`{c}`") for c in names))
+    tight = [f.name for f in docs.schema if f.name != "doc_id" and f not in loose]
+    held = row(f.name for f in loose) if loose else F.lit(None).cast("struct<>")
+    rank = F.struct(*key, row(tight).alias("row"), *([F.to_json(held).alias("json")] if loose else []))
+    named = docs.select(name_of(F.col("text")).alias("name"), rank.alias("rank"), held.alias("held"))
+
+    def least(rows: DataFrame, by: str) -> DataFrame:
+        return rows.groupBy(by).agg(F.min("rank").alias("rank"), *([F.min_by("held", "rank").alias("held")] if loose else []))
+
     # Copies become one row before they meet.
-    named = docs.select(name_of(F.col("text")).alias("name"), row().alias("row"), F.struct(F.col("doc_id").isNull(), "doc_id", *others).alias("rank"))
-    least = lambda df, by: df.groupBy(by).agg(F.min_by(F.struct("row", "rank"), "rank").alias("first")).select(by, "first.*")
     grouped = least(named, "name").join(alike_groups(docs), F.col("name") == F.col("node"), "left").withColumn("root", F.coalesce("root", "name"))
-    return least(grouped.select("root", "row", "rank"), "root").select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+    kept = least(grouped, "root")
+    where = {c: f"held.`{c}`" for c in (f.name for f in loose)} | {c: f"rank.row.`{c}`" for c in tight} | {"doc_id": "rank.doc_id"}
+    return kept.select(*(F.col(where[c]).alias(c) for c in docs.columns))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ranks import ranked
 
-#: Copies of a row that are made at a time.
-RUN = 10_000
+#: Copies of a row that are made at a time, which are also the rows of a bucket to draw from, and buckets at most.
+RUN, BUCKETS = 10_000, 16_384
 
 
 def ordered_split(files: DataFrame, share: dict[str, float], order: str, by: str = "genre") -> DataFrame:
@@ -56,13 +57,44 @@ def cap(rows: DataFrame, k: int, order: str, by: str) -> DataFrame:
     return rows.withColumn("_rn", F.row_number().over(Window.partitionBy(by).orderBy(order))).where(F.col("_rn") <= k).drop("_rn")
 
 
-def resampled(rows: DataFrame, fractions: dict[int, float], label: str = "y", seed: int = 7) -> DataFrame:
-    """Draw each class with replacement at its own rate (rates above 1 repeat rows)."""
-    parts = [rows.where(F.col(label) == k).sample(True, float(f), seed + k) for k, f in sorted(fractions.items())]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def drawn(rows: DataFrame, targets: dict[int, int], key: tuple[str, ...], label: str = "y", seed: int = 7) -> DataFrame:
+    """`rows` drawn with replacement, exactly `targets[k]` of each class k; `copy` numbers a row's draws from 0.
+
+    The rows of a class lie in buckets by a hash of their key.  The driver, which knows only the buckets' sizes (`BUCKETS` at most), gives
+    each its share of the draws by one multinomial draw; every draw then takes a place within its bucket.  So draws are as independent
+    and uniform as one by one, no class passes through one task, and partitions don't matter.  Rows of equal keys are told apart by
+    their other columns; a class without rows stays so; classes without a target are left out.
+    """
+    wanted = {k: n for k, n in targets.items() if n > 0}
+    sizes = {r[label]: r["n"] for r in rows.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect() if r[label] in wanted}  # a row a class
+    if not sizes:
+        return rows.where("false").withColumn("copy", F.lit(0).cast("long"))
+    of = F.lit(1)
+    for k, n in sizes.items():
+        of = F.when(F.col(label) == k, max(1, min(BUCKETS // len(sizes), n // RUN))).otherwise(of)
+    there = rows.where(F.col(label).isin(list(sizes))).withColumn("_bucket", F.pmod(F.xxhash64(F.lit(seed), *key), of).cast("int"))
+    counts = there.groupBy(label, "_bucket").agg(F.count(F.lit(1)).alias("n")).orderBy(label, "_bucket").collect()
+    times = []
+    for k in sizes:
+        mine = [(r["_bucket"], r["n"]) for r in counts if r[label] == k]
+        shares = np.random.default_rng([seed, k]).multinomial(wanted[k], np.array([n for _, n in mine]) / sizes[k])
+        times += [(k, b, n, int(t)) for (b, n), t in zip(mine, shares, strict=True) if t]
+    spread = rows.sparkSession.createDataFrame(times, f"_class {rows.schema[label].dataType.simpleString()}, _bucket int, _size long, _times long")
+    runs = spread.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_times") - 1, F.lit(RUN).cast("long"))).alias("_from"))
+    each = runs.select("_class", "_bucket", "_size", F.explode(F.sequence("_from", F.least("_times", F.col("_from") + RUN) - 1)).alias("_draw"))
+    place = F.pmod(F.xxhash64(F.lit(seed), "_class", "_bucket", "_draw"), F.col("_size")) + 1
+    hits = each.select("_class", "_bucket", place.alias("_place")).groupBy("_class", "_bucket", "_place").agg(F.count(F.lit(1)).alias("_hits"))
+    order = Window.partitionBy(label, "_bucket").orderBy(F.xxhash64(F.lit(seed + 1), *key), *(F.col(f"`{c}`") for c in rows.columns))
+    numbered = there.withColumn("_place", F.row_number().over(order).cast("long")).withColumnRenamed("_bucket", "_mine")
+    met = numbered.join(hits.withColumnRenamed("_place", "_at"), (F.col(label) == F.col("_class")) & (F.col("_mine") == F.col("_bucket")) & (F.col("_place") == F.col("_at")))
+    some = met.select(*rows.columns, "_hits", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_hits") - 1, F.lit(RUN).cast("long"))).alias("_from"))
+    return some.select(*rows.columns, F.explode(F.sequence("_from", F.least("_hits", F.col("_from") + RUN) - 1)).alias("copy"))
+
+
+def resampled(rows: DataFrame, fractions: dict[int, float], key: tuple[str, ...] = ("doc_id",), label: str = "y", seed: int = 7) -> DataFrame:
+    """Each class drawn with replacement to its own multiple of its rows, rounded down (above 1 repeats rows)."""
+    n = {r[label]: r["n"] for r in rows.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a class
+    return drawn(rows, {k: int(n[k] * f) for k, f in fractions.items() if n.get(k)}, key, label, seed).drop("copy")
 
 
 def default_targets(counts: DataFrame, label: str = "y") -> DataFrame:
@@ -75,11 +107,11 @@ def default_targets(counts: DataFrame, label: str = "y") -> DataFrame:
     return sums.select(F.explode(F.concat(three, two)).alias("t")).select("t.*")
 
 
-def resampled_by_default(rows: DataFrame, classes: int = 3, label: str = "y", seed: int = 7) -> DataFrame:
-    """Draw each class with replacement to its default target; a class without rows stays so."""
+def resampled_by_default(rows: DataFrame, classes: int = 3, key: tuple[str, ...] = ("doc_id",), label: str = "y", seed: int = 7) -> DataFrame:
+    """Each class drawn with replacement to its default target exactly; a class without rows stays so."""
     n = {r[label]: r["n"] for r in rows.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect() if r[label] is not None}  # a row a class
     target = n.get(1, 0) if classes == 3 else (n.get(0, 0) + n.get(1, 0)) // 2
-    return resampled(rows, {k: target / n[k] for k in range(classes) if n.get(k)} or {0: 0.0}, label, seed)
+    return drawn(rows, dict.fromkeys(range(classes), target), key, label, seed).drop("copy")
 
 
 def bucket(key: Column, of: int) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import POLARITIES, cut_class, decode
-from ..operators import evaluate, learners, sampling
+from ..operators import evaluate, ridge, sampling
 from .models import features
 from .registry import query
 from .scans import GOLD, gold, metrics_sql
@@ -52,7 +52,7 @@ def regression_driver(t):
     judged = parts(t).where("wanted = 'df' and y is not null")
     train = sampling.upsample_cyclic(judged.where("part = 'train'").select("doc_id", "y"), "doc_id").select("doc_id", F.col("y").cast("double").alias("y")).join(rows, "doc_id")
     test = judged.where("part = 'test'").select("doc_id", "y").join(rows, "doc_id")
-    found = learners.ridge(train).transform(test.withColumnRenamed("y", "gold")).select("doc_id", "gold", cut_class(F.col("prediction"), (0.7, 1.7)).alias("p"))
+    found = ridge.ridge(train).transform(test.withColumnRenamed("y", "gold")).select("doc_id", "gold", cut_class(F.col("prediction"), (0.7, 1.7)).alias("p"))
     return evaluate.one_against_rest(found, "gold", "p", {"none": 0, "pos": 2, "neg": 1})
 
 

@@ -127,7 +127,7 @@ def test_recall_of_edited_copies(spark):
 
 
 def test_edited_copies_of_short_items(spark):
-    """Items of 4 to 60 words, 10 to 40 % of the words edited: where a copy reaches the score it is found, up to 16 words always."""
+    """Items of 4 to 60 words, 10 to 40 % of the words edited: where a copy reaches the score it is found, that of a short item always."""
     rng = random.Random(12)
     vocabulary = [f"w{k}" for k in range(400)]
     items = [(k, rng.choices(vocabulary[:40] if k % 3 == 0 else vocabulary, k=4 + k % 57)) for k in range(114)]
@@ -140,8 +140,8 @@ def test_edited_copies_of_short_items(spark):
             true[d, i] = len(words)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")).collect()}
-    assert {k for k, n in true.items() if n <= 16} <= got
-    long = [k for k, n in true.items() if n > 16]
+    assert {k for k, n in true.items() if n <= decontam.SHORT} <= got
+    long = [k for k, n in true.items() if n > decontam.SHORT]
     assert sum(k in got for k in long) >= 0.97 * len(long) and len(long) > 300 and len(true) - len(long) > 300
     text = dict(rows)
     assert all(brute_score(items[i][1], text[d].split()) >= max(3, 0.5 * len(items[i][1])) for d, i in got)

@@ -39,7 +39,7 @@ from .substring import BASE, _Hashes, rolled, word_hashes
 
 GRAM, HITS, THRESHOLD = 3, 2, 0.5
 #: Words of items that are seeds as a whole, most words of items with pairs for seeds, and the least score of a copy of all but the first.
-WHOLE, SHORT, LEAST = 3, 16, 3
+WHOLE, SHORT, LEAST = 3, 12, 3
 #: One n-gram in so many of an item is no seed: those that the most passages hold.
 COMMON = 8
 #: Bits of the bitmap, as a power of two: for each n-gram `SPARE` more at least, up to 16 MB; and of a part of it.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,16 +11,21 @@ from pyspark.sql import functions as F
 STOPWORDS = ("the", "of", "and", "to", "in", "is", "that", "it", "for", "was", "on", "are", "as", "with", "be", "by", "this", "de", "la", "que", "el", "les", "et", "der", "die", "und")
 
 
-def terms(rows: DataFrame, key: str, text: Column, stop: tuple[str, ...] = STOPWORDS, pairs: bool = True) -> DataFrame:
-    """(key, term): distinct lower-case words of two characters or more and, after stop words, their neighbours' pairs."""
+def term_arrays(rows: DataFrame, key: str, text: Column, stop: tuple[str, ...] = STOPWORDS, pairs: bool = True) -> DataFrame:
+    """(key, terms): distinct lower-case words of two characters or more and, after stop words, their neighbours' pairs."""
     # Stop words go by one pass of a pattern over the text: a lambda over every word is several times as slow.
     shown = F.regexp_replace(F.lower("_text"), f"(?<![a-z0-9_])(?:{'|'.join(stop)})(?![a-z0-9_])", " ") if stop else F.lower("_text")
     words = F.regexp_extract_all(shown, F.lit("[a-z0-9_]{2,}"), F.lit(0))
     t = rows.select(key, text.alias("_text")).repartition(F.col(key)).select(key, words.alias("w"))
     if not pairs:
-        return t.select(key, F.explode(F.array_distinct("w")).alias("term"))
+        return t.select(key, F.array_distinct("w").alias("terms"))
     two = F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    return t.select(key, F.explode(F.array_distinct(F.concat("w", two))).alias("term"))
+    return t.select(key, F.array_distinct(F.concat("w", two)).alias("terms"))
+
+
+def terms(rows: DataFrame, key: str, text: Column, stop: tuple[str, ...] = STOPWORDS, pairs: bool = True) -> DataFrame:
+    """(key, term): a row for each of `term_arrays`."""
+    return term_arrays(rows, key, text, stop, pairs).select(key, F.explode("terms").alias("term"))
 
 
 def top_terms(found: DataFrame, k: int) -> DataFrame:
@@ -27,11 +34,15 @@ def top_terms(found: DataFrame, k: int) -> DataFrame:
 
 
 def tfidf(rows: DataFrame, key: str, text: Column, k: int = 300) -> DataFrame:
-    """(key, term, weight): binary term frequency, idf ln((1 + n) / (1 + df)) + 1, each row of length one."""
-    found = terms(rows, key, text)
-    n = rows.agg(F.count(F.lit(1)).alias("n"))
-    weighed = top_terms(found, k).crossJoin(F.broadcast(n)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))  # n is one row
-    held = found.join(F.broadcast(weighed), "term")  # k rows
+    """(key, term, weight): binary term frequency, idf ln((1 + n) / (1 + df)) + 1, each row of length one.
+
+    The k terms are known before the second pass, which makes rows of nothing else.
+    """
+    top = top_terms(terms(rows, key, text), k).collect()
+    n = rows.count()
+    table = rows.sparkSession.createDataFrame([(r["term"], math.log((1 + n) / (1 + r["df"])) + 1) for r in top], "term string, idf double")
+    chosen = F.array_intersect("terms", F.array(*(F.lit(r["term"]) for r in top)).cast("array<string>"))
+    held = term_arrays(rows, key, text).select(key, F.explode(chosen).alias("term")).join(F.broadcast(table), "term")  # k rows
     norm = F.sqrt(F.sum(F.col("idf") * F.col("idf")).over(Window.partitionBy(key)))
     return held.select(key, "term", F.round(F.col("idf") / norm, 6).alias("weight"))
 
@@ -62,3 +73,9 @@ def signed_sums(polarities: Column) -> tuple[Column, Column]:
     zero = F.lit(0.0)
     add = lambda keep: F.aggregate(polarities, zero, lambda s, x: s + keep(x, zero))
     return add(F.greatest), add(F.least)
+
+
+def kinds_union(entity: DataFrame, relation: DataFrame, event: DataFrame) -> DataFrame:
+    """The samples of the three kinds under each other, by name, with `kind_rank` for their order."""
+    ranked = [df.withColumn("kind_rank", F.lit(k)) for k, df in enumerate((entity, relation, event))]
+    return ranked[0].unionByName(ranked[1], allowMissingColumns=True).unionByName(ranked[2], allowMissingColumns=True)

@@ -65,7 +65,7 @@ def scored(rows: DataFrame, known: DataFrame, key: tuple[str, ...], text: str =
     each = cut.select(*key, "_s", F.posexplode("_words").alias("_at", "word"))
     found = each.join(F.broadcast(known.select("word", "polarity")), "word", "left")
     # The words of a sentence come back together: sentences are bounded where texts are not.
-    back = found.groupBy(*key, "_s").agg(F.array_sort(F.collect_list(F.struct("_at", "word", "polarity"))).alias("w"))
+    back = found.groupBy(*key, "_s").agg(F.sort_array(F.collect_list(F.struct("_at", "word", "polarity"))).alias("w"))
     held = back.select(*key, F.transform("w", lambda x: x["word"]).alias("_words"), F.transform("w", lambda x: F.coalesce(x["polarity"], F.lit(0.0))).alias("_held"), F.size(F.filter("w", lambda x: x["polarity"].isNotNull())).alias("_known"))
     add = lambda keep: F.aggregate(scoped(F.col("_words"), F.col("_held")), F.lit(0.0), lambda s, x: s + keep(x, F.lit(0.0)))
     sums = held.select(*key, add(F.greatest).alias("_p"), add(F.least).alias("_n"), "_known").groupBy(*key).agg(F.sum("_p").alias("_p"), F.sum("_n").alias("_n"), F.sum("_known").alias("_k"))

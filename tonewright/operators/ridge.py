@@ -127,7 +127,7 @@ def left_out(rows: DataFrame, fit: Solved, alphas: tuple[float, ...], x: str = "
 
     found = _cells(rows, x, y, weight).mapInArrow(run, "k int, s double").groupBy("k").agg(F.sum("s").alias("s"))
     sums = {r["k"]: r["s"] for r in found.collect()}
-    return [sums.get(k, 0.0) / fit.total for k in range(len(alphas))]
+    return [float(sums.get(k, 0.0) / fit.total) for k in range(len(alphas))]
 
 
 def ridge(rows: DataFrame, alphas: tuple[float, ...] = ALPHAS, x: str = "x", y: str = "y", weight: str | None = None) -> Ridge:

@@ -42,7 +42,7 @@ def result_documents(rows: DataFrame, task: str, by: str = "file") -> DataFrame:
     source = F.when((F.col("label") != "none") | F.lit(task == "belief"), source_struct())
     label = F.struct(F.lit("pos").alias("_polarity"), F.lit("no").alias("_sarcasm"), F.col("label").alias("_type"), source.alias("source")) if task == "belief" else F.struct(F.col("label").alias("_polarity"), F.lit("no").alias("_sarcasm"), source.alias("source"))
     target = F.struct(F.col("off").alias("_offset"), F.col("target_id").alias("_ere_id"), F.col("len").alias("_length"), "text", label.alias(task))
-    pick = lambda kind: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, target)))
+    pick = lambda kind: F.sort_array(F.collect_list(F.when(F.col("kind") == kind, target)))
     return rows.groupBy(by).agg(F.struct(pick("entity").alias("entity"), pick("relation").alias("relation"), pick("event").alias("event")).alias("doc"))
 
 
@@ -53,7 +53,7 @@ def as_xml(docs: DataFrame, by: str = "file") -> DataFrame:
 
 def nested_args(events: DataFrame, args: DataFrame, key: str = "event_mention_id") -> DataFrame:
     """Events with their arguments as an array; arguments take on the event's belief and source."""
-    held = args.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("arg_off", "arg_id", "arg_text"))).alias("args"))
+    held = args.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("arg_off", "arg_id", "arg_text"))).alias("args"))
     out = events.join(held, key, "left")
     inherit = lambda a: F.struct(a["arg_id"].alias("_ere_id"), a["arg_off"].alias("_offset"), a["arg_text"].alias("text"), F.col("label").alias("belief"), F.col("source_id").alias("source"))
     return out.withColumn("args", F.coalesce(F.transform("args", inherit), F.array()))
@@ -80,11 +80,11 @@ def annotations(rows: DataFrame, task: str, by: str = "file", args: DataFrame |
     if task == "belief":
         del kinds["entities"]
     if args is not None:
-        held = args.groupBy(F.col(by).alias("_file"), F.col("event_id").alias("_event")).agg(F.array_sort(F.collect_list(F.struct("off", "arg_id", "len", "text"))).alias("_args"))
+        held = args.groupBy(F.col(by).alias("_file"), F.col("event_id").alias("_event")).agg(F.sort_array(F.collect_list(F.struct("off", "arg_id", "len", "text"))).alias("_args"))
         rows = rows.join(held, F.col(by).eqNullSafe(F.col("_file")) & (F.col("target_id") == F.col("_event")) & (F.col("kind") == "event"), "left")
         each = F.transform("_args", lambda a: F.struct(a["arg_id"].alias("_ere_id"), a["off"].alias("_offset"), a["len"].alias("_length"), a["text"].alias("text"), mark))
         kinds["events"][1].append(F.when(F.size("_args") > 0, F.struct(each.alias("arg"))).alias("arguments"))
-    pick = lambda kind, body: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("off", "target_id", F.struct(F.col("target_id").alias("_ere_id"), *body).alias("it"))))), lambda x: x["it"])
+    pick = lambda kind, body: F.transform(F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.struct("off", "target_id", F.struct(F.col("target_id").alias("_ere_id"), *body).alias("it"))))), lambda x: x["it"])
     found = rows.groupBy(by).agg(*(pick(*of).alias(name) for name, of in kinds.items()))
     return found.select(by, F.struct(*(F.when(F.size(name) > 0, F.struct(F.col(name).alias(of[0]))).alias(name) for name, of in kinds.items())).alias(f"{task}_annotations"))
 

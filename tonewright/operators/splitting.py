@@ -134,5 +134,5 @@ def split(docs: DataFrame, known: Known, key: str = "doc_id", text: str = "text"
     ends = F.col("piece").contains("\n") | F.col("word").rlike(r"[!?]\z") | stop
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     numbered = each.withColumn("_end", ends.cast("int")).withColumn("_n", F.coalesce(F.sum("_end").over(before), F.lit(0)).cast("int"))
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "piece"))), lambda x: x["piece"]), "")
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "piece"))), lambda x: x["piece"]), "")
     return numbered.groupBy(key, F.col("_n").alias("pos")).agg(F.min("off").alias("off"), whole.alias("sent")).select(key, "pos", "off", "sent")

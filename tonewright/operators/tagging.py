@@ -7,6 +7,7 @@ backed off to ever shorter ones.
 
 Words without a tag count nothing, and neither do pairs with one; null words are empty words; an empty sentence has no tags; of equally
 probable tags the first by name is taken from the end backwards; without any counts there are no tags.
+Words are told apart by whether they begin with a capital, and not by any other case.
 """
 
 from __future__ import annotations
@@ -31,15 +32,25 @@ def transitions(rows: DataFrame, tags: str = "tags") -> DataFrame:
     return rows.select(F.explode(pair).alias("p")).select("p.*").where("before is not null and tag is not null").groupBy("before", "tag").agg(F.count(F.lit(1)).alias("n"))
 
 
+def spelled(word: Column) -> Column:
+    """A word as it is counted: in lower case but for a capital at its start."""
+    return F.when(word.rlike("^[A-Z]"), F.concat(F.substring(word, 1, 1), F.lower(F.substring(word, 2, 1 << 30)))).otherwise(F.lower(word))
+
+
 def emissions(rows: DataFrame, words: str = "words", tags: str = "tags") -> DataFrame:
-    """(word, tag, n): words in lower case with their tags."""
-    both = F.zip_with(words, tags, lambda w, t: F.struct(F.lower(F.coalesce(w, F.lit(""))).alias("word"), t.alias("tag")))
+    """(word, tag, n): words as they are spelled with their tags."""
+    both = F.zip_with(words, tags, lambda w, t: F.struct(spelled(F.coalesce(w, F.lit(""))).alias("word"), t.alias("tag")))
     return rows.select(F.explode(both).alias("p")).select("p.*").where("tag is not null").groupBy("word", "tag").agg(F.count(F.lit(1)).alias("n"))
 
 
 def endings(words: DataFrame, most: int = ENDING) -> DataFrame:
-    """(ending, tag, n) from `emissions`: the last 0 to `most` letters, each word counted once a tag, since new words are rare words."""
-    each = words.select("tag", F.explode(F.transform(F.sequence(F.lit(0), F.least(F.length("word"), F.lit(most))), lambda k: F.substring(F.col("word"), F.length("word") - k + 1, k))).alias("ending"))
+    """(ending, tag, n) from `emissions`: the last 0 to `most` letters and whether a capital begins the word (A or a).
+
+    Each word counts once a tag, since new words are rare words.
+    """
+    low, capital = F.lower("word"), F.when(F.col("word").rlike("^[A-Z]"), "A").otherwise("a")
+    cut = lambda k: F.concat(F.substring(low, F.length("word") - k + 1, k), capital)
+    each = words.select("tag", F.explode(F.transform(F.sequence(F.lit(0), F.least(F.length("word"), F.lit(most))), cut)).alias("ending"))
     return each.groupBy("ending", "tag").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -61,11 +72,12 @@ class Model:
 
     def given(self, word: str) -> np.ndarray:
         """The logarithm of a word's probability given each tag, up to a factor that is the same for all of them."""
-        low = word.lower()
-        if low in self.words:
-            return self.words[low]
-        at = next((low[len(low) - k :] for k in range(min(ENDING, len(low)), 0, -1) if low[len(low) - k :] in self.endings), "")
-        return self.endings[at] - self.share
+        low, capital = word.lower(), "A" <= word[:1] <= "Z"
+        key = word[0] + word[1:].lower() if capital else low
+        if key in self.words:
+            return self.words[key]
+        ends = (low[len(low) - k :] + "aA"[capital] for k in range(min(ENDING, len(low)), -1, -1))
+        return self.endings[next((e for e in ends if e in self.endings), "")] - self.share
 
     def tagged(self, words: list[str]) -> list[str]:
         """The most probable tags of a sentence."""

@@ -18,7 +18,7 @@ def thread_texts(conversations: DataFrame) -> DataFrame:
     quote = F.when(before.isNotNull(), F.concat(F.lit('<quote orig_author="'), who, F.lit('">'), before, F.lit("</quote>"))).otherwise("")
     post = F.concat(F.lit('<post author="'), "role", F.lit('">'), quote, "body", F.lit("</post>"))
     posts = rows.withColumn("post", post)
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "post"))), lambda x: x["post"]), "")
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "post"))), lambda x: x["post"]), "")
     return posts.groupBy(F.col("conv_id").alias("doc_id")).agg(joined.alias("text"))
 
 
@@ -49,5 +49,27 @@ def enclosing_blocks(parts: DataFrame) -> DataFrame:
 def own_text(parts: DataFrame) -> DataFrame:
     """(doc_id, block_off, own, segments): a block's text without the blocks inside it."""
     held = enclosing_blocks(parts).groupBy("doc_id", "block_off")
-    ordered = F.array_sort(F.collect_list(F.struct("off", "piece")))
+    ordered = F.sort_array(F.collect_list(F.struct("off", "piece")))
     return held.agg(F.array_join(F.transform(ordered, lambda x: x["piece"]), "").alias("own"), F.count(F.lit(1)).alias("segments"))
+
+
+def block_segments(parts: DataFrame) -> DataFrame:
+    """(doc_id, block_off, own, start, end, offsets) of every block of every file: its own text, and the places of its segments as `a:b` pairs, ends included."""
+    held = enclosing_blocks(parts).groupBy("doc_id", "block_off")
+    ordered = F.sort_array(F.collect_list(F.struct("off", "piece")))
+    out = held.agg(ordered.alias("s"))
+    end = lambda x: x["off"] + F.length(x["piece"])
+    own = F.array_join(F.transform("s", lambda x: x["piece"]), "")
+    pairs = F.array_join(F.transform("s", lambda x: F.concat_ws(":", x["off"], end(x))), " ")
+    return out.select("doc_id", "block_off", own.alias("own"), F.col("s")[0]["off"].alias("start"), end(F.element_at("s", -1)).alias("end"), pairs.alias("offsets"))
+
+
+def labelled_blocks(parts: DataFrame, annotations: DataFrame) -> DataFrame:
+    """(own, label): the set of blocks' own texts with the labels of the annotations (doc_id, at, label) that point into them.
+
+    A place on the border of two segments counts for the earlier one; annotations that point nowhere have no row.
+    """
+    inner = enclosing_blocks(parts).select("doc_id", "block_off", "off", (F.col("off") + F.length("piece")).alias("to"))
+    met = annotations.withColumnRenamed("doc_id", "_doc").join(inner, (F.col("_doc") == F.col("doc_id")) & F.col("at").between(F.col("off"), F.col("to")))
+    first = met.groupBy("doc_id", "at", "label").agg(F.min_by("block_off", "off").alias("block_off"))
+    return first.join(own_text(parts), ["doc_id", "block_off"]).select("own", "label").distinct()

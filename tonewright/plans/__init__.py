@@ -1,6 +1,6 @@
 """Registered queries and their SQL twins."""
 
-from . import drivers, extraction, features, language, markup, mentions, models, outputs, predict, sampling, scans, text  # noqa: F401
+from . import datasets, drivers, extraction, features, language, markup, mentions, models, outputs, predict, sampling, scans, text  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 

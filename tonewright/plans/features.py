@@ -133,7 +133,7 @@ def matrix_ids(t: Tables) -> DataFrame:
     cells = turns(t).select("conv_id", "turn", F.posexplode(padded(F.col("ws"), WIDTH, F.lit("<pad>"))).alias("row", "word"))
     known = vocabulary(t).join(t.embeddings, F.col("vec_id") == F.col("rank") - 1).select("word", "rank")
     found = cells.join(F.broadcast(known), "word", "left").select("conv_id", "turn", "row", F.when(F.col("word") == "<pad>", 0).otherwise(F.coalesce(F.col("rank") + 1, F.lit(1))).alias("id"))
-    return found.groupBy("conv_id", "turn").agg(F.transform(F.array_sort(F.collect_list(F.struct("row", "id"))), lambda c: c["id"]).alias("ids"))
+    return found.groupBy("conv_id", "turn").agg(F.transform(F.sort_array(F.collect_list(F.struct("row", "id"))), lambda c: c["id"]).alias("ids"))
 
 
 def sequence_ids(t: Tables) -> DataFrame:
@@ -145,7 +145,7 @@ def sequence_ids(t: Tables) -> DataFrame:
 def known_words(t: Tables) -> DataFrame:
     """(conv_id, turn, ids): the ranks of a turn's known words in their order, the last 1000 of them; turns without any have no row."""
     words = turns(t).select("conv_id", "turn", F.posexplode("ws").alias("pos", "word")).join(F.broadcast(vocabulary(t)), "word")  # 20,000 words at most
-    all_ids = words.groupBy("conv_id", "turn").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "rank"))), lambda x: x["rank"]).alias("ids"))
+    all_ids = words.groupBy("conv_id", "turn").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "rank"))), lambda x: x["rank"]).alias("ids"))
     return all_ids.select("conv_id", "turn", F.expr(f"slice(ids, greatest(size(ids) - {LENGTH - 1}, 1), {LENGTH})").alias("ids"))
 
 
@@ -206,7 +206,7 @@ def vector_avg3(t):
 
 @query(f"WITH {MATRIX} SELECT conv_id, turn, row * 64 + i AS cell, round(vec[i + 1], 6) AS v FROM matrix, range(64) r(i)")
 def flatten_matrix(t):
-    rows = matrix(t).groupBy("conv_id", "turn").agg(F.array_sort(F.collect_list(F.struct("row", "vec"))).alias("m"))
+    rows = matrix(t).groupBy("conv_id", "turn").agg(F.sort_array(F.collect_list(F.struct("row", "vec"))).alias("m"))
     flat = F.flatten(F.transform("m", lambda x: x["vec"]))
     return rows.select("conv_id", "turn", F.posexplode(flat).alias("cell", "v")).select("conv_id", "turn", F.col("cell").cast("long").alias("cell"), F.round("v", 6).alias("v"))
 
@@ -216,9 +216,10 @@ def vocab_embedding(t):
     return vocabulary(t).join(vectors(t), "word", "left").select(F.col("rank").cast("long").alias("id"), "word", F.round(F.coalesce(F.col("vec")[0], F.lit(0.0)), 6).alias("first"))
 
 
-@query(f"WITH {EN}, {VOCAB}, w AS (SELECT conv_id, turn, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM en) SELECT conv_id, turn, count(*) AS words, string_agg(rank::VARCHAR, ' ' ORDER BY pos) AS ids FROM w JOIN vocab USING (word) WHERE pos <= 1000 AND rank <= 20000 GROUP BY conv_id, turn")
+@query(f"""WITH {EN}, {VOCAB}, w AS (SELECT conv_id, turn, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM en), k AS (SELECT conv_id, turn, pos, rank FROM w JOIN vocab USING (word) WHERE rank <= 20000 QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY pos DESC) <= 1000)
+SELECT conv_id, turn, count(*) AS words, string_agg(rank::VARCHAR, ' ' ORDER BY pos) AS ids FROM k GROUP BY conv_id, turn""")
 def word_index_sequences(t):
-    # Its twin cuts before it drops unknown words, which differs for turns of over 1000 words.
+    """The last 1000 known words of a turn by their ranks."""
     seq = F.array_join(F.transform("ids", lambda x: x.cast("string")), " ")
     return known_words(t).select("conv_id", "turn", F.size("ids").cast("long").alias("words"), seq.alias("ids"))
 
@@ -253,3 +254,18 @@ def word_polarity_label(t):
     return u.select("word", F.when(p >= 0.5, 2).when(p <= -0.5, 1).otherwise(0).alias("label"))
 
 
+@query(f"""WITH {MATRIX}, {SUMS}, {PAIR_SUMS}, entity AS (SELECT conv_id, turn, row, vec[1] AS a, vec[64] AS z FROM matrix UNION ALL SELECT conv_id, turn, 56, p, 0.1 FROM s),
+relation AS (SELECT conv_id, turn, row, (x[1] + y[1] + 0.01) / 3, (x[64] + y[64] + 0.01) / 3 FROM pairs), first AS (SELECT conv_id, min(turn) AS turn FROM conversations GROUP BY conv_id),
+event AS (SELECT conv_id, f.turn, r::BIGINT, CASE WHEN f.turn % 2 = 0 THEN m.vec[1] ELSE 0.01 END, CASE WHEN f.turn % 2 = 0 THEN m.vec[64] ELSE 0.01 END FROM first f CROSS JOIN range(56) k(r) LEFT JOIN matrix m USING (conv_id) WHERE m.turn = f.turn AND m.row = r)
+SELECT k AS kind_rank, conv_id, turn, row::INT AS row, round(a, 6) AS a, round(z, 6) AS z FROM (SELECT 0 AS k, * FROM entity UNION ALL SELECT 1, * FROM relation UNION ALL SELECT 2, * FROM event)""")
+def matrix_features(t):
+    """The matrices of all three kinds of samples under each other: entities (with their sums), relations, and events, constant where there is no trigger."""
+    rows = matrix(t)
+    p, n = features.signed_sums(F.transform("ws", lexicon))
+    entity = rows.unionByName(turns(t).select("conv_id", "turn", F.lit(WIDTH).alias("row"), padded(F.array(p, n), 64, F.lit(0.1)).alias("vec")))
+    after = rows.select("conv_id", (F.col("turn") - 1).alias("turn"), "row", F.col("vec").alias("next"))
+    relation = rows.join(after, ["conv_id", "turn", "row"]).select("conv_id", "turn", "row", features.mean3(F.col("vec"), F.col("next"), F.array_repeat(F.lit(0.01), 64)).alias("vec"))
+    first = t.conversations.groupBy("conv_id").agg(F.min("turn").alias("turn"))  # a conversation's first turn is its event; even ones have a trigger
+    event = rows.join(first, ["conv_id", "turn"]).select("conv_id", "turn", "row", F.when(F.col("turn") % 2 == 0, F.col("vec")).otherwise(F.array_repeat(F.lit(0.01), 64)).alias("vec"))
+    every = features.kinds_union(entity, relation, event)
+    return every.select("kind_rank", "conv_id", "turn", "row", F.round(F.col("vec")[0], 6).alias("a"), F.round(F.col("vec")[63], 6).alias("z"))

@@ -72,9 +72,10 @@ def trained_sentences(t):
 # Tags.
 
 
-def turn_words(t: Tables) -> DataFrame:
-    """(conv_id, turn, words, tags): the words of each turn with their seed tags."""
-    w = t.conversations.select("conv_id", "turn", F.regexp_extract_all("text", F.lit("[A-Za-z]+|[0-9]+"), F.lit(0)).alias("words"))
+def sentence_words(t: Tables) -> DataFrame:
+    """(conv_id, turn, s, words, tags): the words of each sentence of a turn with their seed tags."""
+    cut = t.conversations.select("conv_id", "turn", F.posexplode(F.split("text", r"[.!?\n]+")).alias("s", "said"))
+    w = cut.select("conv_id", "turn", "s", F.regexp_extract_all("said", F.lit("[A-Za-z]+|[0-9]+"), F.lit(0)).alias("words"))
     return w.select("*", tagging.seeded(F.col("words")).alias("tags"))
 
 
@@ -85,30 +86,34 @@ def _seed_sql() -> str:
 {ends("[a-z]{2}ing", "VBG")} {ends("[a-z]{2}ed", "VBD")} {ends("[a-z]{2}ly", "RB")} {ends("[a-z]{2}(ous|ful|ble|ive|al)", "JJ")} {ends("[a-z]{2}(tion|ment|ness|ity)", "NN")} {ends("[a-z]{3}[^s]s", "NNS")} WHEN {listed("b", "DT")} THEN 'NN' END"""
 
 
-SEEDED = rf"""tw AS (SELECT conv_id, turn, regexp_extract_all(text, '[A-Za-z]+|[0-9]+') AS ws FROM conversations), each AS (SELECT conv_id, turn, generate_subscripts(ws, 1) AS pos, unnest(ws) AS w, unnest(list_prepend(NULL, ws[:-2])) AS b FROM tw WHERE len(ws) > 0),
-tagged AS (SELECT *, {_seed_sql()} AS tag FROM each), sided AS (SELECT *, CASE WHEN pos = 1 THEN '^' ELSE lag(tag) OVER (PARTITION BY conv_id, turn ORDER BY pos) END AS before FROM tagged)"""
+SEEDED = rf"""sn AS (SELECT conv_id, turn, unnest(l) AS said, generate_subscripts(l, 1) AS s FROM (SELECT conv_id, turn, regexp_split_to_array(text, '[.!?\n]+') AS l FROM conversations)), tw AS (SELECT conv_id, turn, s, regexp_extract_all(said, '[A-Za-z]+|[0-9]+') AS ws FROM sn),
+each AS (SELECT conv_id, turn, s, generate_subscripts(ws, 1) AS pos, unnest(ws) AS w, unnest(list_prepend(NULL, ws[:-2])) AS b FROM tw WHERE len(ws) > 0), tagged AS (SELECT *, {_seed_sql()} AS tag FROM each),
+sided AS (SELECT *, CASE WHEN pos = 1 THEN '^' ELSE lag(tag) OVER (PARTITION BY conv_id, turn, s ORDER BY pos) END AS before FROM tagged), told AS (SELECT CASE WHEN regexp_matches(w, '^[A-Z]') THEN left(w, 1) || lower(substr(w, 2)) ELSE lower(w) END AS word, tag, count(*) AS n FROM tagged WHERE tag IS NOT NULL GROUP BY ALL)"""
 
 
 @query(f"WITH {SEEDED} SELECT before, tag, count(*) AS n FROM sided WHERE before IS NOT NULL AND tag IS NOT NULL GROUP BY ALL")
 def tag_transitions(t):
-    return tagging.transitions(turn_words(t))
+    return tagging.transitions(sentence_words(t))
 
 
-@query(f"WITH {SEEDED} SELECT lower(w) AS word, tag, count(*) AS n FROM tagged WHERE tag IS NOT NULL GROUP BY ALL")
+@query(f"WITH {SEEDED} SELECT word, tag, n FROM told")
 def tag_emissions(t):
-    return tagging.emissions(turn_words(t))
+    return tagging.emissions(sentence_words(t))
 
 
-@query(f"WITH {SEEDED}, e AS (SELECT DISTINCT lower(w) AS word, tag FROM tagged WHERE tag IS NOT NULL) SELECT CASE WHEN k = 0 THEN '' ELSE right(word, k) END AS ending, tag, count(*) AS n FROM e, range(4) r(k) WHERE k <= length(word) GROUP BY ALL")
+@query(f"WITH {SEEDED} SELECT CASE WHEN k = 0 THEN '' ELSE right(lower(word), k) END || CASE WHEN regexp_matches(word, '^[A-Z]') THEN 'A' ELSE 'a' END AS ending, tag, count(*) AS n FROM told, range(4) r(k) WHERE k <= length(word) GROUP BY ALL")
 def tag_endings(t):
-    return tagging.endings(tagging.emissions(turn_words(t)))
+    return tagging.endings(tagging.emissions(sentence_words(t)))
 
 
 def tagged(t: Tables) -> DataFrame:
-    """(conv_id, turn, words, tags): the most probable tags of every word, by what the seed tags of all turns tell."""
-    rows = turn_words(t)
+    """(conv_id, turn, words, tags): the most probable tags of every word, sentence by sentence, by what the seed tags of all turns tell."""
+    rows = sentence_words(t)
     told = tagging.emissions(rows)
-    return tagging.tag(rows.drop("tags"), tagging.model(tagging.transitions(rows), told, tagging.endings(told)))
+    each = tagging.tag(rows.drop("tags"), tagging.model(tagging.transitions(rows), told, tagging.endings(told)))
+    back = each.groupBy("conv_id", "turn").agg(F.sort_array(F.collect_list(F.struct("s", "words", "tags"))).alias("x"))
+    flat = lambda c: F.flatten(F.transform("x", lambda x: x[c])).alias(c)
+    return back.select("conv_id", "turn", flat("words"), flat("tags"))
 
 
 @query()
@@ -165,7 +170,7 @@ def word_candidates(t):
 def segmented_words(t):
     """The most probable words of every turn without its spaces."""
     counts = segmenting.strings(segmenting.runs(squeezed(t), pattern="[a-z]+")).persist()
-    known = segmenting.dictionary(counts, segmenting.candidates(counts))
+    known = segmenting.dictionary(counts, segmenting.candidates(counts), cohesion=0.5)  # 26 letters meet by chance more often than thousands
     counts.unpersist()
     rows = squeezed(t).select(F.struct("conv_id", "turn").alias("k"), "text")
     return segmenting.segmented(rows, known, "k", pattern="[a-z]+").select("k.conv_id", "k.turn", "off", "word")

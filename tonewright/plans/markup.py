@@ -40,6 +40,24 @@ def block_own_text(t):
     return threads.own_text(threads.thread_pieces(threads.thread_texts(t.conversations)))
 
 
+@query(f"WITH {THREADS} SELECT doc_id, block_off, string_agg(piece, '' ORDER BY off) AS own, min(off) AS start, max(off + length(piece))::INT AS \"end\", string_agg(off || ':' || (off + length(piece)), ' ' ORDER BY off) AS offsets FROM held GROUP BY doc_id, block_off")
+def file_blocks(t):
+    """Every block of every thread with the places of its own segments."""
+    return threads.block_segments(threads.thread_pieces(threads.thread_texts(t.conversations)))
+
+
+@query(f"""WITH {THREADS}, marks AS (SELECT doc_id, (off + length(piece) // 2)::INT AS at, length(piece) % 3 AS label FROM parts WHERE piece NOT LIKE '<%' UNION SELECT doc_id, off, 3 FROM parts),
+hit AS (SELECT m.doc_id, m.at, m.label, arg_min(h.block_off, h.off) AS block_off FROM marks m JOIN held h ON h.doc_id = m.doc_id AND m.at BETWEEN h.off AND h.off + length(h.piece) GROUP BY ALL),
+own AS (SELECT doc_id, block_off, string_agg(piece, '' ORDER BY off) AS own FROM held GROUP BY doc_id, block_off) SELECT DISTINCT own, label::INT AS label FROM hit JOIN own USING (doc_id, block_off)""")
+def labelled_blocks(t):
+    """The set of blocks' texts with the labels of the annotations that point into them."""
+    parts = threads.thread_pieces(threads.thread_texts(t.conversations))
+    size = F.length("piece")
+    inside = parts.where("step = 0 and piece <> '<'").select("doc_id", (F.col("off") + F.floor(size / 2)).cast("int").alias("at"), (size % 3).cast("int").alias("label"))
+    marks = inside.unionByName(parts.select("doc_id", F.col("off").alias("at"), F.lit(3).alias("label"))).distinct()
+    return threads.labelled_blocks(parts, marks)
+
+
 @query(f"WITH {THREADS} SELECT doc_id, off, author, author_off FROM held")
 def enclosing_author(t):
     return blocks(t).select("doc_id", "off", "author", "author_off")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import sources
 from ..operators import sinks, spans
 from .registry import query
 from .scans import POL
@@ -54,3 +55,25 @@ def merge_outputs(t):
 
     s = t.labels.select(F.col("doc_id").alias("file"), polarity(F.col("quality"), F.col("toxic")).alias("sentiment"))
     return sinks.merge_results(s, t.benchmark.select(F.col("item_id").alias("file"), F.length("text").alias("belief")))
+
+
+MERGED = f"""{RESULT}, s AS (SELECT file, off, len, mention, label, CASE off % 3 WHEN 0 THEN 'entity' WHEN 1 THEN 'relation' ELSE 'event' END AS kind, len % 2 = 0 AND label <> 'none' AS sourced FROM rows),
+st AS (SELECT file, 'sentiment' AS task, kind, file || '-' || off AS target_id, off, len, mention AS text, label, CASE WHEN sourced THEN 's' || off END AS source_id FROM s WHERE NOT (kind = 'relation' AND off % 2 = 0)),
+be AS (SELECT s.file, 'belief', s.kind, s.file || '-' || s.off, CASE WHEN s.kind = 'event' THEN s.off WHEN t.off IS NOT NULL THEN t.off END, CASE WHEN s.kind = 'event' THEN s.len WHEN t.off IS NOT NULL THEN t.len END, CASE WHEN s.kind = 'event' OR t.off IS NOT NULL THEN s.mention END, CASE s.label WHEN 'none' THEN 'na' WHEN 'neg' THEN 'rob' ELSE 'cb' END, CASE WHEN s.len % 2 = 0 THEN 's' || s.off END
+FROM s LEFT JOIN st t ON t.file = s.file AND t.kind = 'relation' AND t.off = s.off AND s.kind = 'relation' WHERE s.kind <> 'entity')"""
+
+
+@query(f"WITH {MERGED} SELECT * FROM st UNION ALL SELECT * FROM be WHERE file IN (SELECT file FROM st)")
+def merged_result_xml(t):
+    """Sentiment and belief results of the same files merged into one XML document each, and read back.
+
+    Some relations have no sentiment; those that have one lend it their trigger.
+    """
+    found = rows(t)
+    sentiment = found.where("not (kind = 'relation' and off % 2 = 0)")
+    label = F.when(F.col("label") == "none", "na").when(F.col("label") == "neg", "rob").otherwise("cb")
+    belief = sinks.with_triggers(found.where("kind <> 'entity'").withColumn("label", label), sentiment)
+    xml = sinks.result_files(sinks.annotations(sentiment, "sentiment"), sinks.annotations(belief, "belief"))
+    back = xml.select("file", F.from_xml("xml", sources.RESULT).alias("d")).select("file", "d.*")
+    one = lambda task: sources.result_rows(back, task)[0].select("file", F.lit(task).alias("task"), "kind", "target_id", "off", "len", "text", "label", "source_id")
+    return one("sentiment").unionByName(one("belief"))

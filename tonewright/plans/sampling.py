@@ -57,7 +57,7 @@ def ordinal_ids(t):
 
 @query()
 def random_resample(t):
-    """Draws with replacement, seeded: rows only."""
+    """Draws with replacement to a multiple of each class's rows, seeded: rows only, their numbers are exact."""
     rows = gold(t).where("y is not null").select("doc_id", "y")
     return sampling.resampled(rows, {0: 2.0, 1: 2.0, 2: 0.5})
 

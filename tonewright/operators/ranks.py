@@ -7,14 +7,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 
-#: Ranges of an order: some `ROWS` rows each, but at least `FEW` ranges (their cuts stand in the plan) and at most `FEW` times `FEW`.
-ROWS, FEW, EACH = 4_000_000, 128, 64
+#: Ranges of an order: some `ROWS` rows each, at most `FEW` times `FEW`, but up to `FEW` of them (their cuts stand in the plan) from `SMALL` rows each on.
+ROWS, FEW, EACH, SMALL = 4_000_000, 128, 64, 5_000
 
 
 def _cut_points(rows: DataFrame, order: tuple[str, ...], parts: int | None, sample: int | None) -> list:
     """At most parts - 1 ascending keys, quantiles of some `sample` rows drawn at random; results don't depend on which."""
     total = rows.count()
-    parts = parts or max(FEW, min(FEW * FEW, total // ROWS))
+    parts = parts or max(min(FEW, total // SMALL + 1), min(FEW * FEW, total // ROWS))
+    if parts == 1:
+        return []
     sample = sample or min(EACH * parts, 1 << 18)
     drawn = rows.select(*order).sample(min(1.0, sample / max(1, total)), 7)
     keys = [tuple(r) for r in drawn.orderBy(*order).collect()]

@@ -91,10 +91,15 @@ def drawn(rows: DataFrame, targets: dict[int, int], key: tuple[str, ...], label:
     return some.select(*rows.columns, F.explode(F.sequence("_from", F.least("_hits", F.col("_from") + RUN) - 1)).alias("copy"))
 
 
-def resampled(rows: DataFrame, fractions: dict[int, float], key: tuple[str, ...] = ("doc_id",), label: str = "y", seed: int = 7) -> DataFrame:
+def _others(rows: DataFrame, label: str) -> tuple[str, ...]:
+    """What tells rows apart where no key is given: all columns but the label."""
+    return tuple(c for c in rows.columns if c != label)
+
+
+def resampled(rows: DataFrame, fractions: dict[int, float], label: str = "y", seed: int = 7, key: tuple[str, ...] | None = None) -> DataFrame:
     """Each class drawn with replacement to its own multiple of its rows, rounded down (above 1 repeats rows)."""
     n = {r[label]: r["n"] for r in rows.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a class
-    return drawn(rows, {k: int(n[k] * f) for k, f in fractions.items() if n.get(k)}, key, label, seed).drop("copy")
+    return drawn(rows, {k: int(n[k] * f) for k, f in fractions.items() if n.get(k)}, key or _others(rows, label), label, seed).drop("copy")
 
 
 def default_targets(counts: DataFrame, label: str = "y") -> DataFrame:
@@ -107,11 +112,11 @@ def default_targets(counts: DataFrame, label: str = "y") -> DataFrame:
     return sums.select(F.explode(F.concat(three, two)).alias("t")).select("t.*")
 
 
-def resampled_by_default(rows: DataFrame, classes: int = 3, key: tuple[str, ...] = ("doc_id",), label: str = "y", seed: int = 7) -> DataFrame:
+def resampled_by_default(rows: DataFrame, classes: int = 3, label: str = "y", seed: int = 7, key: tuple[str, ...] | None = None) -> DataFrame:
     """Each class drawn with replacement to its default target exactly; a class without rows stays so."""
     n = {r[label]: r["n"] for r in rows.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect() if r[label] is not None}  # a row a class
     target = n.get(1, 0) if classes == 3 else (n.get(0, 0) + n.get(1, 0)) // 2
-    return drawn(rows, dict.fromkeys(range(classes), target), key, label, seed).drop("copy")
+    return drawn(rows, dict.fromkeys(range(classes), target), key or _others(rows, label), label, seed).drop("copy")
 
 
 def bucket(key: Column, of: int) -> Column:

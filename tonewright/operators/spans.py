@@ -2,21 +2,52 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from ..functions import MARKED, SENTENCE, TOKEN, WORD, strip_tags
 
 
+@F.arrow_udf(ArrayType(IntegerType()))
+def starts(sizes: pa.Array) -> pa.Array:
+    """Where each piece of a text begins: the running sums of the sizes before it, list by list."""
+    lengths = pc.fill_null(pc.list_value_length(sizes), 0).to_numpy(zero_copy_only=False)
+    bounds, flat = np.concatenate([[0], np.cumsum(lengths)]), sizes.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    before = np.concatenate([[0], np.cumsum(flat)])
+    found = before[:-1] - np.repeat(before[bounds[:-1]], lengths)
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(found, pa.int32()), mask=sizes.is_null())
+
+
+@F.arrow_udf(ArrayType(IntegerType()))
+def last_before(places: pa.Array, ends: pa.Array) -> pa.Array:
+    """For each place of a text the last of its ascending starts that is no greater, from 0; -1 where none is."""
+    both = zip(places.to_pylist(), ends.to_pylist(), strict=True)
+    return pa.array([None if x is None or y is None else np.searchsorted(np.array(y, np.int64), np.array(x, np.int64), "right") - 1 for x, y in both], pa.list_(pa.int32()))
+
+
+def _dealt(docs: DataFrame, also: tuple[str, ...], text: str) -> DataFrame:
+    """Texts dealt out by their key, the first of `also`: files may have few row groups, and so few tasks."""
+    return docs.select(*dict.fromkeys((*also, text))).repartition(F.col(also[0]))
+
+
+def in_place(docs: DataFrame, pattern: str, name: str, also: tuple[str, ...] = (), text: str = "text") -> DataFrame:
+    """(also, name, name_at): a text's pieces, the matches of a pattern that covers all of it, and their offsets, as arrays of its row."""
+    found = _dealt(docs, also, text).select(*also, F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0)).alias(name))
+    return found.withColumn(f"{name}_at", starts(F.transform(name, lambda x: F.length(x))))
+
+
 def pieces(docs: DataFrame, pattern: str, name: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, pos, off, name): the matches of a pattern that covers the whole text, with their offsets.
 
-    Texts are dealt out by their key before they are cut up: that moves fewer bytes than their pieces would, and
-    all later windows and joins by the key find the pieces in place.
+    Offsets are summed up in the text's own row, so that texts move once, before they are cut, and nothing is sorted.
     """
-    out = docs.select(key, text).repartition(F.col(key)).select(key, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))).alias("pos", name))
-    before = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    return out.withColumn("off", F.coalesce(F.sum(F.length(name)).over(before), F.lit(0)).cast("int"))
+    each = F.transform(name, lambda x, i: F.struct(F.get(f"{name}_at", i).alias("off"), x.alias(name)))
+    out = in_place(docs, pattern, name, (key,), text).select(key, F.posexplode(each).alias("pos", "_x"))
+    return out.select(key, "pos", F.col(f"_x.{name}").alias(name), F.col("_x.off").alias("off"))
 
 
 def sentences(docs: DataFrame, pattern: str = SENTENCE, key: str = "doc_id") -> DataFrame:
@@ -27,10 +58,37 @@ def tokens(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return pieces(docs, TOKEN, "tok", key)
 
 
+def _capitalised() -> Column:
+    """The mentions among a row's tokens, as structs."""
+    each = F.transform("tok", lambda x, i: F.struct(x.alias("mention"), F.get("tok_at", i).alias("off"), F.length(x).alias("len")))
+    return F.filter(each, lambda m: m["mention"].rlike("^[A-Z][a-z]{3,}$"))
+
+
+def mention_arrays(docs: DataFrame, *also: str) -> DataFrame:
+    """(also, found): the mentions of each text in order, in its own row."""
+    return in_place(docs, TOKEN, "tok", also).select(*also, _capitalised().alias("found"))
+
+
 def mentions(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, mention, off, len): capitalised words of four letters or more."""
-    found = tokens(docs, key).where(F.col("tok").rlike("^[A-Z][a-z]{3,}$"))
-    return found.select(key, F.col("tok").alias("mention"), "off", F.length("tok").alias("len"))
+    return mention_arrays(docs, key).select(key, F.inline("found"))
+
+
+def located(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """`asof_sentence` of a text's own mentions and sentences, found in its row: (key, mention, off, len, sent_pos, sent_off, sent_len, sent)."""
+    both = _dealt(docs, (key,), "text").select(key, *(F.regexp_extract_all("text", F.lit(p), F.lit(0)).alias(n) for p, n in ((TOKEN, "tok"), (SENTENCE, "sent"))))
+    size = lambda n: F.transform(n, lambda x: F.length(x))
+    both = both.withColumns({"tok_at": starts(size("tok")), "sent_at": starts(size("sent"))})
+    found = both.select(key, _capitalised().alias("found"), "sent", "sent_at")
+    found = found.withColumn("which", last_before(F.transform("found", lambda m: m["off"]), F.col("sent_at")))
+
+    def beside(m: Column, i: Column) -> Column:
+        sent, off = F.get("sent", F.get("which", i)), F.get("sent_at", F.get("which", i))
+        there = m["off"] <= off + F.length(sent)
+        named = {"sent_pos": F.get("which", i), "sent_off": off, "sent_len": F.length(sent), "sent": sent}
+        return F.struct(*(m[c].alias(c) for c in ("mention", "off", "len")), *(F.when(there, c).alias(n) for n, c in named.items()))
+
+    return found.select(key, F.inline(F.transform("found", beside)))
 
 
 def asof_sentence(found: DataFrame, sents: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -89,3 +147,13 @@ def target_window(words: DataFrame, target: Column, n: int = 10, key: str = "doc
     """The n words around each word for which `target` holds: (key, off, window)."""
     near = Window.partitionBy(key).orderBy("off").rowsBetween(-(n // 2), n - 1 - n // 2)
     return words.withColumn("_hit", target).withColumn("window", F.collect_list("tok").over(near)).where("_hit").select(key, "off", F.array_join("window", " ").alias("window"))
+
+
+def windows(docs: DataFrame, target: str, n: int = 10, key: str = "doc_id") -> DataFrame:
+    """`target_window` of the words that match `target`, found in each text's own row."""
+    cut = in_place(docs, TOKEN, "tok", (key,))
+    each = F.transform("tok", lambda x, i: F.struct(F.get("tok_at", i).alias("off"), x.alias("tok")))
+    words = cut.select(key, F.filter(each, lambda w: w["tok"].rlike("^[A-Za-z]+$")).alias("w"))
+    around = lambda i: F.transform(F.slice("w", F.greatest(i + (1 - n // 2), F.lit(1)), F.least(i, F.lit(n // 2)) + (n - n // 2)), lambda w: w["tok"])
+    placed = F.filter(F.transform("w", lambda w, i: F.struct(w["off"].alias("off"), i.alias("i"), w["tok"].alias("tok"))), lambda w: w["tok"].rlike(target))
+    return words.select(key, F.inline(F.transform(placed, lambda w: F.struct(w["off"].alias("off"), F.array_join(around(w["i"]), " ").alias("window")))))

@@ -57,6 +57,24 @@ def test_counted_words(spark):
     assert got == {("he", False, False, "saw"): 1, ("saw", False, False, "dr."): 1, ("dr.", False, False, "who"): 1, ("who", True, False, "#"): 1, ("#", False, False, "up"): 1, ("up", False, True, "why?"): 1, ("why?", False, True, "no"): 1, ("no", False, False, None): 1} or ("dr", True, False, "who") in got
 
 
+def test_pairs_are_counted_at_ends_only(spark):
+    rows = spark.createDataFrame([("one two three. Four two three.",), ("one\nfive (six.)",)], "text string")
+    got = {(r.kind, r.stop, r.over, r.next): r.n for r in splitting.words(rows).collect()}
+    assert got == {("one", False, False, None): 1, ("two", False, False, None): 2, ("three", True, False, "four"): 1, ("three", True, False, None): 1, ("four", False, False, None): 1, ("one", False, True, "five"): 1, ("five", False, False, None): 1, ("six", True, False, None): 1}
+
+
+def test_sentences_are_cut_in_their_row(spark):
+    """Texts move once, to be dealt out; nothing is sorted or grouped.  Letters beyond ASCII are lower-cased as they were when counted."""
+    docs = spark.createDataFrame([(1, " \n\u0130x. Then \u00c9t. no Dr. Who... The end"), (2, None), (3, ""), (4, "Dr. The")], "doc_id long, text string")
+    one = lambda *rows: spark.createDataFrame(rows, "kind string, score double")
+    pairs = spark.createDataFrame([("dr", "the", 9.0)], "kind string, next string, score double")
+    found = splitting.split(docs, splitting.Known(one(("i\u0307x", 1.0), ("\u00e9t", 1.0), ("dr", 1.0)), one(("then", 40.0), ("the", 40.0)), pairs))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Sort" not in plan
+    got = sorted(tuple(r) for r in found.collect())
+    assert got == [(1, 0, 0, " \n"), (1, 1, 2, "\u0130x. "), (1, 2, 6, "Then \u00c9t. no Dr. Who... "), (1, 3, 29, "The end"), (4, 0, 0, "Dr. The")]
+
+
 def test_odd_texts_split(spark):
     rows = [(1, None), (2, ""), (3, "   "), (4, " one"), (5, "a\n\nbee. C"), (6, "x" * 100_000 + ". Y")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")

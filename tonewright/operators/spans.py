@@ -29,14 +29,14 @@ def last_before(places: pa.Array, ends: pa.Array) -> pa.Array:
     return pa.array([None if x is None or y is None else np.searchsorted(np.array(y, np.int64), np.array(x, np.int64), "right") - 1 for x, y in both], pa.list_(pa.int32()))
 
 
-def _dealt(docs: DataFrame, also: tuple[str, ...], text: str) -> DataFrame:
+def dealt(docs: DataFrame, also: tuple[str, ...], text: str) -> DataFrame:
     """Texts dealt out by their key, the first of `also`: files may have few row groups, and so few tasks."""
     return docs.select(*dict.fromkeys((*also, text))).repartition(F.col(also[0]))
 
 
 def in_place(docs: DataFrame, pattern: str, name: str, also: tuple[str, ...] = (), text: str = "text") -> DataFrame:
     """(also, name, name_at): a text's pieces, the matches of a pattern that covers all of it, and their offsets, as arrays of its row."""
-    found = _dealt(docs, also, text).select(*also, F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0)).alias(name))
+    found = dealt(docs, also, text).select(*also, F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0)).alias(name))
     return found.withColumn(f"{name}_at", starts(F.transform(name, lambda x: F.length(x))))
 
 
@@ -76,7 +76,7 @@ def mentions(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def located(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """`asof_sentence` of a text's own mentions and sentences, found in its row: (key, mention, off, len, sent_pos, sent_off, sent_len, sent)."""
-    both = _dealt(docs, (key,), "text").select(key, *(F.regexp_extract_all("text", F.lit(p), F.lit(0)).alias(n) for p, n in ((TOKEN, "tok"), (SENTENCE, "sent"))))
+    both = dealt(docs, (key,), "text").select(key, *(F.regexp_extract_all("text", F.lit(p), F.lit(0)).alias(n) for p, n in ((TOKEN, "tok"), (SENTENCE, "sent"))))
     size = lambda n: F.transform(n, lambda x: F.length(x))
     both = both.withColumns({"tok_at": starts(size("tok")), "sent_at": starts(size("sent"))})
     found = both.select(key, _capitalised().alias("found"), "sent", "sent_at")

@@ -80,3 +80,16 @@ def test_labels_of_nested_blocks(spark):
     assert blocks == {"onethree": (a, c + 5, f"{a}:{a + 3} {c}:{c + 5}"), "two": (b, b + 3, f"{b}:{b + 3}")}
     marks = spark.createDataFrame([(1, a, "pos"), (1, a + 1, "pos"), (1, b + 3, "neg"), (1, 0, "none"), (3, 5, "pos")], "doc_id long, at int, label string")
     assert {(r.own, r.label) for r in threads.labelled_blocks(parts, marks).collect()} == {("onethree", "pos"), ("two", "neg")}
+
+
+def test_tasks_of_equal_nulls_share_their_features(spark, samples, monkeypatch):
+    calls, weigh = [], drivers.general_features
+    monkeypatch.setattr(drivers, "general_features", lambda *a: calls.append(1) or weigh(*a))
+    seen = lambda run: [sorted(tuple(r) for r in df.select("doc_id", "gold", "x").collect()) for df in (run.train, run.test)]
+    both = samples.where("b is not null").withColumn("text", F.concat("text", F.lit(" end")))
+    for rows, times in ((both, 1), (samples, 2)):
+        calls.clear()
+        got = drivers.runs(rows, "df", drivers.TASKS, 5)
+        assert len(calls) == times
+        for run, task in zip(got, drivers.TASKS, strict=True):
+            assert run.task is task and seen(run) == seen(drivers.prepared(rows, "df", task, 5))

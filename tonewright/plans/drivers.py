@@ -71,8 +71,7 @@ def samples(t):
 def _scores(t, judge, tasks=drivers.TASKS):
     out = None
     for wanted in drivers.SHARES:
-        for task in tasks:
-            run = drivers.prepared(samples(t), wanted, task)
+        for run in drivers.runs(samples(t), wanted, tasks):
             rows = drivers.scored(run, judge(run))
             out = rows if out is None else out.unionByName(rows)
     return out

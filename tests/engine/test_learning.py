@@ -167,3 +167,13 @@ def test_a_log_equals_counts_by_query(spark, tmp_path):
     log.write(spark, str(tmp_path / "log"))
     log.write(spark, str(tmp_path / "log"))
     assert spark.read.parquet(str(tmp_path / "log")).count() == 2 * len(got)
+
+
+def test_tasks_that_learn_word_vectors_grow_with_the_words(spark, monkeypatch):
+    asked, plain = [], learners.Word2Vec
+    monkeypatch.setattr(learners, "Word2Vec", lambda **k: asked.append(k["numPartitions"]) or plain(**k))
+    rows = spark.createDataFrame([(["a", "b", "c", "d"] * 5,)] * 10 + [(None,)], "w array<string>").where("w is not null")
+    for of, parts in ((8_000_000, 8), (20, 10)):
+        monkeypatch.setattr(learners, "LEARNED", of)
+        assert {r.word for r in learners.word_vectors(rows, "w", size=4).collect()} == set("abcd")
+        assert asked.pop() == parts

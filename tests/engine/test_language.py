@@ -75,6 +75,30 @@ def test_sentences_are_cut_in_their_row(spark):
     assert got == [(1, 0, 0, " \n"), (1, 1, 2, "\u0130x. "), (1, 2, 6, "Then \u00c9t. no Dr. Who... "), (1, 3, 29, "The end"), (4, 0, 0, "Dr. The")]
 
 
+def test_every_word_that_reaches_its_threshold_is_known(spark):
+    found = spark.range(25_000).select(F.concat(F.lit("w"), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")).alias("w"))
+    ends = found.select(F.lit("went").alias("kind"), F.lit(True).alias("stop"), F.lit(False).alias("over"), F.col("w").alias("next"), F.lit(15).cast("long").alias("n"))
+    stands = found.select(F.col("w").alias("kind"), F.lit(False), F.lit(False), F.lit(None).cast("string"), F.lit(15).cast("long"))
+    often = spark.createDataFrame([("and", False, False, None, 3_000_000), ("went", False, False, None, 500_000)], "kind string, stop boolean, over boolean, next string, n long")
+    patch = pytest.MonkeyPatch()
+    patch.setattr(splitting, "words", lambda docs, text: ends.union(stands).union(often))
+    try:
+        known = splitting.learned(found)
+    finally:
+        patch.undo()
+    assert known.starters.count() == 25_000
+
+
+def test_knowledge_that_is_not_broadcast_cuts_the_same_sentences(spark, monkeypatch):
+    texts = [prose(k, 12) for k in range(30)]
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)] + [(40, "\u0130x. Then \u00c9t. no Dr. Who... The end"), (41, None), (42, "Dr. The"), (42, "Mr. Brown"), (43, "")], "doc_id long, text string")
+    known = splitting.learned(docs)
+    want = sorted(tuple(r) for r in splitting.split(docs, known).collect())
+    for most in (0, 3, 4):
+        monkeypatch.setattr(splitting, "MOST", most)
+        assert sorted(tuple(r) for r in splitting.split(docs, known).collect()) == want
+
+
 def test_odd_texts_split(spark):
     rows = [(1, None), (2, ""), (3, "   "), (4, " one"), (5, "a\n\nbee. C"), (6, "x" * 100_000 + ". Y")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")

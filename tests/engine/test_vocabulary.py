@@ -36,3 +36,13 @@ def test_common_words_may_be_few(spark, folder, monkeypatch):
     """The result doesn't depend on how many words are broadcast."""
     monkeypatch.setattr(features, "COMMON", 7)
     test_rare_words_have_their_vectors(spark, folder, "embedding_matrix")
+
+
+def test_flat_cells_know_their_place(spark, tmp_path):
+    """A turn that is there twice has all its cells twice, as the SQL says; rows of a matrix are not brought together for it."""
+    rows = [(1, 0, "user", "one two"), (1, 0, "user", "three"), (2, 5, "user", "")]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    vec = F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: (F.col("id") / 8 + i).cast("float"))
+    spark.range(2).select(F.col("id").alias("vec_id"), vec.alias("embedding"), F.lit(0).alias("label")).coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    test_rare_words_have_their_vectors(spark, str(tmp_path), "flatten_matrix")
+    assert "collect_list" not in plans.queries()["flatten_matrix"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()

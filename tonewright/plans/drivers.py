@@ -56,9 +56,10 @@ idf AS (SELECT wanted, term, ln((1 + n) / (1 + df)) + 1 AS idf FROM top JOIN (SE
 SELECT wanted, doc_id, 'term ' || term AS name, round(idf / sqrt(sum(idf * idf) OVER (PARTITION BY wanted, doc_id)), 6) AS value FROM found JOIN idf USING (wanted, term) UNION ALL SELECT wanted, doc_id, 'kind ' || lang, 1.0 FROM said WHERE lang IS NOT NULL""")
 def driver_features(t):
     """What the drivers know of each sample: term weights over a run's own texts, and the kind."""
-    both, out = drivers.parts(samples(t)).where("y is not null"), None
-    for wanted in drivers.SHARES:
-        rows = drivers.general_features(both.where(F.col("wanted") == wanted), "doc_id", "text", "kind").select(F.lit(wanted).alias("wanted"), "doc_id", "name", "value")
+    every, out = samples(t).where("y is not null"), None
+    for wanted, share in drivers.SHARES.items():  # both parts of a run are weighed together, so its texts need not be split
+        mine = every.where(F.col("genre").isin(list(share)))
+        rows = drivers.general_features(mine, "doc_id", "text", "kind").select(F.lit(wanted).alias("wanted"), "doc_id", "name", "value")
         out = rows if out is None else out.unionByName(rows)
     return out
 
